@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, simhash, wavelet
 from .common import read
 
 
+def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.digests(read(spark, sf_dir, "documents"))
+
+
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op8_bpe_roundtrip,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_wavelet_tokens, op3_simhash_groups, op8_bpe_roundtrip)}
 SQL: dict[str, str] = {}
