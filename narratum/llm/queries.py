@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash, toxicity, wavelet
+from . import bpe, gru, simhash, toxicity, wavelet
 from .common import read
 
 
@@ -26,5 +26,9 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op8_bpe_roundtrip)}
+def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op8_bpe_roundtrip, op10_gru_scores)}
 SQL: dict[str, str] = {}
