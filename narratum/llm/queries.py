@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, gru, licences, simhash, toxicity, wavelet
+from . import ann, bpe, decontam, gru, licences, simhash, toxicity, wavelet
 from .common import read
 
 
@@ -26,6 +26,10 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -38,5 +42,5 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op5_licences, op7_decontamination, op8_bpe_roundtrip, op10_gru_scores)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op10_gru_scores)}
 SQL: dict[str, str] = {"op5_licences": licences.sql(), "op7_decontamination": decontam.SQL}
