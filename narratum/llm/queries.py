@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, gru, licences, simhash, toxicity, wavelet
+from . import ann, bpe, decontam, gru, licences, simhash, substring, toxicity, wavelet
 from .common import read
 
 
@@ -22,6 +22,10 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(read(spark, sf_dir, "documents"))
+
+
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op10_gru_scores)}
-SQL: dict[str, str] = {"op5_licences": licences.sql(), "op7_decontamination": decontam.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op4_substring_dedup, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op10_gru_scores)}
+SQL: dict[str, str] = {"op4_substring_dedup": substring.SQL, "op5_licences": licences.sql(), "op7_decontamination": decontam.SQL}
