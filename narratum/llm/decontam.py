@@ -99,7 +99,7 @@ def contained(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no benchmark item."""
     dirty = contained(docs, benchmark).select(F.col("doc_id").alias("dirty_id")).distinct()
-    return docs.join(dirty, F.col("doc_id").cast("long") == F.col("dirty_id"), "left_anti")
+    return docs.join(dirty, docs["doc_id"].cast("long") == dirty["dirty_id"], "left_anti")
 
 
 SQL = rf"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, gru, licences, simhash, substring, toxicity, wavelet
+from . import ann, bpe, decontam, gru, licences, simhash, substring, toxicity, warc, wavelet
 from .common import read
 
 
@@ -42,9 +42,13 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.fixity(read(spark, sf_dir, "pages"))
+
+
 def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op4_substring_dedup, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op10_gru_scores)}
-SQL: dict[str, str] = {"op4_substring_dedup": substring.SQL, "op5_licences": licences.sql(), "op7_decontamination": decontam.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op4_substring_dedup, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op9_warc_fixity, op10_gru_scores)}
+SQL: dict[str, str] = {"op4_substring_dedup": substring.SQL, "op5_licences": licences.sql(), "op7_decontamination": decontam.SQL, "op9_warc_fixity": warc.SQL}

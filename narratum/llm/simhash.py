@@ -183,5 +183,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = groups(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id"), "n"))
-    out = docs.join(kept.select("kept_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
     return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out

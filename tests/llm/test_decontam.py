@@ -34,7 +34,7 @@ def test_matches_brute_force(spark):
             ws[rng.randrange(len(ws))] = "odd"
         docs.append((300 + k, f"{say(50)} {' '.join(ws).upper()}! {say(rng.randrange(300))}"))
     docs += [docs[-1], (206, "w1, w2; w3")]
-    d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, h int")
+    d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, dirty_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = decontam.contained(d, b)
     assert sorted((r.doc_id, r.item_id, r.n_shingles, r.n_shared) for r in got.collect()) == plain(docs, items)

@@ -65,7 +65,7 @@ def test_components_long_path(spark):
 def test_groups_and_keep(spark):
     long = " ".join(f"w{k}" for k in range(3000))
     rows = [(5, "a b c d", "x"), (3, "A b  c d", "x"), (9, None, "x"), (8, "", "x"), (7, long, "x"), (6, long, "x"), (6, long, "x"), (1, "other words here now", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept_id string")
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.groups(docs).collect())
     fp = {i: f"{plain_fingerprint(t or ''):016x}" for i, t, _ in rows}
     want = {5: 3, 3: 3, 9: 8, 8: 8, 7: 6, 6: 6, 1: 1}
