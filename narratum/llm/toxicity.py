@@ -9,8 +9,8 @@ and compared; a logistic curve fitted on labelled rows that the models haven't s
 The fit takes at most SAMPLE labelled rows of each class (the ones with the smallest hash of their id), which bounds
 the model and what is broadcast; every document is scored over its whole text.
 
-Cases: null and empty texts score what the curve gives for no evidence; with no labels of one class all scores are that
-share of toxic labels (0 without labels); rows labelled twice are toxic if one label says so; repeated rows are scored
+Cases: null and empty texts score the share of toxic labels; with no labels of one class all scores are that share (0
+without labels); rows labelled twice are toxic if one label says so; repeated rows are scored
 alike; other columns are ignored; an empty table gives no rows.
 """
 
@@ -146,7 +146,7 @@ class Model:
             self.ratios[size] = Table(known, np.log(chances(known, size, 1)) - np.log(chances(known, size, 0)))
             contexts = np.union1d(classes[0][size].contexts, classes[1][size].contexts)
             self.weights[size] = Table(contexts, np.log(classes[1][size].weight(contexts)) - np.log(classes[0][size].weight(contexts)))
-        self.slope, self.shift, self.by_length = 1.0, 0.0, 0.0
+        self.slope, self.shift, self.by_length, self.prior = 1.0, 0.0, 0.0, 0.0
 
     def bytes_ratio(self, data: np.ndarray) -> np.ndarray:
         """The ratio of each byte. An unseen gram falls back to the next order, with the contexts' weights."""
@@ -198,7 +198,8 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         x = self.evidence(texts)
-        return 1 / (1 + np.exp(-np.clip(self.shift + self.slope * x[:, 0] + self.by_length * x[:, 1], -500, 500)))
+        curve = 1 / (1 + np.exp(-np.clip(self.shift + self.slope * x[:, 0] + self.by_length * x[:, 1], -500, 500)))
+        return np.where(x[:, 1] > 0, curve, self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
@@ -222,6 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
     model = Model(first)
     model.calibrate([r.text for r in later], np.array([float(r.toxic) for r in later]))
     model.shift += float(np.log(share[1] / share[0]))
+    model.prior = rated[1] / (rated[0] + rated[1])
     return model
 
 
