@@ -57,16 +57,16 @@ def split_to_limit(text: Column, limit: int) -> Column:
     stage can shorten stay too long; see `fits`.
     """
 
-    def split(piece: Column, at: str, left: str) -> Column:
-        parts = F.split(piece, rf"\Q{at}\E", -1)
-        last = F.size(parts) - 1
-        return F.when(F.length(piece) >= limit, F.transform(parts, lambda p, k: F.when(k < last, F.concat(p, F.lit(left))).otherwise(p))).otherwise(F.array(piece))
-
-    pieces = F.array(text)
-    for at, left in SPLITS:
-        finer = F.flatten(F.transform(pieces, lambda p, at=at, left=left: split(p, at, left)))
-        pieces = F.when(fits(pieces, limit), pieces).otherwise(finer)
-    return pieces
+    stages = F.array(*[F.struct(F.lit(rf"\Q{at}\E").alias("at"), F.lit(left).alias("left")) for at, left in SPLITS])
+
+    def split(piece: Column, stage: Column) -> Column:
+        parts = F.array(F.split(piece, stage["at"], -1))  # an array of one, whose lambda binds the parts
+        joined = F.transform(parts, lambda ps: F.transform(ps, lambda p, k: F.when(k < F.size(ps) - 1, F.concat(p, stage["left"])).otherwise(p)))
+        return F.when(F.length(piece) >= limit, F.flatten(joined)).otherwise(F.array(piece))
+
+    # A fold over the stages names the pieces once; nested expressions would repeat them threefold at every stage.
+    cut = F.aggregate(stages, F.array(text), lambda ps, stage: F.when(fits(ps, limit), ps).otherwise(F.flatten(F.transform(ps, lambda p: split(p, stage)))))
+    return F.when(F.length(text) < limit, F.array(text)).otherwise(cut)
 
 
 def fits(pieces: Column, limit: int) -> Column:

@@ -13,12 +13,13 @@ def chunk_sentences(text: Column, limit: int = PARAGRAPH) -> Column:
     n = F.length(text)
     groups = F.ceil(n / limit)
     size = F.floor(n / groups / 100) * 100
-    start = F.struct(F.array().cast("array<string>").alias("cur"), F.lit(0).cast("int").alias("n"), F.array().cast("array<string>").alias("out"))
+    # The size goes into the fold's state, so that it is computed once for a text and not at each sentence.
+    start = F.struct(size.alias("size"), F.array().cast("array<string>").alias("cur"), F.lit(0).cast("int").alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, s: Column) -> Column:
         cur, many = F.concat(a["cur"], F.array(F.concat(s, F.lit(".")))), a["n"] + F.length(s) + 1
-        full = many > size
-        return F.struct(F.when(full, F.array().cast("array<string>")).otherwise(cur).alias("cur"), F.when(full, 0).otherwise(many).alias("n"),
+        full = many > a["size"]
+        return F.struct(a["size"].alias("size"), F.when(full, F.array().cast("array<string>")).otherwise(cur).alias("cur"), F.when(full, 0).otherwise(many).alias("n"),
                         F.when(full, F.concat(a["out"], F.array(F.array_join(cur, "")))).otherwise(a["out"]).alias("out"))
 
     folded = F.aggregate(F.split(text, r"\.", -1), start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.array_join(a["cur"], " ")))).otherwise(a["out"]))
