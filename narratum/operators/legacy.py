@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ssml import pack, requests
+
 PARAGRAPH, QUERY = 2000, 2700
 
 
@@ -104,3 +106,42 @@ def id3_fields(tracks: DataFrame, names: dict[str, str], keep: list[str]) -> Dat
     fields = F.array(*[F.struct(F.lit(field).alias("field"), (F.substring(F.element_at("tags", F.lit(tag)), 1, 4) if field == "year" else F.element_at("tags", F.lit(tag))).alias("value")) for tag, field in names.items()],
                      F.struct(F.lit("genre").alias("field"), F.coalesce(F.element_at("tags", F.lit("GENRE")), F.lit("183")).alias("value")))
     return tracks.select(*keep, F.explode(fields).alias("x")).select(*keep, "x.field", "x.value").where("value is not null")
+
+
+HEAD, TAIL = '<speak>\n<prosody rate="medium">\n', '<mark name="end"/>\n</prosody>\n</speak>'
+
+
+def pack_entries(paragraphs: DataFrame, key: list[str], order: str = "par_no", limit: int = QUERY) -> DataFrame:
+    """Paragraphs (key, order, text) to (key, query_no, query): packed by their bare text, marks numbered within an entry.
+
+    A paragraph at the limit is an error. The last request of an entry ends with a line end.
+    """
+    mark = F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1
+    fine = F.length("text") < limit
+    text = F.when(fine, F.col("text")).otherwise(F.raise_error(F.lit(f"a paragraph has {limit} characters or more")).cast("string"))
+    ssml = F.concat(F.lit("<p>"), text, F.lit('</p>\n<mark name="p'), mark.cast("string"), F.lit('"/>\n'))
+    rows = paragraphs.select(*key, order, F.length("text").alias("n"), ssml.alias("ssml"))
+    made = requests(pack(rows, key, [order], "n", limit, frame=0), key, [order], head=HEAD, tail=TAIL)
+    last = F.max("query_no").over(Window.partitionBy(*key))
+    return made.withColumn("query", F.when(F.col("query_no") == last, F.concat("query", F.lit("\n"))).otherwise(F.col("query")))
+
+
+def order_creators(creators: DataFrame, seq: str = "display_seq") -> DataFrame:
+    """Adds place: creators (book_id, pos, seq) by their display sequence where a book's sequences are exactly 1 to n, else as they stand."""
+    book = Window.partitionBy("book_id")
+    n = F.count("*").over(book)
+    fit = (F.size(F.collect_set(seq).over(book)) == n) & (F.min(seq).over(book) == 1) & (F.max(seq).over(book) == n)
+    keyed = creators.withColumn("place", F.when(fit, F.col(seq)).otherwise(F.col("pos")))
+    return keyed.withColumn("place", F.row_number().over(book.orderBy("place")))
+
+
+def page_images(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """(book_id, page_no, ref, location): the image references that a page's markup contains; a substring match within a book."""
+    return pages.join(images, "book_id").where(F.contains("markup", F.col("ref"))).select("book_id", "page_no", "ref", "location")
+
+
+def first_image(found: DataFrame, images: DataFrame) -> DataFrame:
+    """(book_id, location): the first image of the first page that has one, else the first whose reference holds `cover`."""
+    shown = found.join(images.select("book_id", "ref", "seq"), ["book_id", "ref"]).groupBy("book_id").agg(F.min_by("location", F.struct("page_no", "seq")).alias("shown"))
+    cover = images.where(F.contains(F.lower("ref"), F.lit("cover"))).groupBy("book_id").agg(F.min_by("location", "seq").alias("cover"))
+    return shown.join(cover, "book_id", "full_outer").select("book_id", F.coalesce("shown", "cover").alias("location"))

@@ -134,3 +134,16 @@ def splice_points(frames: DataFrame, targets: DataFrame, track: str, loud: float
     known = F.col("end_t").isNotNull()
     out = out.withColumn("end_half", F.when(known, F.expr("(end_before - end_after) div 2"))).withColumn("end_splice", F.when(known, F.expr("(end_before + end_after) div 2")))
     return out.select(track, "line", "t", "end_t", "start_splice", "start_half", "end_splice", "end_half")
+
+
+def trimmed_readings(frames: DataFrame, halves: DataFrame, track: str = "track", loud: float = LOUD) -> DataFrame:
+    """Readings (track, ms, dbfs) and halves (track, start_half, end_half) to what is done to the audio: cut_start and new_length.
+
+    The silence before the first sound is cut to start_half (cut_start frames go; if negative, so many silent ones are put
+    before); one after the last sound is kept and end_half more, cut or padded. A null end_half leaves the end as it is.
+    """
+    sounding = F.when(F.col("dbfs") >= loud, F.col("ms"))
+    seen = frames.groupBy(track).agg(F.min(sounding).alias("first"), F.max(sounding).alias("last"), (F.max("ms") + 1).alias("length"))
+    out = halves.join(seen, track).withColumn("cut_start", F.coalesce("first", "length") - 1 - F.col("start_half"))
+    end = F.coalesce(F.col("last") - F.col("cut_start") + 1, F.lit(0)) + 1 + F.col("end_half")
+    return out.select(track, "cut_start", F.coalesce(end, F.col("length") - F.col("cut_start")).alias("new_length"))

@@ -11,6 +11,7 @@ import re
 import xml.sax
 import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -331,3 +332,63 @@ def legacy_file(items: DataFrame, files: DataFrame) -> DataFrame:
         rows = rows.join(own, ["book_id", "href"], "left")
     path = F.coalesce("path0", "path1", "path2")
     return rows.withColumn("path", F.when(path.isNotNull(), path).otherwise(F.raise_error(F.concat(F.lit("no file for "), F.col("href"))).cast("string"))).drop("path0", "path1", "path2")
+
+
+def _local(name: str) -> str:
+    return name.rpartition("}")[2]
+
+
+def element_rows(data: bytes, section: str) -> Iterator[dict]:
+    """(tag, seq, attrs) of a section's children, names without their namespaces; text is all ASCII text below, else the element's own."""
+    top = next((e for e in ElementTree.fromstring(data).iter() if _local(e.tag) == section), ())
+    for seq, child in enumerate(top):
+        attrs = {_local(k): v for k, v in child.attrib.items()}
+        text = "".join(child.itertext()).encode("ascii", "ignore").decode().strip() or child.text
+        yield {"tag": _local(child.tag), "seq": seq, "attrs": list((attrs | ({"text": text} if text else {})).items())}
+
+
+def elements(files: DataFrame, section: str) -> DataFrame:
+    """element_rows of package files (book_id, path, bytes)."""
+
+    def make(row: dict) -> Iterator[dict]:
+        for x in element_rows(row["bytes"], section):
+            yield x | {"book_id": row["book_id"]}
+
+    return flat_map(files.where("path like '%.opf'"), make, "book_id string, tag string, seq int, attrs map<string, string>")
+
+
+#: Elements whose text is one paragraph.
+SINGLE = ("p", "h1", "h2", "h3", "h4")
+
+
+def collapsed(element: ElementTree.Element, single: tuple[str, ...] = SINGLE) -> list[str]:
+    """An element's text, then the paragraphs of its children, unless it is a single paragraph itself.
+
+    A child's paragraph leaves the element's text if it stands at its blank edge; one inside it is dropped, as it is read there.
+    """
+    own, below = "".join(element.itertext()).encode("ascii", "ignore").decode(), []
+    for child in () if _local(element.tag) in single else element:
+        for part in collapsed(child, single):
+            at = own.find(part)
+            if at < 0:
+                below.append(part)
+            elif not own[:at].strip() or not own[at:].strip():
+                own = own[:at] + " " + own[at + len(part) :]
+                below.append(part)
+    return [own, *below]
+
+
+def page_paragraphs(pages: DataFrame, use_div: bool = False) -> DataFrame:
+    """(book_id, spine_pos, par_no, text) of pages (book_id, spine_pos, bytes) by the older rule; blank paragraphs are left out.
+
+    A body without child elements gives none.
+    """
+    single = (*SINGLE, "div") if use_div else SINGLE
+
+    def make(row: dict) -> Iterator[dict]:
+        body = next((e for e in ElementTree.fromstring(row["bytes"]) if _local(e.tag) == "body"), ())
+        texts = [t.replace("\n", " ") for t in collapsed(body, single)] if len(body) else []
+        for k, text in enumerate(t for t in texts if t.strip()):
+            yield {"book_id": row["book_id"], "spine_pos": row["spine_pos"], "par_no": k, "text": text}
+
+    return flat_map(pages.select("book_id", "spine_pos", "bytes"), make, "book_id string, spine_pos int, par_no int, text string")

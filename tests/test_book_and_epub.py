@@ -96,3 +96,27 @@ def test_legacy(spark):
     lost = spark.createDataFrame([("b", "#y", "p", "t", 0)], "book_id string, refines string, property string, text string, seq int")
     with pytest.raises(PySparkException):
         legacy.refine(elements, lost).collect()
+
+
+def test_legacy_packing(spark):
+    df = spark.createDataFrame([("e", 0, "x" * 2699), ("e", 1, "y"), ("e", 2, "z")], "entry string, par_no int, text string")
+    got = [(r.query_no, r["query"]) for r in legacy.pack_entries(df, ["entry"]).orderBy("query_no").collect()]
+    head, tail = legacy.HEAD, legacy.TAIL
+    assert got == [(0, f'{head}<p>{"x" * 2699}</p>\n<mark name="p0"/>\n{tail}'), (1, f'{head}<p>y</p>\n<mark name="p1"/>\n<p>z</p>\n<mark name="p2"/>\n{tail}\n')]
+    with pytest.raises(PySparkException):
+        legacy.pack_entries(spark.createDataFrame([("e", 0, "x" * 2700)], "entry string, par_no int, text string"), ["entry"]).collect()
+
+
+def test_legacy_markup(spark):
+    page = "<html><body><h1>Head</h1><div>lead <p>one <i>in</i></p> tail</div><p>two\nlines é</p></body></html>".encode()
+    pages = spark.createDataFrame([("b", 0, bytearray(page)), ("b", 1, bytearray(b"<html><body>bare</body></html>"))], "book_id string, spine_pos int, bytes binary")
+    got = [r.text for r in epub.page_paragraphs(pages).orderBy("spine_pos", "par_no").collect()]
+    assert got == ["Head", "lead one in tail", "two lines "]
+    rows = list(epub.element_rows(OPF.encode(), "metadata"))
+    assert [(r["tag"], dict(r["attrs"]).get("text")) for r in rows] == [("title", "A & B"), ("creator", "Ann"), ("creator", "Bob"), ("date", "2012-1-2")]
+    assert dict(rows[1]["attrs"])["role"] == "aut"
+    creators = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("b", 1, 2), ("b", 2, 2)], "book_id string, pos int, display_seq int")
+    assert sorted((r.book_id, r.pos, r.place) for r in legacy.order_creators(creators).collect()) == [("a", 1, 2), ("a", 2, 1), ("b", 1, 1), ("b", 2, 2)]
+    images = spark.createDataFrame([("b", 0, "x.png", "/x"), ("b", 1, "Cover.png", "/c"), ("c", 0, "y.png", "/y"), ("c", 1, "mycover", "/m")], "book_id string, seq int, ref string, location string")
+    shown = legacy.page_images(spark.createDataFrame([("b", 3, "<img src='x.png'/>"), ("c", 0, "")], "book_id string, page_no int, markup string"), images)
+    assert sorted(map(tuple, legacy.first_image(shown, images).collect())) == [("b", "/x"), ("c", "/m")]

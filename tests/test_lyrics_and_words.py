@@ -57,3 +57,11 @@ def test_offset_stream(spark, tmp_path):
     q = stream.offset_stream(marks).writeStream.format("memory").queryName("offsets").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.track, r.at_ms) for r in spark.table("offsets").collect()) == [("a", 5), ("a", 107), ("b", 1)]
+
+
+def test_trimmed_readings(spark):
+    sound = {"a": [-80] * 5 + [-10] * 4 + [-80] * 6, "b": [-10] * 3, "c": [-80] * 4}
+    frames = spark.createDataFrame([(t, k, float(v)) for t, vs in sound.items() for k, v in enumerate(vs)], "track string, ms int, dbfs double")
+    halves = spark.createDataFrame([("a", 2, 1), ("b", 0, 4), ("c", 1, None)], "track string, start_half int, end_half int")
+    got = {r.track: (r.cut_start, r.new_length) for r in lyrics.trimmed_readings(frames, halves).collect()}
+    assert got == {"a": (2, 7 + 1 + 1), "b": (-1, 4 + 1 + 4), "c": (2, 2)}
