@@ -130,7 +130,7 @@ def album_tags(metadata: DataFrame, rules: DataFrame) -> DataFrame:
     tries = books.crossJoin(F.broadcast(rules))  # rules are a handful, each tried once for a book
     tests = tries.select("book_id", "tag", "rule_no", F.posexplode("tests").alias("test_no", "test")).select("book_id", "tag", "rule_no", "test_no", F.col("test.element").alias("element"), F.col("test.attr").alias("attr"), F.col("test.value").alias("want"))
     meets = tests.join(metadata, ["book_id", "element"], "left").groupBy("book_id", "tag", "rule_no", "test_no").agg(
-        F.min_by(F.col("attrs"), F.when(F.get(F.transform(F.array("attr"), lambda a: F.element_at("attrs", a)), F.lit(0)) == F.col("want"), F.col("seq"))).alias("at"),
+        F.min_by(F.col("attrs"), F.when(F.element_at("attrs", F.col("attr")) == F.col("want"), F.col("seq"))).alias("at"),
         F.coalesce(F.bool_or(F.element_at("attrs", F.col("attr")) == F.col("want")), F.lit(False)).alias("holds"),
     )
     passed = meets.groupBy("book_id", "tag", "rule_no").agg(F.bool_and("holds").alias("ok"), F.max_by("at", "test_no").alias("at"))
