@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 from collections.abc import Iterator
 
@@ -30,19 +31,31 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import slices, stored
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: Tokens after which a shard ends (at the end of a document).
 SHARD_TOKENS = 2_000_000
-#: Distinct words that a worker remembers (bounds memory, not results).
-REMEMBERED = 300_000
+#: Distinct words, and as many pieces, that a worker remembers (bounds memory, not results).
+REMEMBERED = 800_000
 #: Shard descriptions (24 bytes each) that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SHARDS = 200_000
 
 
+#: Texts that the format's normalizer only lower-cases: no control or special characters, none beyond U+024F (none of these composes).
+PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
+LETTERS, DIGITS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The format's split into pieces, for such texts.
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+
+
 class WordEncoder:
-    """The library's ids of whole texts. The format drops white space, so each distinct word is encoded once."""
+    """The library's ids of whole texts.
+
+    The format drops white space, so words are encoded apart: of plain texts each distinct piece once by the library's
+    model, of other texts (further scripts, control characters, special tokens) each distinct word once by the whole library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,18 +64,36 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+
+    def piece(self, text: str) -> bytes:
+        tokens = self.library.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        self.pieces[text] = packed = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return packed
+
+    def word(self, word: bytes) -> bytes:
+        self.words[word] = packed = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without the end id."""
-        cuts = [t.encode().split() for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for cut in cuts for w in cut if w not in self.known})
-        for w, e in zip(new, self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, cut)) for cut in cuts]
+        for memory in (self.words, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        out = []
+        for text in texts:
+            if PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+                cut, known, make = PIECE.findall(text.lower()), self.pieces, self.piece
+            else:
+                cut, known, make = text.encode().split(), self.words, self.word
+            found = list(map(known.get, cut))
+            if None in found:
+                found = [known.get(w) or make(w) for w in cut]
+            out.append(b"".join(found))
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -8,6 +8,16 @@ from tokenizers import Tokenizer
 from narratum.llm import wavelet
 
 
+def test_encoder_matches_library():
+    rng = random.Random(9)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), wavelet.WordEncoder(path)
+    pool = ["a", "B", "th", "ING", "'s", "'LL", "9", "42", "!", "...", "é", "É", "ß", "İ", "Σ", "ς", "ﬁ", "e\u0301", "\u0301", "\xa0", "\x85", "\x1c", "\x7f", "日", "👍", " ", "  ", "\n", "\t", "½", "<|endoftext|>", "<|", "ǅ", "\u200b"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_matrix_operations():
     rng = random.Random(5)
     for n, top in ((0, 1), (1, 1), (700, 3), (5000, 49000), (1500, 2)):
