@@ -270,7 +270,8 @@ def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, th, spans) for rows of docs (doc_id long, th int, text) that lose words: spans are array<struct<s, e>> of words."""
     texts = docs.where("doc_id is not null").select("doc_id", "th", "text")
     found = stored(texts.mapInArrow(_find, "doc_id long, th int, s int, n int, anchor long, region long"), "regions")
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor")
+    # Stored, so that the join below has plain exchanges on both sides, whose skewed partitions Spark can split.
+    several = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"), "several")
     shared = stored(found.join(several, "anchor"), "shared")
     distinct = shared.groupBy("anchor", "region").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "th", "s", "n")).alias("x"))
     crowds = shared.groupBy("anchor", "region").count().groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded"))
