@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from .common import checkpointed, slices
 from .components import components
 
@@ -179,9 +180,10 @@ def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its component's id; of repeated ids one row stays."""
-    found = groups(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = checkpointed(kept.select(F.col("doc_id").alias("kept_id"), "n"))
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"]) if kept.where("n > 1").limit(1).count() else out
+    """One row of docs for each group of texts linked by similar pairs (see resemblance): the one with the smallest doc_id."""
+    keyed = docs.select(resemblance.key_of(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"))
+    rows = keyed.join(resemblance.groups(docs).withColumnRenamed("node", "key"), "key", "left")
+    kept = rows.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("id").alias("kept_id")).groupBy("kept_id").agg(F.count("*").alias("n"))
+    kept = checkpointed(kept)
+    out = docs.join(kept.select("kept_id"), docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
+    return out.dropDuplicates(["doc_id"])

@@ -73,3 +73,32 @@ def test_groups_and_keep(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3, 6, 8]
     assert simhash.groups(docs.limit(0)).count() == 0
     assert simhash.keep_one(docs).columns == docs.columns
+
+
+def shingle_groups(texts):
+    sets = []
+    for text in texts:
+        words = (text or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return plain_components(pairs, range(len(sets)))
+
+
+def test_stage_finds_few_word_edits(spark):
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts, line = [], say(12)
+    for n in (6, 30, 60, 110, 200, 400):
+        base = say(n)
+        for edits in [0, 1, 1, 2, 3, 4, 6, 9, *([1] * 20)]:
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(n)] = f"x{rng.randrange(9999)}"
+            texts.append(" ".join(words))
+        texts.append(" ".join(base[: n - n // 9]))
+    texts += [" ".join(line + say(rng.randrange(30))) for _ in range(40)] + [None, "", "one two", "One  two", "one three"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(set(shingle_groups(texts).values()))
+    got = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert got == want and len(want) < len(texts) / 2
