@@ -180,10 +180,22 @@ def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each group of texts linked by similar pairs (see resemblance): the one with the smallest doc_id."""
-    keyed = docs.select(resemblance.key_of(F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("id"))
-    rows = keyed.join(resemblance.groups(docs).withColumnRenamed("node", "key"), "key", "left")
-    kept = rows.groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("id").alias("kept_id")).groupBy("kept_id").agg(F.count("*").alias("n"))
-    kept = checkpointed(kept)
-    out = docs.join(kept.select("kept_id"), docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One row of docs for each group of texts linked by similar pairs (see resemblance).
+
+    Rows are told apart by id and text: the one with the smallest doc_id stays, nulls last, then the smallest hash of the text.
+    """
+    keyed = docs.withColumns({"__key": resemblance.key_of(F.col("text")), "__id": F.col("doc_id").cast("long")})
+    rows = keyed.groupBy("__key", "__id").agg(F.count("*").alias("n"))
+    rows = rows.join(resemblance.groups(docs).withColumnRenamed("node", "__key"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
+    place = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key"))
+    rows = checkpointed(rows.withColumn("place", place))
+    best = rows.groupBy("root").agg(F.min("place").alias("best"))
+    placed = checkpointed(rows.join(best, "root").select("__key", "__id", "n", (F.col("place") == F.col("best")).alias("kept")))
+    same = lambda few: (keyed["__key"] == few["few_key"]) & keyed["__id"].eqNullSafe(few["few_id"])
+    few = placed.where("not kept").select(F.col("__key").alias("few_key"), F.col("__id").alias("few_id"))
+    out = keyed.join(few, same(few), "left_anti")
+    few = placed.where("kept and n > 1").select(F.col("__key").alias("few_key"), F.col("__id").alias("few_id"))
+    if few.limit(1).count():
+        again = out.join(few, same(few), "left_semi").dropDuplicates(["__key", "__id"])
+        out = out.join(few, same(few), "left_anti").union(again)
+    return out.drop("__key", "__id")

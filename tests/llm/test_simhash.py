@@ -102,3 +102,11 @@ def test_stage_finds_few_word_edits(spark):
     want = sorted(set(shingle_groups(texts).values()))
     got = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
     assert got == want and len(want) < len(texts) / 2
+
+
+def test_keep_one_decides_by_row(spark):
+    a, b, c, d = ("one two three four five six", "seven eight nine ten eleven", "twelve thirteen", "fourteen")
+    rows = [(None, a), (None, b), (None, b), (4, c), (4, d), (7, c), (None, d), (2, "x y"), (9, "x  Y"), (9, "z"), (5, None), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_one(docs).collect())
+    assert got == sorted([("None", a), ("None", b), ("4", c), ("4", d), ("2", "x y"), ("9", "z"), ("5", "")])
