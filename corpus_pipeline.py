@@ -15,7 +15,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id."""
+    """One document of each near-duplicate group (five-word shingles, similarity 0.8 or more): the one with the smallest id."""
     return simhash.keep_one(docs)
 
 
@@ -26,7 +26,7 @@ def repeated_passages_out(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item."""
-    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return decontam.without_items(docs, read(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

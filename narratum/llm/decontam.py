@@ -102,6 +102,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(dirty, docs["doc_id"].cast("long") == dirty["dirty_id"], "left_anti")
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs whose text contains the text of a benchmark row, whatever their ids, left out."""
+    key = F.xxhash64("text")
+    items = benchmark.where("text is not null").select(key.alias("item_id"), "text").dropDuplicates(["item_id"])
+    dirty = contained(docs.where("text is not null").select(key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("__dirty")).distinct()
+    return docs.join(dirty, F.xxhash64(docs["text"]) == dirty["__dirty"], "left_anti")
+
+
 SQL = rf"""
 with d as (select doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as t from documents where doc_id is not null),
 b as (select item_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as t from benchmark where item_id is not null),

@@ -53,3 +53,12 @@ def test_empty(spark):
     b = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert decontam.contained(d.limit(0), b).count() == 0
     assert decontam.contained(d, b.limit(0)).count() == 0 and decontam.decontaminate(d, b.limit(0)).count() == 1
+
+
+def test_stage_goes_by_text(spark):
+    one, two = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    d = spark.createDataFrame([(None, f"x {one} y"), (1, f"x {two} y"), (2, "clean"), (None, "clean too"), (3, one), (3, "clean as well"), (4, None)], "doc_id long, text string")
+    for ids in ((None, None), (7, 7), (None, 7)):
+        b = spark.createDataFrame([(ids[0], one), (ids[1], two), (8, None)], "item_id long, text string")
+        kept = decontam.without_items(d, b)
+        assert kept.columns == d.columns and sorted(str(r.text) for r in kept.collect()) == ["None", "clean", "clean as well", "clean too"]
