@@ -4,8 +4,9 @@ Counts of all words of the training documents come first (a distributed aggregat
 vocabulary). The MODEL_WORDS most frequent words are symbols of their own; every other word belongs to one of BUCKETS
 symbols by its spelling. The network gives P(symbol | all tokens before) as P(class) * P(symbol | class); a word in a
 bucket gets P(bucket) * (c + ALPHA) / (N_b + ALPHA * (V_b + 1)) with the counts of that bucket's words. It is trained in
-numpy by truncated backpropagation on at most SAMPLE training documents (a documented bound; the counts cover all):
-gradients stop at a window's start, the state does not. Scoring carries the state over all windows of a document, so a
+numpy by truncated backpropagation: gradients stop at a window's start, the state does not. A warm start on SAMPLE documents
+is followed by ROUNDS rounds over all training documents, each document in one of them: every task trains a copy of the
+network on its share, pool by pool, and the copies are averaged by their numbers of tokens. Scoring carries the state over all windows of a document, so a
 log-likelihood is that of the complete text. Documents are packed into parallel streams, with the state reset between.
 
 Counts of the HEAD most frequent words are broadcast (a bound); those of all other words are joined by a shuffle.
@@ -17,6 +18,7 @@ training row and not held out; other columns are ignored.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ from .common import fold_of, slices, stored
 FOLDS, HELD_OUT, ALPHA = 10, 0, 0.1
 END = b"\n"  # no word holds white space
 MODEL_WORDS, BUCKETS, CLASSES, HIDDEN = 2048, 256, 48, 32
-#: Words whose counts are broadcast; training documents of the network.
+#: Words whose counts are broadcast; training documents of the warm start.
 HEAD, SAMPLE = 200_000, 1500
+#: Rounds over all training documents, their learning rate and streams; pieces in which weights are averaged.
+ROUNDS, ROUND_RATE, ROUND_STREAMS, PIECES = 2, 0.001, 256, 16
 WINDOW, STREAMS, EPOCHS, RATE = 32, 64, 2, 0.004
 #: Bytes of text that a task packs into streams at a time, and its streams.
 POOL_BYTES, POOL_STREAMS, POOL_WINDOW = 8 << 20, 256, 64
@@ -111,8 +116,11 @@ class Network:
         new = np.tanh(gates[:, 2 * k :] + zr[:, k:] * inner)
         return new + zr[:, :k] * (h - new), zr, inner, new
 
-    def output(self, hs: np.ndarray, target: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of the targets from the states before them; with grads, also their gradient (to be maximised)."""
+    def output(self, hs: np.ndarray, target: np.ndarray, grads: dict | None = None, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probabilities of the targets from the states before them; with grads, also their gradient (to be maximised).
+
+        real: which targets the gradient counts (none given: all).
+        """
         cls, member = target % self.classes, target // self.classes
         rows = np.arange(len(target))
         logs = log_softmax(hs @ self.p["class"] + self.p["class_bias"])
@@ -120,6 +128,8 @@ class Network:
         if grads is not None:
             d = -np.exp(logs)
             d[rows, cls] += 1
+            if real is not None:
+                d *= real[:, None]
             grads["class"], grads["class_bias"], back = hs.T @ d, d.sum(axis=0), d @ self.p["class"].T
             grads["member"], grads["member_bias"] = np.zeros_like(self.p["member"]), np.zeros_like(self.p["member_bias"])
         order = np.argsort(cls, kind="stable")
@@ -132,11 +142,13 @@ class Network:
             if grads is not None:
                 d = -np.exp(own)
                 d[k, member[at]] += 1
+                if real is not None:
+                    d *= real[at, None]
                 grads["member"][c], grads["member_bias"][c] = hs[at].T @ d, d.sum(axis=0)
                 back[at] += d @ self.p["member"][c].T
         return out, back
 
-    def window(self, source: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def window(self, source: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray, grads: dict | None = None, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """One window (time, streams): log-probabilities of the targets and the state to carry on.
 
         reset marks where a document begins: the state before is dropped there. Without grads nothing is kept.
@@ -151,7 +163,7 @@ class Network:
             hs[k] = h
             if grads is not None:
                 kept.append((before, *rest))
-        logs, back = self.output(hs.reshape(t * b, -1), target.ravel(), grads)
+        logs, back = self.output(hs.reshape(t * b, -1), target.ravel(), grads, None if real is None else real.ravel())
         if grads is not None:
             back, n, d = back.reshape(t, b, -1), self.hidden, np.zeros_like(h)
             d_gates, d_state, d_inner = np.empty_like(gates), np.zeros_like(self.p["state"]), np.zeros_like(self.p["inner"])
@@ -168,7 +180,9 @@ class Network:
                 d_inner += d_u[:, 2 * n :].sum(axis=0)
                 d = (d * z + d_u @ self.p["state"].T) * keep[k]
             grads["state"], grads["inner"], grads["gate"] = d_state, d_inner, np.zeros_like(self.p["gate"])
-            np.add.at(grads["gate"], source.ravel(), d_gates.reshape(t * b, -1))
+            order = np.argsort(source, axis=None, kind="stable")
+            symbols, first = np.unique(source.ravel()[order], return_index=True)
+            grads["gate"][symbols] = np.add.reduceat(d_gates.reshape(t * b, -1)[order], first)
         return logs.reshape(t, b), h
 
     def train(self, docs: list[np.ndarray], start: int, epochs: int = EPOCHS, rate: float = RATE, streams: int = STREAMS, window: int = WINDOW, seed: int = 3) -> None:
@@ -179,17 +193,21 @@ class Network:
         m, v, count = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
         streams = max(1, min(streams, sum(map(len, docs)) // window))
         for _ in range(epochs):
-            source, target, reset, _ = pack([docs[k] for k in rng.permutation(len(docs))], start, streams)
-            steps = len(source) // window or 1
+            source, target, reset, owner = pack([docs[k] for k in rng.permutation(len(docs))], start, streams)
+            steps = -(-len(source) // window)
             total, h = steps * epochs, np.zeros((source.shape[1], self.hidden), np.float32)
             for k in range(steps):
-                cut, grads = slice(k * window, (k + 1) * window), {}
-                _, h = self.window(source[cut], target[cut], reset[cut], h, grads)
+                # Streams are sorted by length, so those that have ended are at the end; what pads the others isn't learned.
+                live = max(1, int((owner[k * window] >= 0).sum()))
+                cut, grads = (slice(k * window, (k + 1) * window), slice(live)), {}
+                real = (owner[cut] >= 0).astype(np.float32)
+                _, h = self.window(source[cut], target[cut], reset[cut], h[:live], grads, real)
                 count += 1
-                size = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / source[cut].size
+                tokens = float(real.sum())
+                size = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / tokens
                 pace = rate * (1 - 0.9 * min(1, count / total)) * math.sqrt(1 - 0.99**count) / (1 - 0.9**count)
                 for name, g in grads.items():
-                    g = g / (source[cut].size * max(1.0, size / 0.5))
+                    g = g / (tokens * max(1.0, size / 0.5))
                     m[name] += 0.1 * (g - m[name])
                     v[name] += 0.01 * (g * g - v[name])
                     self.p[name] += (pace * m[name] / (np.sqrt(v[name]) + 1e-8)).astype(np.float32)
@@ -288,9 +306,49 @@ def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
     chosen = train.where("doc_id is not null").select(F.col("doc_id").alias("chosen_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "chosen_id").limit(SAMPLE)
     texts = train.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).orderBy("h").select("text").limit(SAMPLE).collect()
     scorer.network.train([scorer.symbols(words_of(r.text or ""))[0] for r in texts], int(scorer.start))
+    for k in range(ROUNDS):
+        learn(scorer, train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k))
     return scorer, counts
 
 
+def learn(scorer: Scorer, docs: DataFrame) -> None:
+    """One round: the network becomes the average of the copies that the tasks trained on their shares of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by HEAD
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pool, weight, tokens = shared.value, [], 0, 0
+        network = copy.copy(own.network)
+        network.p = {name: x.copy() for name, x in network.p.items()}
+        for _, texts in slices(batches):
+            for text in texts:
+                pool.append(own.symbols(words_of(text))[0])
+                tokens += len(pool[-1])
+                weight += len(text)
+            if weight >= POOL_BYTES:
+                network.train(pool, int(own.start), 1, ROUND_RATE, ROUND_STREAMS)
+                pool, weight = [], 0
+        network.train(pool, int(own.start), 1, ROUND_RATE, ROUND_STREAMS)
+        if tokens:
+            parts = np.array_split(np.concatenate([x.ravel() for x in network.p.values()]), PIECES)
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([task] * PIECES, pa.int32()), pa.array([tokens] * PIECES, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["piece", "task", "tokens", "w"])
+
+    def average(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task")
+        total, out = sum(table.column("tokens").to_pylist()), 0.0
+        for n, w in zip(table.column("tokens").to_pylist(), table.column("w")):
+            out = out + np.frombuffer(w.as_py(), np.float32).astype(np.float64) * (n / total)
+        return pa.table({"piece": table.column("piece").slice(0, 1), "w": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(run, "piece int, task int, tokens long, w binary").groupBy("piece").applyInArrow(average, "piece int, w binary")
+    rows = sorted(parts.collect(), key=lambda r: r.piece)  # as large as the network
+    if rows:
+        flat, at = np.concatenate([np.frombuffer(bytes(r.w), np.float32) for r in rows]), 0
+        for name, x in scorer.network.p.items():
+            scorer.network.p[name] = flat[at : at + x.size].reshape(x.shape).copy()
+            at += x.size
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

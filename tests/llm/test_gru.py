@@ -99,3 +99,15 @@ def test_frequent_words(spark):
     assert gru.frequent(counts, 6) == [(b"A", 9), (b"C", 5), (b"D", 5), (b"B", 1), (b"E", 1), (b"F", 1)]
     assert gru.frequent(counts, 5) == [(b"A", 9), (b"C", 5), (b"D", 5)]
     assert gru.frequent(counts, 0) == [] and gru.frequent(counts.limit(0)) == []
+
+
+def test_network_learns_from_documents_outside_the_warm_start(spark, monkeypatch):
+    monkeypatch.setattr(gru, "SAMPLE", 1)
+    monkeypatch.setattr(gru, "ROUND_RATE", 0.02)
+    docs = spark.createDataFrame([(k, "red green blue " * 200) for k in range(400)], "doc_id long, text string").repartition(3)
+    trained = gru.fit(docs)[0]
+    monkeypatch.setattr(gru, "ROUNDS", 0)
+    warm = gru.fit(docs)[0]
+    symbols = [trained.symbols(gru.words_of("red green blue " * 50))[0]]
+    start = int(trained.start)
+    assert trained.network.score(symbols, start).sum() > 0.7 * warm.network.score(symbols, start).sum()
