@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_entry, first_year
 from .ssml import pack, requests
 
 PARAGRAPH, QUERY = 2000, 2700
@@ -145,3 +146,45 @@ def first_image(found: DataFrame, images: DataFrame) -> DataFrame:
     shown = found.join(images.select("book_id", "ref", "seq"), ["book_id", "ref"]).groupBy("book_id").agg(F.min_by("location", F.struct("page_no", "seq")).alias("shown"))
     cover = images.where(F.contains(F.lower("ref"), F.lit("cover"))).groupBy("book_id").agg(F.min_by("location", "seq").alias("cover"))
     return shown.join(cover, "book_id", "full_outer").select("book_id", F.coalesce("shown", "cover").alias("location"))
+
+
+def album_tags(metadata: DataFrame) -> DataFrame:
+    """Metadata (book_id, element, seq, attrs map with text) to (book_id, tags map, genres array) by the older rules.
+
+    A name is an element's `file-as`, else its text; of repeated elements the first counts. Of several creators, in
+    display order, the last whose role holds `aut` is the artist and the last whose role holds `tr` the composer; the
+    first creator is the artist where no role says so. The year is that of the only date, or of the first publication among
+    several that has one, else of the rights. Every subject is a genre, the first of them the tag. Null names give no tag.
+    """
+    attr = lambda key: F.try_element_at("attrs", F.lit(key))
+    rows = metadata.select("book_id", "element", "seq", "attrs", F.coalesce(attr("file-as"), attr("text")).alias("name"))
+    creators = rows.where("element = 'creator'").withColumns({"pos": F.col("seq"), "display_seq": attr("display-seq").try_cast("int"), "role": F.lower(attr("role"))})
+    creators = order_creators(creators, "display_seq").groupBy("book_id").agg(
+        F.count("*").alias("several"), F.min_by("name", "place").alias("first"),
+        *[F.max_by("name", F.when(F.contains("role", F.lit(part)), F.col("place"))).alias(part) for part in ("aut", "tr")],
+    )
+    first = lambda element, value: F.min_by(value, F.when(F.col("element") == element, F.col("seq")))
+    year = first_year(attr("text"))
+    published = (F.col("element") == "date") & F.contains(attr("event"), F.lit("publication")) & year.isNotNull()
+    books = rows.groupBy("book_id").agg(
+        first("publisher", "name").alias("publisher"), first("rights", "name").alias("rights"), first("title", attr("text")).alias("title"), first("title", "name").alias("album"),
+        F.count_if(F.col("element") == "date").alias("dates"), first("date", year).alias("dated"), F.min_by(year, F.when(published, F.col("seq"))).alias("published"),
+        F.array_sort(F.collect_list(F.when((F.col("element") == "subject") & F.col("name").isNotNull(), F.struct("seq", "name")))).alias("subjects"),
+    ).join(creators, "book_id", "left")
+    several = F.col("several") > 1
+    artist = F.when(several, F.coalesce("aut", "first")).otherwise(F.col("first"))
+    genres = F.col("subjects")["name"]
+    values = {
+        "ARTIST": artist, "ALBUMARTIST": artist, "COMPOSER": F.when(several, F.col("tr")), "PUBLISHER": F.col("publisher"), "COPYRIGHT": F.col("rights"),
+        "YEAR": F.coalesce(F.when(F.col("dates") > 1, F.col("published")).otherwise(F.col("dated")), first_year(F.col("rights"))),
+        "ALBUMSORT": F.coalesce("title", "album"), "ALBUM": F.col("album"), "GENRE": F.get(genres, F.lit(0)),
+    }
+    tags = F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*values.values()))
+    return books.select("book_id", F.map_filter(tags, lambda k, v: v.isNotNull()).alias("tags"), genres.alias("genres"))
+
+
+def entry_tags(entries: DataFrame, album: DataFrame) -> DataFrame:
+    """Entries (book_id, entry_no, text) with the album's tags and a TITLE: the text, or the entry's number where there is none."""
+    title = F.coalesce(clean_entry(F.col("text")), F.concat(F.lit("Entry Number "), F.col("entry_no").cast("string")))
+    none = F.expr("cast(map() as map<string, string>)")
+    return entries.join(album, "book_id", "left").withColumn("tags", F.map_concat(F.coalesce("tags", none), F.create_map(F.lit("TITLE"), title)))

@@ -435,6 +435,35 @@ def id3_fields(spark: SparkSession, d: str) -> DataFrame:
     return legacy.id3_fields(rows, {"TITLE": "TIT2", "DATE": "year"}, ["p_partkey", "folder"]).select("p_partkey", "field", "value", "folder")
 
 
+@query("""with p as (select *, p_size % 5 = 0 as alone from part),
+t as (select p_partkey, unnest(['ARTIST', 'ALBUMARTIST']) as tag, case when alone or p_size % 3 = 0 then p_brand when p_size % 3 = 1 or p_size % 4 = 0 then p_type else p_brand end as value from p
+ union all select p_partkey, 'COMPOSER', p_type from p where not alone and p_size % 3 <> 1 union all select p_partkey, 'COPYRIGHT', '(c) 1970 ' || p_brand from p
+ union all select p_partkey, 'YEAR', case when p_size % 6 = 0 then '1987' when p_size % 7 = 0 then '1970' else (2000 + p_size)::varchar end from p
+ union all select p_partkey, 'ALBUMSORT', p_name from p union all select p_partkey, 'ALBUM', case when p_size % 2 = 0 then upper(p_name) else p_name end from p
+ union all select p_partkey, 'GENRE', case when p_size % 2 = 1 then 'drama' else 'poetry' end from p
+ union all select p_partkey, 'TITLE', case when p_size % 2 = 0 then replace(p_type, '/', '-') else 'Entry Number ' || p_size::varchar end from p)
+select p_partkey, tag, value, case when p_size % 2 = 1 then 'drama, poetry' else 'poetry' end as genres from t join p using (p_partkey)""")
+def legacy_tags(spark: SparkSession, d: str) -> DataFrame:
+    p, size, no = table(spark, d, "part"), F.col("p_size"), iter(range(10))
+    pairs = lambda **kv: F.map_from_arrays(F.array(*[F.lit(k.replace("_", "-")) for k in kv]), F.array(*[(v if isinstance(v, Column) else F.lit(v)).cast("string") for v in kv.values()]))
+    element = lambda name, **kv: F.struct(F.lit(name).alias("element"), F.lit(next(no)).alias("seq"), pairs(**kv).alias("attrs"))
+    swapped = size % 4 == 0
+    kinds = F.array(
+        element("title", text=F.col("p_name"), file_as=F.when(size % 2 == 0, F.upper("p_name"))),
+        element("creator", text=F.col("p_brand"), role=F.when(size % 3 == 0, "aut").otherwise("edt"), display_seq=F.when(swapped & (size % 5 != 0), 2).otherwise(1)),
+        F.when(size % 5 != 0, element("creator", text=F.col("p_type"), role=F.when(size % 3 == 1, "Aut").otherwise("trl"), display_seq=F.when(swapped, 1).otherwise(2))),
+        F.when(size % 6 == 0, element("date", text="1987-05", event=None)).otherwise(element("date", text="c. 1999", event="creation")),
+        F.when(size % 6 != 0, element("date", text=size + 2000, event=F.when(size % 7 == 0, "modification").otherwise("original-publication"))),
+        element("rights", text=F.concat(F.lit("(c) 1970 "), F.col("p_brand"))),
+        F.when(size % 2 == 1, element("subject", text="drama")),
+        element("subject", text="poetry"),
+    )
+    meta = p.select(F.col("p_partkey").alias("book_id"), F.explode(kinds).alias("x")).where("x is not null").select("book_id", "x.*")
+    entries = p.select(F.col("p_partkey").alias("book_id"), F.col("p_size").alias("entry_no"), F.when(size % 2 == 0, F.col("p_type")).alias("text"))
+    out = legacy.entry_tags(entries, legacy.album_tags(meta))
+    return out.select(F.col("book_id").alias("p_partkey"), F.explode("tags").alias("tag", "value"), F.array_join("genres", ", ").alias("genres"))
+
+
 # The relational surface that the engine has from Spark itself.
 
 
