@@ -25,25 +25,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, slices, stored
+from .common import fold_of, pieces, stored
 
 FOLDS, HELD_OUT, ALPHA = 10, 0, 0.1
 END = b"\n"  # no word holds white space
-MODEL_WORDS, BUCKETS, CLASSES, HIDDEN = 2048, 256, 48, 32
+MODEL_WORDS, BUCKETS, CLASSES, HIDDEN = 1024, 272, 36, 16
 #: Words whose counts are broadcast; training documents of the warm start.
-HEAD, SAMPLE = 200_000, 1500
-#: Rounds over all training documents, their learning rate and streams; pieces in which weights are averaged.
-ROUNDS, ROUND_RATE, ROUND_STREAMS, PIECES = 2, 0.001, 256, 16
+HEAD, SAMPLE = 400_000, 1500
+#: Rounds over all training documents, their learning rate, streams, window and longest stretch; pieces in which weights are averaged.
+ROUNDS, ROUND_RATE, ROUND_STREAMS, ROUND_WINDOW, STRETCH, PIECES = 2, 0.006, 512, 16, 512, 16
 WINDOW, STREAMS, EPOCHS, RATE = 32, 64, 2, 0.004
-#: Bytes of text that a task packs into streams at a time, and its streams.
-POOL_BYTES, POOL_STREAMS, POOL_WINDOW = 8 << 20, 256, 64
+#: Bytes of text that a task packs into streams at a time, and its streams; bytes and rows whose words are looked up at a time.
+POOL_BYTES, POOL_STREAMS, POOL_WINDOW, LOOKUP_BYTES, LOOKUP_ROWS = 16 << 20, 1024, 16, 8 << 20, 4096
 #: Distinct words after which a counting task hands on what it has.
-FLUSH = 200_000
+FLUSH = 300_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -55,6 +56,15 @@ def bucket(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[:2] + b"|" + word[-1:]) % BUCKETS
 
 
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts as one binary array, and where each text's words begin (and the last one's end)."""
+    parts = pa.compute.ascii_split_whitespace(pa.compute.ascii_lower(texts.fill_null("")))
+    flat = parts.flatten().cast(pa.binary())
+    real = pa.compute.greater(pa.compute.binary_length(flat), 0)
+    ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real), ends[np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy())])]
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word binary, bucket int, c long) over all rows of docs, the end tokens too."""
 
@@ -67,10 +77,11 @@ def count_words(docs: DataFrame) -> DataFrame:
             counts.clear()
             return out
 
-        for _, texts in slices(batches):
-            for text in texts:
-                counts.update(words_of(text))
-            counts[END] += len(texts)
+        for part in pieces(batches, LOOKUP_ROWS, LOOKUP_BYTES):
+            found = cut(part.column("text"))[0].value_counts()
+            for word, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist()):
+                counts[word] += n
+            counts[END] += part.num_rows
             if len(counts) > FLUSH:
                 yield flush()
         if counts:
@@ -79,17 +90,11 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, bucket int, n long").groupBy("word", "bucket").agg(F.sum("n").alias("c"))
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-
-
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 class Network:
-    """Symbols 0..n-1; symbol s belongs to class s % CLASSES and is its member s // CLASSES."""
+    """Symbols 0..n-1; symbol s belongs to class s % CLASSES and is its member s // CLASSES.
+
+    gate and state have a block for the update, the reset and the new state each.
+    """
 
     def __init__(self, weights: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 7):
         """weights: how often each symbol occurs, for the first guess of the output."""
@@ -98,54 +103,65 @@ class Network:
         self.members = -(-self.n // classes)
         share = np.zeros(self.members * classes)
         share[: self.n] = (weights + 0.5) / (weights + 0.5).sum()
-        by_class = share.reshape(self.members, classes)
+        by_class = np.maximum(share, 1e-30).reshape(self.members, classes)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        with np.errstate(divide="ignore"):
-            member_bias = np.maximum(np.log(by_class / by_class.sum(axis=0)), -30).T
         self.p = {
-            "gate": small(self.n, 3 * hidden), "state": small(hidden, 3 * hidden), "inner": np.zeros(hidden, np.float32),
+            "gate": small(3, self.n, hidden), "state": small(3, hidden, hidden), "inner": np.zeros(hidden, np.float32),
             "class": np.zeros((hidden, classes), np.float32), "class_bias": np.log(by_class.sum(axis=0)).astype(np.float32),
-            "member": np.zeros((classes, hidden, self.members), np.float32), "member_bias": member_bias.astype(np.float32),
+            "member": np.zeros((classes, hidden, self.members), np.float32), "member_bias": np.maximum(np.log(by_class / by_class.sum(axis=0)), -30).T.astype(np.float32),
         }
 
-    def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        k = self.hidden
-        u = h @ self.p["state"]
-        zr = sigmoid(gates[:, : 2 * k] + u[:, : 2 * k])
-        inner = u[:, 2 * k :] + self.p["inner"]
-        new = np.tanh(gates[:, 2 * k :] + zr[:, k:] * inner)
-        return new + zr[:, :k] * (h - new), zr, inner, new
+    def softmax(self, hs: np.ndarray, weights: np.ndarray, bias: np.ndarray, bounded: bool, want: np.ndarray, d: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Log-probabilities of the wanted columns and, if d, the gradient of the logits. bounded: exponents need no shift."""
+        x, rows = hs @ weights, np.arange(len(hs))
+        x += bias
+        if not bounded:
+            x -= x.max(axis=1, keepdims=True)
+        out = x[rows, want]
+        np.exp(x, out=x)
+        total = x.sum(axis=1)
+        out = out - np.log(total)
+        if not d:
+            return out, None
+        x *= (-1 / total)[:, None]
+        x[rows, want] += 1
+        return out, x
 
     def output(self, hs: np.ndarray, target: np.ndarray, grads: dict | None = None, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of the targets from the states before them; with grads, also their gradient (to be maximised).
 
         real: which targets the gradient counts (none given: all).
         """
+        p, back = self.p, None
         cls, member = target % self.classes, target // self.classes
-        rows = np.arange(len(target))
-        logs = log_softmax(hs @ self.p["class"] + self.p["class_bias"])
-        out, back = logs[rows, cls].astype(np.float64), None
+        size = max(1.0, float(np.abs(hs).max(initial=0)))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        hs, cls, member = hs[order], cls[order], member[order]
+        fine = bool((size * np.abs(p["class"]).sum(axis=0) + np.abs(p["class_bias"])).max() < 60)
+        logs, d = self.softmax(hs, p["class"], p["class_bias"], fine, cls, grads is not None)
         if grads is not None:
-            d = -np.exp(logs)
-            d[rows, cls] += 1
             if real is not None:
+                real = real[order]
                 d *= real[:, None]
-            grads["class"], grads["class_bias"], back = hs.T @ d, d.sum(axis=0), d @ self.p["class"].T
-            grads["member"], grads["member_bias"] = np.zeros_like(self.p["member"]), np.zeros_like(self.p["member_bias"])
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            at = order[edges[c] : edges[c + 1]]
-            own = log_softmax(hs[at] @ self.p["member"][c] + self.p["member_bias"][c])
-            k = np.arange(len(at))
-            out[at] += own[k, member[at]]
+            grads["class"], grads["class_bias"], back = hs.T @ d, d.sum(axis=0), d @ p["class"].T
+            grads["member"], grads["member_bias"] = np.zeros_like(p["member"]), np.zeros_like(p["member_bias"])
+        edges = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        fine = (size * np.abs(p["member"]).sum(axis=1) + np.abs(p["member_bias"])).max(axis=1) < 60
+        for c, (s, e) in enumerate(zip(edges[:-1], edges[1:])):
+            if s == e:
+                continue
+            own, d = self.softmax(hs[s:e], p["member"][c], p["member_bias"][c], bool(fine[c]), member[s:e], grads is not None)
+            logs[s:e] += own
             if grads is not None:
-                d = -np.exp(own)
-                d[k, member[at]] += 1
                 if real is not None:
-                    d *= real[at, None]
-                grads["member"][c], grads["member_bias"][c] = hs[at].T @ d, d.sum(axis=0)
-                back[at] += d @ self.p["member"][c].T
+                    d *= real[s:e, None]
+                grads["member"][c], grads["member_bias"][c] = hs[s:e].T @ d, d.sum(axis=0)
+                back[s:e] += d @ p["member"][c].T
+        out = np.empty(len(logs))
+        out[order] = logs
+        if back is not None:
+            sorted_back, back = back, np.empty_like(back)
+            back[order] = sorted_back
         return out, back
 
     def window(self, source: np.ndarray, target: np.ndarray, reset: np.ndarray, h: np.ndarray, grads: dict | None = None, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -153,71 +169,126 @@ class Network:
 
         reset marks where a document begins: the state before is dropped there. Without grads nothing is kept.
         """
-        t, b = source.shape
-        gates, kept = self.p["gate"][source], []
-        hs = np.empty((t, b, self.hidden), np.float32)
-        keep = (~reset).astype(np.float32)[:, :, None]
+        p, (t, b), size = self.p, source.shape, self.hidden
+        kind = p["state"].dtype
+        gates = np.take(p["gate"], source, axis=1)  # becomes (update, reset, new state) in place
+        hs, before = np.empty((t, b, size), kind), np.empty((t, b, size) if grads is not None else (1, b, size), kind)
+        inner = np.empty((t, b, size) if grads is not None else (1, b, size), kind)
+        begins, u, drop = reset.any(axis=1).tolist(), np.empty((3, b, size), kind), np.empty((b, size), kind)
         for k in range(t):
-            before = h * keep[k] if reset[k].any() else h
-            h, *rest = self.step(gates[k], before)
-            hs[k] = h
-            if grads is not None:
-                kept.append((before, *rest))
+            at = k if grads is not None else 0
+            old, mid, new, both = before[at], inner[at], gates[2, k], gates[:2, k]
+            if begins[k]:
+                np.multiply(h, ~reset[k][:, None], out=old)
+            else:
+                old[:] = h
+            np.matmul(old, p["state"], out=u)
+            both += u[:2]
+            both *= 0.5
+            np.tanh(both, out=both)
+            both *= 0.5
+            both += 0.5
+            np.add(u[2], p["inner"], out=mid)
+            np.multiply(mid, both[1], out=drop)
+            new += drop
+            np.tanh(new, out=new)
+            h = hs[k]
+            np.subtract(old, new, out=h)
+            h *= both[0]
+            h += new
         logs, back = self.output(hs.reshape(t * b, -1), target.ravel(), grads, None if real is None else real.ravel())
         if grads is not None:
-            back, n, d = back.reshape(t, b, -1), self.hidden, np.zeros_like(h)
-            d_gates, d_state, d_inner = np.empty_like(gates), np.zeros_like(self.p["state"]), np.zeros_like(self.p["inner"])
+            back, d, d_u, slope = back.reshape(t, b, -1), np.zeros_like(h), np.empty((3, t, b, size), kind), np.empty((b, size), kind)
+            d_new = np.empty((t, b, size), kind)
+            turned = p["state"].transpose(0, 2, 1)
             for k in range(t - 1, -1, -1):
-                before, zr, inner, new = kept[k]
-                d = d + back[k]
-                z, r = zr[:, :n], zr[:, n:]
-                d_new = d * (1 - z) * (1 - new * new)
-                d_z = d * (before - new) * z * (1 - z)
-                d_r = d_new * inner * r * (1 - r)
-                d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                d_gates[k] = np.concatenate([d_z, d_r, d_new], axis=1)
-                d_state += before.T @ d_u
-                d_inner += d_u[:, 2 * n :].sum(axis=0)
-                d = (d * z + d_u @ self.p["state"].T) * keep[k]
-            grads["state"], grads["inner"], grads["gate"] = d_state, d_inner, np.zeros_like(self.p["gate"])
-            order = np.argsort(source, axis=None, kind="stable")
-            symbols, first = np.unique(source.ravel()[order], return_index=True)
-            grads["gate"][symbols] = np.add.reduceat(d_gates.reshape(t * b, -1)[order], first)
+                d += back[k]
+                z, r, new, on = gates[0, k], gates[1, k], gates[2, k], d_new[k]
+                dz, dr, dn = d_u[0, k], d_u[1, k], d_u[2, k]
+                np.multiply(d, z, out=slope)  # what the state before gets directly
+                np.subtract(before[k], new, out=dz)
+                dz *= slope
+                np.subtract(d, slope, out=on)
+                np.multiply(new, new, out=dn)
+                np.subtract(1, dn, out=dn)
+                on *= dn
+                np.subtract(1, z, out=d)
+                dz *= d
+                np.multiply(on, r, out=dn)
+                np.multiply(dn, inner[k], out=dr)
+                np.subtract(1, r, out=d)
+                dr *= d
+                np.matmul(dz, turned[0], out=d)
+                slope += d
+                np.matmul(dr, turned[1], out=d)
+                slope += d
+                np.matmul(dn, turned[2], out=d)
+                d += slope
+                if begins[k]:
+                    d *= ~reset[k][:, None]
+            flat = before.reshape(t * b, -1).T
+            grads["state"], grads["inner"] = np.stack([flat @ x.reshape(t * b, -1) for x in d_u]), d_u[2].sum(axis=(0, 1))
+            order = np.argsort(source.ravel().astype(np.uint16) if self.n <= 1 << 16 else source, axis=None, kind="stable")
+            ordered = source.ravel()[order]
+            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+            grads["gate"] = np.zeros_like(p["gate"])
+            for own, x in zip(grads["gate"], (d_u[0], d_u[1], d_new)):
+                own[ordered[first]] = np.add.reduceat(x.reshape(t * b, -1)[order], first)
         return logs.reshape(t, b), h
 
-    def train(self, docs: list[np.ndarray], start: int, epochs: int = EPOCHS, rate: float = RATE, streams: int = STREAMS, window: int = WINDOW, seed: int = 3) -> None:
-        """Adam on truncated windows. docs: symbols with the end symbol last; start: the symbol before a document."""
+    def train(self, docs: list[np.ndarray], start: int, epochs: int = EPOCHS, rate: float = RATE, streams: int = STREAMS, window: int = WINDOW, seed: int = 3, stretch: int | None = None) -> None:
+        """Adam on truncated windows. docs: symbols with the end symbol last; start: the symbol before a document.
+
+        stretch: longer documents are learned in stretches of so many symbols, each behind the symbol before it.
+        """
         if not docs:
             return
         rng = np.random.default_rng(seed)
-        m, v, count = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        names = list(self.p)
+        flat = np.concatenate([self.p[name].ravel() for name in names])
+        at = np.cumsum([0, *[self.p[name].size for name in names]])
+        self.p = {name: flat[s:e].reshape(self.p[name].shape) for name, s, e in zip(names, at[:-1], at[1:])}
+        m, v, change, count = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0
         streams = max(1, min(streams, sum(map(len, docs)) // window))
+        firsts = [start] * len(docs)
+        if stretch:
+            firsts = [start if not k else int(x[k - 1]) for x in docs for k in range(0, len(x), stretch)]
+            docs = [x[k : k + stretch] for x in docs for k in range(0, len(x), stretch)]
         for _ in range(epochs):
-            source, target, reset, owner = pack([docs[k] for k in rng.permutation(len(docs))], start, streams)
+            order = rng.permutation(len(docs))
+            source, target, reset, owner = pack([docs[k] for k in order], start, streams, [firsts[k] for k in order])
             steps = -(-len(source) // window)
-            total, h = steps * epochs, np.zeros((source.shape[1], self.hidden), np.float32)
+            total, h = steps * epochs, np.zeros((source.shape[1], self.hidden), flat.dtype)
             for k in range(steps):
                 # Streams are sorted by length, so those that have ended are at the end; what pads the others isn't learned.
                 live = max(1, int((owner[k * window] >= 0).sum()))
                 cut, grads = (slice(k * window, (k + 1) * window), slice(live)), {}
-                real = (owner[cut] >= 0).astype(np.float32)
+                real = (owner[cut] >= 0).astype(flat.dtype)
                 _, h = self.window(source[cut], target[cut], reset[cut], h[:live], grads, real)
                 count += 1
                 tokens = float(real.sum())
-                size = math.sqrt(sum(float((g * g).sum()) for g in grads.values())) / tokens
+                g = np.concatenate([grads[name].ravel() for name in names])
+                g *= 1 / (tokens * max(1.0, math.sqrt(float(g @ g)) / tokens / 0.5))
                 pace = rate * (1 - 0.9 * min(1, count / total)) * math.sqrt(1 - 0.99**count) / (1 - 0.9**count)
-                for name, g in grads.items():
-                    g = g / (tokens * max(1.0, size / 0.5))
-                    m[name] += 0.1 * (g - m[name])
-                    v[name] += 0.01 * (g * g - v[name])
-                    self.p[name] += (pace * m[name] / (np.sqrt(v[name]) + 1e-8)).astype(np.float32)
+                m *= 0.9
+                v *= 0.99
+                np.multiply(g, 0.1, out=change)
+                m += change
+                g *= g
+                g *= 0.01
+                v += g
+                np.sqrt(v, out=change)
+                change += 1e-8
+                np.divide(m, change, out=change)
+                change *= pace
+                flat += change
 
     def score(self, docs: list[np.ndarray], start: int, streams: int = POOL_STREAMS, window: int = POOL_WINDOW) -> np.ndarray:
         """Natural log-likelihood of each complete document, the state carried across windows."""
         if not docs:
             return np.zeros(0)
         source, target, reset, owner = pack(docs, start, min(streams, len(docs)))
-        h, out = np.zeros((source.shape[1], self.hidden), np.float32), np.zeros(len(docs) + 1)
+        h, out = np.zeros((source.shape[1], self.hidden), self.p["state"].dtype), np.zeros(len(docs) + 1)
         for k in range(0, len(source), window):
             cut = slice(k, k + window)
             # Streams are sorted by length, so those that have ended are at the end.
@@ -227,8 +298,11 @@ class Network:
         return out[1:]
 
 
-def pack(docs: list[np.ndarray], start: int, streams: int) -> tuple[np.ndarray, ...]:
-    """(source, target, reset, owner) by (time, stream): documents dealt to the shortest stream, longest first; owner -1 is padding."""
+def pack(docs: list[np.ndarray], start: int, streams: int, firsts: list[int] | None = None) -> tuple[np.ndarray, ...]:
+    """(source, target, reset, owner) by (time, stream): documents dealt to the shortest stream, longest first; owner -1 is padding.
+
+    firsts: the symbols before each document (none given: start).
+    """
     import heapq
 
     heap, own = [(0, s) for s in range(streams)], [[] for _ in range(streams)]
@@ -239,13 +313,13 @@ def pack(docs: list[np.ndarray], start: int, streams: int) -> tuple[np.ndarray,
     own.sort(key=lambda ks: -sum(len(docs[k]) for k in ks))
     length = max(sum(len(docs[k]) for k in ks) for ks in own)
     source, target = np.full((length, streams), start, np.int32), np.full((length, streams), start, np.int32)
-    reset, owner = np.zeros((length, streams), bool), np.full((length, streams), -1, np.int64)
+    reset, owner = np.zeros((length, streams), bool), np.full((length, streams), -1, np.int32)
     for s, ks in enumerate(own):
-        at = 0
-        for k in ks:
-            e = at + len(docs[k])
-            target[at:e, s], source[at + 1 : e, s], reset[at, s], owner[at:e, s] = docs[k], docs[k][:-1], True, k
-            at = e
+        if not ks:
+            continue
+        flat, at = np.concatenate([docs[k] for k in ks]), np.cumsum([0, *[len(docs[k]) for k in ks]])
+        target[: len(flat), s], source[1 : len(flat), s], owner[: len(flat), s] = flat, flat[:-1], np.repeat(ks, np.diff(at))
+        source[at[:-1], s], reset[at[:-1], s] = start if firsts is None else [firsts[k] for k in ks], True
     return source, target, reset, owner
 
 
@@ -255,27 +329,60 @@ class Scorer:
     def __init__(self, head: list[tuple[bytes, int]], totals: dict[int, tuple[int, int]], n: int, v: int):
         """head: words by falling count; totals: (N_b, V_b) over all words that have no symbol of their own."""
         self.n, self.v, self.totals = n, v, totals
-        self.at = {w: k for k, (w, _) in enumerate(head)}
+        self.words = pa.array([w for w, _ in head], pa.binary())
         counts = np.array([c for _, c in head], float)
-        self.base = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
         self.size = min(MODEL_WORDS, len(head))
         self.symbol = np.array([k if k < self.size else self.size + bucket(w) for k, (w, _) in enumerate(head)], np.int32)
-        self.inside = np.array([0.0 if k < self.size else math.log10((c + ALPHA) / self.room(bucket(w))) for k, (w, c) in enumerate(head)])
-        self.start = self.symbol[self.at[END]] if END in self.at else self.size + bucket(END)
+        rooms = np.array([self.room(b) for b in range(BUCKETS)])
+        self.base = np.log10((counts + ALPHA) / (n + ALPHA * (v + 1)))
+        self.inside = np.zeros(len(head))
+        self.inside[self.size :] = np.log10((counts[self.size :] + ALPHA) / rooms[self.symbol[self.size :] - self.size])
+        self.end = next((k for k, (w, _) in enumerate(head) if w == END), -1)
+        self.start = int(self.symbol[self.end]) if self.end >= 0 else self.size + bucket(END)
         self.network = Network(np.concatenate([counts[: self.size], [totals.get(b, (0, 0))[0] for b in range(BUCKETS)]]))
 
     def room(self, b: int) -> float:
         n, v = self.totals.get(b, (0, 0))
         return n + ALPHA * (v + 1)
 
+    def look(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+        """Of words: symbols and places in the head (-1: not there); which aren't there, as a number among the distinct ones of these, those, and their buckets."""
+        at = pa.compute.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        out, lost = (self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int32)), np.flatnonzero(at < 0)
+        others = words.take(pa.array(lost)).dictionary_encode()
+        buckets = np.array([bucket(w) for w in others.dictionary.to_pylist()], np.int32)
+        which = others.indices.to_numpy()
+        out[lost] = self.size + buckets[which] if len(lost) else 0
+        return out, at, lost, which, others.dictionary, buckets
+
     def symbols(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Symbols with the end's last, the places in the head (-1: not there), and the words that aren't there."""
-        words = [*words, END]
-        at = np.fromiter(map(self.at.get, words, [-1] * len(words)), np.int64, len(words))
-        rest = [words[k] for k in np.flatnonzero(at < 0)]
-        out = self.symbol[at] if len(self.symbol) else np.zeros(len(words), np.int32)
-        out[at < 0] = [self.size + bucket(w) for w in rest]
-        return out, at, rest
+        out, at, lost, *_ = self.look(pa.array([*words, END], pa.binary()))
+        return out, at, [[*words, END][k] for k in lost]
+
+    def texts(self, texts: pa.Array, counts: bool = True) -> tuple:
+        """Of texts: all symbols with ends, and where each text's begin. If counts, for each text also the tokens in the head, the sums of
+        their base and inside logarithms, and the distinct words that aren't there, with buckets and times."""
+        flat, ends = cut(texts)
+        symbols, at, lost, which, others, buckets = self.look(flat)
+        many, starts = len(ends) - 1, ends + np.arange(len(ends))
+        place = np.arange(len(flat)) + np.repeat(np.arange(many), np.diff(ends))
+        out = np.full(starts[-1], self.start, np.int32)
+        out[place] = symbols
+        if not counts:
+            return out, starts
+        head = np.full(starts[-1], self.end, np.int64)
+        head[place] = at
+        here = head >= 0
+        sums = [np.add.reduceat(np.where(here, table[head], 0.0) if len(table) else np.zeros(len(head)), starts[:-1]) if many else np.zeros(0) for table in (np.ones(len(self.base)), self.base, self.inside)]
+        owner = np.searchsorted(ends, lost, side="right") - 1
+        if self.end < 0:
+            others, buckets = pa.concat_arrays([others, pa.array([END], pa.binary())]), np.append(buckets, np.int32(bucket(END)))
+            owner, which = np.concatenate([owner, np.arange(many)]), np.concatenate([which, np.full(many, len(others) - 1)])
+        keys, times = np.unique(owner * max(1, len(others)) + which, return_counts=True)
+        owner, which = np.divmod(keys, max(1, len(others)))
+        rest = pa.StructArray.from_arrays([others.take(pa.array(which)), pa.array(buckets[which] if len(which) else [], pa.int32()), pa.array(times, pa.int64())], ["word", "bucket", "times"])
+        return out, starts, *sums, pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(many + 1)), pa.int32()), rest)
 
 
 def frequent(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, int]]:
@@ -288,8 +395,10 @@ def frequent(counts: DataFrame, most: int | None = None) -> list[tuple[bytes, in
         if total > (HEAD if most is None else most):
             break
         floor = low
-    rows = counts.where(F.col("c") >= floor).select("word", "c").collect() if floor is not None else []
-    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
+    if floor is None:
+        return []
+    rows = counts.where(F.col("c") >= floor).select("word", "c").toArrow()
+    return sorted(zip(rows.column("word").to_pylist(), rows.column("c").to_pylist()), key=lambda x: (-x[1], x[0]))
 
 
 def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
@@ -304,8 +413,9 @@ def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
         totals[bucket(w)] = n - c, v - 1
     scorer = Scorer(head, totals, row.n or 0, row.v)
     chosen = train.where("doc_id is not null").select(F.col("doc_id").alias("chosen_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "chosen_id").limit(SAMPLE)
-    texts = train.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).orderBy("h").select("text").limit(SAMPLE).collect()
-    scorer.network.train([scorer.symbols(words_of(r.text or ""))[0] for r in texts], int(scorer.start))
+    texts = train.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).orderBy("h").select("text").limit(SAMPLE).toArrow()
+    symbols, starts = scorer.texts(texts.column("text").combine_chunks(), counts=False)
+    scorer.network.train(np.split(symbols, starts[1:-1]) if len(starts) > 1 else [], scorer.start, stretch=STRETCH)
     for k in range(ROUNDS):
         learn(scorer, train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k))
     return scorer, counts
@@ -319,15 +429,19 @@ def learn(scorer: Scorer, docs: DataFrame) -> None:
         own, pool, weight, tokens = shared.value, [], 0, 0
         network = copy.copy(own.network)
         network.p = {name: x.copy() for name, x in network.p.items()}
-        for _, texts in slices(batches):
-            for text in texts:
-                pool.append(own.symbols(words_of(text))[0])
-                tokens += len(pool[-1])
-                weight += len(text)
+        def learn_pool() -> None:
+            network.train(pool, own.start, 1, ROUND_RATE, ROUND_STREAMS, ROUND_WINDOW, stretch=STRETCH)
+            pool.clear()
+
+        for part in pieces(batches, LOOKUP_ROWS, LOOKUP_BYTES):
+            symbols, starts = own.texts(part.column("text"), counts=False)
+            pool += np.split(symbols, starts[1:-1])
+            tokens += len(symbols)
+            weight += part.column("text").nbytes
             if weight >= POOL_BYTES:
-                network.train(pool, int(own.start), 1, ROUND_RATE, ROUND_STREAMS)
-                pool, weight = [], 0
-        network.train(pool, int(own.start), 1, ROUND_RATE, ROUND_STREAMS)
+                learn_pool()
+                weight = 0
+        learn_pool()
         if tokens:
             parts = np.array_split(np.concatenate([x.ravel() for x in network.p.values()]), PIECES)
             task = TaskContext.get().partitionId()
@@ -356,31 +470,26 @@ def score(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)  # bounded by HEAD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, ids, rows, weight = shared.value, [], [], 0
+        own, held, pool, weight = shared.value, [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            model = own.network.score([r[0] for r in rows], int(own.start)) / math.log(10)
-            for s in range(0, len(rows), 1000):
-                part = rows[s : s + 1000]
-                rest = [[{"word": w, "bucket": bucket(w), "times": n} for w, n in Counter(r[4]).items()] for r in part]
-                arrays = [pa.array(ids[s : s + 1000], pa.int64()), pa.array([len(r[0]) for r in part], pa.int64()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.float64())]
-                arrays += [pa.array(model[s : s + 1000] + np.array([r[3] for r in part])), pa.array(rest, pa.list_(pa.struct([("word", pa.binary()), ("bucket", pa.int32()), ("times", pa.int64())])))]
+            model, at = own.network.score(pool, own.start) / math.log(10), 0
+            for ids, sizes, known, base, inside, rest in held:
+                arrays = [ids, pa.array(sizes, pa.int64()), pa.array(known.astype(np.int64)), pa.array(base), pa.array(model[at : at + len(ids)] + inside), rest]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "known", "base", "model", "rest"])
-            ids.clear()
-            rows.clear()
-
-        for part, texts in slices(batches):
-            for doc_id, text in zip(part.column(0).to_pylist(), texts):
-                symbols, at, rest = own.symbols(words_of(text))
-                there = at[at >= 0]
-                ids.append(doc_id)
-                rows.append((symbols, len(there), float(own.base[there].sum()), float(own.inside[there].sum()), rest))
-                weight += len(text)
+                at += len(ids)
+            held.clear()
+            pool.clear()
+
+        for part in pieces(batches, LOOKUP_ROWS, LOOKUP_BYTES):
+            symbols, starts, known, base, inside, rest = own.texts(part.column("text"))
+            held.append((part.column("doc_id"), np.diff(starts), known, base, inside, rest))
+            pool += np.split(symbols, starts[1:-1])
+            weight += part.column("text").nbytes
             if weight >= POOL_BYTES:
                 yield from flush()
                 weight = 0
-        if rows:
-            yield from flush()
+        yield from flush()
 
     first = docs.mapInArrow(run, "doc_id long, n_tokens long, known long, base double, model double, rest array<struct<word: binary, bucket: int, times: long>>")
     first = stored(first.withColumn("row", F.monotonically_increasing_id()), "scored")
