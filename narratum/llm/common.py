@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
@@ -51,14 +52,32 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Each Arrow batch in pieces of bounded rows and bytes, with the text column as Python strings (null: empty)."""
+_memory: dict[str, object] = {}
+
+
+def remembered(owner: str, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a worker process from batch to batch. Workers are used again by other operators: asking for
+    another owner's memory drops the one before, so that a process never holds more than one."""
+    if owner not in _memory:
+        _memory.clear()
+        pa.default_memory_pool().release_unused()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int, size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """Each Arrow batch in pieces of at most `rows` rows that end where their texts reach `size` bytes."""
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_pylist()
         start = weight = 0
-        for end, size in enumerate(sizes, 1):
-            weight += size
-            if end - start >= SLICE_ROWS or weight >= SLICE_BYTES or end == len(sizes):
-                yield batch.slice(start, end - start), [x or "" for x in column.slice(start, end - start).to_pylist()]
+        for end, n in enumerate(sizes, 1):
+            weight += n
+            if end - start >= rows or weight >= size or end == len(sizes):
+                yield batch.slice(start, end - start)
                 start, weight = end, 0
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Each Arrow batch in pieces of bounded rows and bytes, with the text column as Python strings (null: empty)."""
+    for part in pieces(batches, SLICE_ROWS, SLICE_BYTES, text):
+        yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]

@@ -37,12 +37,12 @@ FOLDS, HELD_OUT, ALPHA = 10, 0, 0.1
 END = b"\n"  # no word holds white space
 MODEL_WORDS, BUCKETS, CLASSES, HIDDEN = 1024, 272, 36, 16
 #: Words whose counts are broadcast; training documents of the warm start.
-HEAD, SAMPLE = 400_000, 1500
+HEAD, SAMPLE = 300_000, 1500
 #: Rounds over all training documents, their learning rate, streams, window and longest stretch; pieces in which weights are averaged.
 ROUNDS, ROUND_RATE, ROUND_STREAMS, ROUND_WINDOW, STRETCH, PIECES = 2, 0.006, 512, 16, 512, 16
 WINDOW, STREAMS, EPOCHS, RATE = 32, 64, 2, 0.004
 #: Bytes of text that a task packs into streams at a time, and its streams; bytes and rows whose words are looked up at a time.
-POOL_BYTES, POOL_STREAMS, POOL_WINDOW, LOOKUP_BYTES, LOOKUP_ROWS = 16 << 20, 1024, 16, 8 << 20, 4096
+POOL_BYTES, POOL_STREAMS, POOL_WINDOW, LOOKUP_BYTES, LOOKUP_ROWS = 12 << 20, 1024, 16, 6 << 20, 4096
 #: Distinct words after which a counting task hands on what it has.
 FLUSH = 300_000
 
@@ -289,10 +289,12 @@ class Network:
             return np.zeros(0)
         source, target, reset, owner = pack(docs, start, min(streams, len(docs)))
         h, out = np.zeros((source.shape[1], self.hidden), self.p["state"].dtype), np.zeros(len(docs) + 1)
-        for k in range(0, len(source), window):
-            cut = slice(k, k + window)
-            # Streams are sorted by length, so those that have ended are at the end.
+        k = 0
+        while k < len(source):
+            # Streams are sorted by length, so those that have ended are at the end. Few streams take longer windows.
             live = max(1, int((owner[k] >= 0).sum()))
+            cut = slice(k, k + window * max(1, source.shape[1] // live))
+            k = cut.stop
             logs, h = self.window(source[cut, :live], target[cut, :live], reset[cut, :live], h[:live])
             out += np.bincount(owner[cut, :live].ravel() + 1, logs.ravel(), len(docs) + 1)
         return out[1:]
