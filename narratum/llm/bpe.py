@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import remembered, slices
 
 VOCABULARY = "byte_bpe_50k.json"
 #: The byte-level split of the public tokenizer format.
@@ -312,14 +312,9 @@ class Codec:
         return texts.cast(pa.string())
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One codec for each vocabulary and worker process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """A worker process's codec for a vocabulary."""
+    return remembered(f"bpe {path}", lambda: Codec(path))
 
 
 def encode(df: DataFrame, text: str = "text", ids: str = "ids", decoded: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
