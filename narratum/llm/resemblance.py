@@ -1,11 +1,15 @@
-"""All pairs of texts whose sets of word shingles have a Jaccard similarity of at least MOST / OF, and their groups.
+"""Groups of texts linked by a Jaccard similarity of word shingles of at least MOST / OF, all links found.
 
-At that similarity 64-bit fingerprints lie ten bits apart on average, too far for bit ranges that lose nothing, so pairs
-are found by prefixes instead: two such sets share a shingle among the first n - ceil(n * MOST / OF) + 1 of each, in any
+At that similarity 64-bit fingerprints lie ten bits apart on average, too far for bit ranges that lose nothing, so texts
+meet by prefixes instead: two such sets share a shingle among the first n - ceil(n * MOST / OF) + 1 of each, in any
 one order of all shingles. The order puts shingles that are common in a sample of the texts last and else goes by hash;
-the sample decides the cost, never the result. Texts that share a prefix shingle form a bucket. First each bucket's
-members meet its smallest one; the pairs that hold give components. Then only members of different components meet, in
-all pairs, so a large group of copies isn't squared. Every pair is verified by the exact sets.
+the sample decides the cost, never the result. Texts that share a prefix shingle form a bucket; of buckets with the same
+members one stays. First each bucket's members meet its smallest one; the pairs that hold give components. Then only
+members of different components meet, so a large group of copies isn't squared. A large bucket is dealt in blocks of BLOCK
+members over cells of two blocks: the largest component's blocks meet the other members' blocks, and those each other.
+In a cell, 128-bit SimHash fingerprints are compared bit-sliced, and only pairs within WIDE bits go on: of a pair that is
+similar enough a bit differs with a chance under 0.16, so more than WIDE of 128 differ with one under 1e-8; sets of less than
+FEW shingles aren't held to that. Every pair is verified by the exact sets.
 
 Cases: a text is known by a 64-bit hash, null as the empty text; texts with fewer words than a shingle are one shingle;
 texts without words have equal sets; an empty table gives no rows.
@@ -20,21 +24,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitslice import marked, planes, within
 from .common import checkpointed, slices, stored
 from .components import components
-from .substring import INVERSE, MIX, ODD, Hashes
+from .substring import INVERSE, MIX, ODD, hashes_of
 
 SHINGLE, MOST, OF = 5, 4, 5
 #: Texts whose shingles are counted, in how many a common one is, and how many of those are told apart (cost only).
 SAMPLE, COMMON, LISTED = 5000, 5, 200_000
-#: Pairs that a task hands on at a time.
-PAIRS = 1 << 16
+#: Pairs that a task hands on at a time; members of a block; members of a cell whose pairs are lanes of their own.
+PAIRS, BLOCK, TINY = 1 << 16, 2048, 64
+#: Differing bits of fingerprints that are compared on, and shingles under which they say too little.
+WIDE, FEW = 46, 10
 #: Counts of a sketch, by which most pairs that can't be similar go before their texts are read (cost only).
 WIDTH = 256
 
-_hashes = Hashes()
-
-
 def key_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -46,7 +50,7 @@ def shingles(text: str, size: int) -> set[bytes]:
 
 def hashed(text: str, size: int) -> np.ndarray:
     """The distinct shingles' hashes, sorted; one zero for no words."""
-    words = _hashes.of(text.encode("utf-8", "surrogatepass").lower().split())
+    words = hashes_of(text.encode("utf-8", "surrogatepass").lower().split())
     if not len(words):
         return np.zeros(1, np.uint64)
     size = min(size, len(words))
@@ -75,102 +79,144 @@ def common(texts: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in counts.limit(LISTED).collect()], np.int64).view(np.uint64))
 
 
-def prefixes(texts: DataFrame, size: int) -> DataFrame:
-    """(h, key, n) for each prefix shingle of texts (key, text); n is the number of the text's shingles."""
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """128 bits in two signed numbers: a bit is set if it is set in more than half of the shingles' hashes."""
+    out = []
+    for salt in (ODD, MIX):
+        x = (h ^ salt) * MIX
+        x = (x ^ (x >> np.uint64(32))) * ODD
+        bits = np.unpackbits((x ^ (x >> np.uint64(29))).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view("<i8")[0]))
+    return out[0], out[1]
+
+
+def described(texts: DataFrame, size: int) -> DataFrame:
+    """(key, n, f1, f2, sketch, hs) for each distinct key of texts (key, text), stored.
+
+    n is the number of shingles, f1 and f2 the fingerprint, hs the prefix, and sketch how many shingles have each of WIDTH
+    remainders (empty if one has over 255).
+    """
     last = texts.sparkSession.sparkContext.broadcast(common(texts, size))  # bounded by LISTED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
         for part, rows in slices(batches):
-            hs, ns, own = [], [], []
+            ns, prints, sketches, hs, ends = [], [], [], [], [0]
             for text in rows:
                 h = hashed(text, size)
-                n, cut = len(h), len(h) - -(-MOST * len(h) // OF) + 1
+                ns.append(len(h))
+                prints.append(fingerprint(h))
+                counts = np.bincount((h % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH)
+                sketches.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
                 if len(late):
                     there = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
                     h = np.concatenate([h[~there], h[there]])
-                hs.append(h[:cut])
-                ns.append(n)
-                own.append(cut)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), own)), pa.array(np.repeat(ns, own), pa.int32())], ["h", "key", "n"])
-
-    return texts.select("key", "text").mapInArrow(run, "h long, key long, n int")
+                hs.append(h[: len(h) - -(-MOST * len(h) // OF) + 1])
+                ends.append(ends[-1] + len(hs[-1]))
+            both = np.array(prints, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hs).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sketches, pa.binary()), lists], ["key", "n", "f1", "f2", "sketch", "hs"])
+
+    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, f1 long, f2 long, sketch binary, hs array<long>").dropDuplicates(["key"]), "described")
+
+
+def buckets(told: DataFrame) -> DataFrame:
+    """(h, key, lo): the members of each bucket of two or more and the smallest of them, stored; of equal buckets one."""
+    places = told.select("key", F.explode("hs").alias("h"))
+    marks = {"x": F.bit_xor(F.xxhash64("key")), "y": F.bit_xor(F.xxhash64(F.lit(1), "key"))}
+    sets = places.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("many"), *[m.alias(k) for k, m in marks.items()]).where("lo < hi")
+    once = stored(sets.groupBy("lo", "hi", "many", "x", "y").agg(F.min("h").alias("h")).select("h", "lo"), "buckets")
+    return stored(places.join(once, "h").select("h", "key", "lo"), "members")
+
+
+def cells(members: DataFrame, told: DataFrame, block: int) -> DataFrame:
+    """(h, kind, x, y, top, root, key, n, f1, f2): members (h, key, root) of buckets with several roots, dealt over cells.
+
+    kind 0 is a whole bucket; 1 has a block of the most frequent root (top) and one of other members; 2 two blocks of other members.
+    """
+    roots = members.groupBy("h", "root").agg(F.count("*").alias("own"))
+    mixed = stored(roots.groupBy("h").agg(F.max_by("root", "own").alias("first"), F.max("own").alias("most"), F.sum("own").alias("total"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"), "mixed")
+    rows = members.join(mixed, "h").withColumn("top", F.col("root") == F.col("first"))
+    major, rest = F.ceil(F.col("most") / block).cast("int"), F.ceil((F.col("total") - F.col("most")) / block).cast("int")
+    rows = rows.withColumns({"major": major, "rest": rest, "own": F.pmod(F.xxhash64("key"), F.when(F.col("top"), major).otherwise(rest)).cast("int")})
+    cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+    each = lambda many, make: F.transform(F.sequence(F.lit(0), F.col(many) - 1), make)
+    own = F.col("own")
+    others = F.concat(each("major", lambda k: cell(1, k, own)), each("rest", lambda k: cell(2, F.least(k, own), F.greatest(k, own))))
+    to = F.when(F.col("total") <= block, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("top"), each("rest", lambda k: cell(1, own, k))).otherwise(others)
+    rows = rows.join(told.select("key", "n", "f1", "f2"), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", "n", "f1", "f2")
+    at = ["h", "kind", "x", "y"]
+    return rows.select("h", "to.*", "top", "root", "key", "n", "f1", "f2").repartition(*at).sortWithinPartitions(*at)
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of each run of equal values in the first one, with distinct keys in the second one, if there are two."""
-    left: list[list[np.ndarray]] = []
+def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return OF * np.minimum(a, b) >= MOST * np.maximum(a, b)
 
-    def whole(parts: list[list[np.ndarray]]) -> Iterator[list[np.ndarray]]:
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        _, first = np.unique(columns[1], return_index=True)
-        if len(first) > 1:
-            yield [c[first] for c in columns]
 
+def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The columns of each run of rows that are equal in the first `width` columns."""
+    left: list[list[np.ndarray]] = []
     for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
-        edges = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), len(columns[0])]
-        if left and left[0][0][0] != columns[0][0]:
-            yield from whole(left)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        new = np.any([c[1:] != c[:-1] for c in columns[:width]], axis=0)
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        if left and any(old[0] != now[0] for old, now in zip(left[0][:width], columns)):
+            yield [np.concatenate(c) for c in zip(*left)]
             left = []
         for s, e in zip(edges[:-1], edges[1:]):
-            if e == len(columns[0]):
-                left.append([c[s:e] for c in columns])
-            elif s == 0 and left:
-                yield from whole([*left, [c[s:e] for c in columns]])
+            left.append([c[s:e] for c in columns])
+            if e < batch.num_rows:
+                yield [np.concatenate(c) for c in zip(*left)] if len(left) > 1 else left[0]
                 left = []
-            elif e - s > 1:
-                yield from whole([[c[s:e] for c in columns]])
     if left:
-        yield from whole(left)
-
-
-def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can be similar enough."""
-    return OF * np.minimum(a, b) >= MOST * np.maximum(a, b)
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, weight = [], 0
-    for h, key, n in runs(batches):
-        held.append((h, key, n, np.full(len(key), key[0]), sized(n, n[0])))
-        weight += len(key)
-        if weight >= PAIRS:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "key", "n", "first", "near"])
-            held, weight = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["h", "key", "n", "first", "near"])
+        yield [np.concatenate(c) for c in zip(*left)]
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of a bucket's members in different components."""
-    a, b, weight = [], [], 0
-    for _, key, n, root in runs(batches):
-        if (root == root[0]).all():
+    """Pairs (a < b) of a cell's members in different components whose sizes and fingerprints allow a link."""
+    held: list[list[np.ndarray]] = []  # key, fingerprint and n of both sides of pairs that wait to be lanes
+    waiting = 0
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def lanes() -> pa.RecordBatch:
+        a, b, x, n = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        near = (n < FEW) | marked(within(None, planes(x), WIDE)[0], len(a))
+        return pairs(a[near], b[near])
+
+    for _, kind, _, _, top, root, key, n, f1, f2 in runs(batches, 4):
+        f = np.stack([f1, f2], axis=1).view(np.uint64)
+        if len(key) <= TINY:
+            i, j = np.triu_indices(len(key), 1)
+            meet = (root[i] != root[j]) & sized(n[i], n[j])
+            if kind[0] == 1:
+                meet &= top[i] != top[j]
+            i, j = i[meet], j[meet]
+            if len(i):
+                held.append([key[i], key[j], f[i] ^ f[j], np.minimum(n[i], n[j])])
+            waiting += len(i)
+            if waiting >= PAIRS:
+                yield lanes()
+                waiting = 0
             continue
-        for k in range(len(key) - 1):
-            at = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & sized(n[k + 1 :], n[k]))
-            a.append(np.full(len(at), key[k]))
-            b.append(key[at])
-            weight += len(at)
-            if weight >= PAIRS:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                a, b, weight = [], [], 0
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-
-def sketched(texts: DataFrame, size: int) -> DataFrame:
-    """(key, sketch) of texts (key, text), stored: how many shingles have each of WIDTH remainders, empty if one has over 255."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in slices(batches):
-            counts = [np.bincount((hashed(t, size) % np.uint64(WIDTH)).astype(np.int64), minlength=WIDTH) for t in rows]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in counts], pa.binary())], ["key", "sketch"])
-
-    return stored(texts.select("key", "text").mapInArrow(run, "key long, sketch binary").dropDuplicates(["key"]), "sketches")
+        rows, cols = (np.flatnonzero(~top), np.flatnonzero(top)) if kind[0] == 1 else (np.arange(len(key)), np.arange(len(key)))
+        across = planes(f[cols]) if len(cols) else None
+        for s in range(0, len(rows) if len(cols) else 0, 256):
+            r = rows[s : s + 256]
+            near = marked(within(f[r], across, WIDE), len(cols)) | (n[r] < FEW)[:, None]
+            near &= (root[r][:, None] != root[cols][None, :]) & sized(n[r][:, None], n[cols][None, :])
+            if kind[0] != 1:
+                near &= r[:, None] < cols[None, :]
+            i, j = np.nonzero(near)
+            if len(i):
+                yield pairs(key[r[i]], key[cols[j]])
+    if held:
+        yield lanes()
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +230,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def verified(pairs: DataFrame, told: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,23 +247,21 @@ def verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int)
         both = pairs.join(frame.select(F.col("key").alias("b"), F.col(column).alias("y")), "b").join(frame.select(F.col("key").alias("a"), F.col(column).alias("x")), "a")
         return both.select("a", "b", "x", "y")
 
-    possible = stored(joined(pairs, sketches, "sketch").mapInArrow(_possible, "a long, b long"), "possible")
+    possible = stored(joined(pairs, told, "sketch").mapInArrow(_possible, "a long, b long"), "possible")
     need = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = stored(texts.join(need, "key", "left_semi").dropDuplicates(["key"]), "texts")
     return stored(joined(possible, texts, "text").mapInArrow(run, "a long, b long"), "similar")
 
 
-def groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def groups(docs: DataFrame, size: int = SHINGLE, block: int | None = None) -> DataFrame:
     """(node, root) for the keys (key_of) of texts that are linked to another by similar pairs; root is the smallest key."""
     texts = docs.select(key_of(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = prefixes(texts, size).repartition("h").sortWithinPartitions("h")
-    buckets = stored(dealt.mapInArrow(_buckets, "h long, key long, n int, first long, near boolean"), "buckets")
-    sketches = sketched(texts.join(buckets.select("key").distinct(), "key", "left_semi"), size)
-    stars = checkpointed(buckets.where("key <> first and near").select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
-    edges = verified(stars, sketches, texts, size)
+    told = described(texts, size)
+    members = buckets(told)
+    stars = checkpointed(members.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
+    edges = verified(stars, told, texts, size)
     roots = components(edges)
-    members = buckets.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
-    mixed = members.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("h")
-    pairs = members.join(mixed, "h", "left_semi").repartition("h").sortWithinPartitions("h").mapInArrow(_across, "a long, b long").distinct()
-    more = verified(pairs.join(stars, ["a", "b"], "left_anti"), sketches, texts, size)
+    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("root", "key").alias("root"))
+    pairs = cells(placed, told, block or BLOCK).mapInArrow(_across, "a long, b long").distinct()
+    more = verified(pairs.join(stars, ["a", "b"], "left_anti"), told, texts, size)
     return components(edges.union(more)) if more.limit(1).count() else roots

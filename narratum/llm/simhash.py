@@ -3,7 +3,7 @@
 Fingerprints that differ in at most two of 64 bits agree in one of three bit ranges, so distinct fingerprints meet in
 buckets by range. In a bucket they stand vertically: plane k holds bit k of every fingerprint, 64 to a machine word.
 A fingerprint's differences from all others are then 64 exclusive-ors, added up by carry-save counters of two bits and
-an overflow bit; a block of rows is abandoned as soon as all its lanes have passed the radius. A bucket gives a
+an overflow bit (bitslice.within); a block of rows is abandoned as soon as all its lanes have passed the radius. A bucket gives a
 spanning forest of its links, not its pairs. Buckets over BUCKET fingerprints take an exact other way with linear
 work: two fingerprints differ in at most two bits exactly if some value lies within one bit of both.
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import resemblance
+from .bitslice import marked, planes, within
 from .common import checkpointed, slices
 from .components import components
 
@@ -62,43 +63,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def planes(values: np.ndarray) -> np.ndarray:
-    """64 rows of bits, plane k with bit k of every value, 64 values to a word."""
-    bits = np.unpackbits(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    padded = np.zeros((-(-len(values) // 64) * 64, 64), np.uint8)
-    padded[: len(values)] = bits
-    return np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little")).view("<u8")
-
-
-def within(rows: np.ndarray | None, lanes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Bit masks of the lanes within the radius (2 at most): of each row's value, or of zero if rows is None.
-
-    lanes: planes(). The counters hold the number of differing bits as ones + 2 * twos, and over once it passed 3.
-    """
-    n, width = (1 if rows is None else len(rows)), lanes.shape[1]
-    out, alive = np.zeros((n, width), np.uint64), np.arange(n)
-    ones, twos, over = (np.zeros((n, width), np.uint64) for _ in range(3))
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for k in range(64):
-        if rows is None:
-            bits = lanes[k][None, :]
-        else:
-            bits = lanes[k][None, :] ^ np.where((rows[alive] >> np.uint64(k)) & np.uint64(1), full, np.uint64(0))[:, None]
-        carry = ones & bits
-        ones = ones ^ bits
-        over = over | (twos & carry)
-        twos = twos ^ carry
-        if k % 8 == 7:
-            past = over | (ones & twos) if radius == 2 else over | twos if radius == 1 else over | twos | ones
-            open_rows = (past != full).any(axis=1)
-            if not open_rows.all():
-                alive, ones, twos, over = alive[open_rows], ones[open_rows], twos[open_rows], over[open_rows]
-                if not len(alive):
-                    return out
-    out[alive] = ~(over | (ones & twos) if radius == 2 else over | twos if radius == 1 else over | twos | ones)
-    return out
-
-
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
     """(value, root) for the values of one bucket that have links: breadth first, each value compared once with all."""
     values = np.sort(values.astype(np.uint64))
@@ -114,8 +78,8 @@ def forest(values: np.ndarray) -> list[tuple[int, int]]:
         while len(front):
             reached = np.zeros(lanes.shape[1], np.uint64)
             for at in range(0, len(front), 256):
-                reached |= np.bitwise_or.reduce(within(values[front[at : at + 256]], lanes), axis=0)
-            front = np.flatnonzero(np.unpackbits(reached.view(np.uint8), bitorder="little").astype(bool) & left)
+                reached |= np.bitwise_or.reduce(within(values[front[at : at + 256]], lanes, RADIUS), axis=0)
+            front = np.flatnonzero(marked(reached, len(left)) & left)
             left[front] = False
             edges += [(int(values[i]), int(values[root])) for i in front]
     return edges
@@ -131,7 +95,7 @@ def tiny_links(buckets: list[np.ndarray]) -> list[tuple[int, int]]:
     if not a:
         return []
     first, second = np.concatenate(a), np.concatenate(b)
-    mask = np.unpackbits(within(None, planes(first ^ second))[0].view(np.uint8), bitorder="little")[: len(first)].astype(bool)
+    mask = marked(within(None, planes(first ^ second), RADIUS)[0], len(first))
     return list(zip(first[mask].tolist(), second[mask].tolist()))
 
 

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import xxhash
 
-from narratum.llm import simhash
+from narratum.llm import bitslice, resemblance, simhash
 from narratum.llm.components import components
 
 
@@ -37,6 +38,17 @@ def test_fingerprint():
         assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+def test_wide_comparison_matches_popcounts():
+    rng = np.random.default_rng(5)
+    for words, radius in ((1, 0), (1, 2), (1, 9), (2, 46), (2, 64), (4, 31)):
+        base = rng.integers(0, 1 << 63, (1, words), np.uint64)
+        flips = np.packbits(rng.random((150, 64 * words)) < rng.random((150, 1)) * 0.6, axis=1).view(np.uint64)
+        values = base ^ flips
+        want = np.bitwise_count(values[:, None, :] ^ values[None, :, :]).sum(axis=2, dtype=int) <= radius
+        assert (bitslice.marked(bitslice.within(values, bitslice.planes(values), radius), 150) == want).all()
+        assert (bitslice.marked(bitslice.within(None, bitslice.planes(values ^ values[:1]), radius)[0], 150) == want[0]).all()
+
+
 def test_links_match_brute_force(spark):
     rng = random.Random(3)
     values = sorted({0, 1, 3, 7, 1 << 63, *[rng.getrandbits(64) for _ in range(200)], *[v for _ in range(6) for v in cluster(rng, 60)], *cluster(rng, 3)})
@@ -102,6 +114,26 @@ def test_stage_finds_few_word_edits(spark):
     want = sorted(set(shingle_groups(texts).values()))
     got = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
     assert got == want and len(want) < len(texts) / 2
+    whole = {r.node: r.root for r in resemblance.groups(docs).collect()}
+    assert whole == {r.node: r.root for r in resemblance.groups(docs, block=3).collect()}
+
+
+def test_members_of_a_crowded_bucket(spark, monkeypatch):
+    """Texts of one long common line and short own parts: one bucket, several components, blocks and lanes of both kinds."""
+    monkeypatch.setattr(resemblance, "TINY", 4)
+    rng = random.Random(2)
+    line = [f"w{k}" for k in range(40)]
+    texts = [" ".join(line + [f"own{rng.randrange(12)}x{k}" for k in range(n)]) for n in (2, 9, 14) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(set(shingle_groups(texts).values()))
+    for block in (2048, 7):
+        assert len({r.root for r in resemblance.groups(docs, block=block).collect()}) <= len(want)
+        keys = dict(docs.select("doc_id", resemblance.key_of(resemblance.F.col("text")).alias("k")).collect())
+        roots = {r.node: r.root for r in resemblance.groups(docs, block=block).collect()}
+        first = {}
+        for i in sorted(keys):
+            first.setdefault(roots.get(keys[i], keys[i]), i)
+        assert sorted(first.values()) == want
 
 
 def test_keep_one_decides_by_row(spark):
