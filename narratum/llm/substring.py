@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored
+from .common import remembered, slices, stored
 
 WINDOW, GRAM = 50, 8
 #: Words of a shard, and different regions of a minimizer that one shard takes.
@@ -55,7 +55,9 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_hashes = Hashes()
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    """Hashes by a worker process's memory."""
+    return remembered("hashes", Hashes).of(words)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -203,7 +205,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, th, text) -> the regions of each row."""
     for part, texts in slices(batches):
         cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-        doc, s, n, anchor, region = regions(_hashes.of([w for ws in cut for w in ws]), [len(ws) for ws in cut])
+        doc, s, n, anchor, region = regions(hashes_of([w for ws in cut for w in ws]), [len(ws) for ws in cut])
         rows = pa.array(doc)
         yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(s, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor), pa.array(region)], ["doc_id", "th", "s", "n", "anchor", "region"])
 
@@ -231,7 +233,7 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _report(rows: list[tuple]) -> pa.RecordBatch:
     """One shard: rows (anchor, region, lo, hi, words) -> runs of windows with their smallest document, if that is before hi."""
-    texts = [_hashes.of(r[4].split(b" ")) for r in rows]
+    texts = [hashes_of(r[4].split(b" ")) for r in rows]
     low, sizes = np.array([r[2] for r in rows]), np.array([len(t) for t in texts])
     fm = FMIndex(texts)
     groups = fm.statistics(np.concatenate(texts), sizes)
@@ -274,7 +276,7 @@ def spans(docs: DataFrame) -> DataFrame:
     several = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"), "several")
     shared = stored(found.join(several, "anchor"), "shared")
     distinct = shared.groupBy("anchor", "region").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(F.struct("doc_id", "th", "s", "n")).alias("x"))
-    crowds = shared.groupBy("anchor", "region").count().groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor", F.lit(True).alias("crowded"))
+    crowds = stored(shared.groupBy("anchor", "region").count().groupBy("anchor").count().where(F.col("count") > CROWD).select("anchor"), "crowds").withColumn("crowded", F.lit(True))
     wanted = distinct.join(crowds, "anchor", "left").select("x.*", "anchor", "region", "lo", "hi", F.coalesce("crowded", F.lit(False)).alias("crowded"))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "n", "anchor", "region", "lo", "hi", "crowded")).alias("wanted"))
     fetched = texts.join(wanted, ["doc_id", "th"]).select("text", "wanted").mapInArrow(_fetch, "anchor long, region long, lo long, hi long, words binary, off int, w1 long, w2 long")
