@@ -4,16 +4,18 @@ The tree is fitted on at most SAMPLE vectors (those with the smallest hash of th
 vector is filed under the leaf that it reaches. A node keeps its centre and the largest distance of its sample members,
 so q.centre + |q| * radius bounds what a leaf's members can reach; a priority queue opens nodes by that bound, and leaves
 come out best bin first. How many leaves a query visits is calibrated: on the sample, visits widen until RECALL of the true
-neighbours is found. Queries then meet the blocks of the leaves that they visit: a leaf's vectors are dealt to blocks of
-bounded size by hash, so a crowded leaf (copies of one vector, say) is split over tasks, and each block gives a query its
-TOP best; the best of those are the answer.
+neighbours is found; a query goes on from there until its leaves hold TOP candidates besides itself, or all there are.
+
+Of equal vectors the TOP + 1 smallest ids (TOP rows of each) are candidates, as no answer can hold others. A leaf's vectors are dealt to
+blocks by hash, and so are the queries that visit it; each pair of blocks is a group of bounded size that gives its
+queries their TOP best there, and the best of those are the answer.
 
 Scores of candidates are computed on the original vectors in double precision, in one order of summation, so equal
 vectors tie exactly.
 
 Cases: null, empty or zero vectors, and vectors with null or non-finite components, take no part; vectors whose length
 isn't that of most of the sample take no part either; repeated ids are separate candidates but a query's own id is none of
-its candidates; an empty table gives no rows; fewer candidates than TOP give them all; other columns are ignored.
+its candidates; equal query rows ask once, and different ones of one id share one answer; an empty table gives no rows; fewer candidates than TOP give them all; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SAMPLE, BRANCH, LEAF, TOP, RECALL, PROBES, EVERY = 20_000, 8, 64, 20, 0.97, 300, 20
-#: Vectors of a block.
-BLOCK = 4096
+#: Vectors of a block, and queries of one.
+BLOCK, ASKS = 4096, 16_384
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -86,14 +88,15 @@ class Tree:
             front += [(kid, rows[own == c]) for c, kid in enumerate(kids) if (own == c).any()]
         return out
 
-    def search(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves that the priority queue gives, best bin first."""
+    def search(self, q: np.ndarray, visits: int, held: np.ndarray | None = None, enough: int = 0) -> list[int]:
+        """The first leaves that the priority queue gives, best bin first; more if those hold less than enough (held: by leaf)."""
         bound = -(self.centre @ q + np.sqrt(q @ q) * self.radius * SLACK)
         queue, out = [(bound[0], 0)], []
-        while queue and len(out) < visits:
+        while queue and (len(out) < visits or enough > 0):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(self.leaf[node])
+                enough -= 0 if held is None else int(held[self.leaf[node]])
             for kid in self.children[node]:
                 heapq.heappush(queue, (bound[kid], kid))
         return out
@@ -157,11 +160,14 @@ def neighbours(vectors: DataFrame, top: int = TOP, every: int = EVERY, recall: f
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = usable(vectors)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+    again = F.row_number().over(Window.partitionBy("v", "vec_id").orderBy("vec_id"))
+    copies = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = rows.withColumn("again", again).where(F.col("again") <= top).withColumn("copy", copies).where(F.col("copy") <= top + 1).drop("again", "copy")
+    picked = few.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     if not picked:
         return empty
     width = int(np.bincount([len(r.v) for r in picked]).argmax())
-    rows = rows.where(F.size("v") == width)
+    rows, few = rows.where(F.size("v") == width), few.where(F.size("v") == width)
     tree = Tree(x := np.array([r.v for r in picked if len(r.v) == width]))
     tree.calibrate(x, top, recall)
     shared = spark.sparkContext.broadcast(tree)  # bounded by SAMPLE
@@ -174,17 +180,26 @@ def neighbours(vectors: DataFrame, top: int = TOP, every: int = EVERY, recall: f
         for ids, v in _blocks(batches):
             own = shared.value
             for at in range(0, len(ids), 100):
-                leaves = [own.search(q, own.visits) for q in v[at : at + 100]]
+                leaves = [own.search(q, own.visits, held, top + 1) for q in v[at : at + 100]]
                 n = [len(x) for x in leaves]
                 many = np.repeat(v[at : at + 100], n, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 100], n)), pa.FixedSizeListArray.from_arrays(pa.array(many.ravel()), width).cast(pa.list_(pa.float64())), pa.array(np.concatenate(leaves), pa.int32())], ["query_id", "q", "leaf"])
 
-    filed = stored(rows.mapInArrow(file, "vec_id long, v array<double>, leaf int"), "leaves")
-    sizes = filed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    filed = filed.join(F.broadcast(sizes), "leaf")  # a row for each leaf: bounded by SAMPLE
-    filed = filed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(visit, "query_id long, q array<double>, leaf int")
-    asked = asked.join(F.broadcast(sizes), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        return df.groupBy("leaf").agg(F.ceil(F.count("*") / size).cast("int").alias(name))  # a row for each leaf: bounded by SAMPLE
+
+    def dealt(df: DataFrame, own: DataFrame, column: str, other: DataFrame, across: str) -> DataFrame:
+        """Rows with their block by hash of a column, once for each block of the other side that their leaf has."""
+        out = df.join(F.broadcast(own), "leaf").withColumn(column, F.pmod(F.xxhash64(df.columns[0]), F.col(column)).cast("int"))
+        return out.join(F.broadcast(other), "leaf").withColumn(across, F.explode(F.sequence(F.lit(0), F.col(across) - 1)))
+
+    filed = stored(few.mapInArrow(file, "vec_id long, v array<double>, leaf int"), "leaves")
+    held = np.zeros(tree.leaves, np.int64)
+    for r in filed.groupBy("leaf").count().collect():  # a row for each leaf
+        held[r.leaf] = r["count"]
+    asked = stored(rows.where(F.col("vec_id") % every == 0).distinct().mapInArrow(visit, "query_id long, q array<double>, leaf int"), "asked")
+    vectors_of, queries_of = blocks(filed, BLOCK, "block"), blocks(asked, ASKS, "asks")
+    filed, asked = dealt(filed, vectors_of, "block", queries_of, "asks"), dealt(asked, queries_of, "asks", vectors_of, "block")
 
     def compare(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         ids = left.column("vec_id").to_numpy()
@@ -202,7 +217,7 @@ def neighbours(vectors: DataFrame, top: int = TOP, every: int = EVERY, recall: f
         join = lambda xs, t: pa.array(np.concatenate(xs) if xs else [], t)
         return pa.table({"query_id": join(out[0], pa.int64()), "vec_id": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
 
-    keys = ("leaf", "block")
+    keys = ("leaf", "block", "asks")
     found = filed.select(*keys, "vec_id", "v").groupBy(*keys).cogroup(asked.select(*keys, "query_id", "q").groupBy(*keys)).applyInArrow(lambda k, a, b: compare(k, a.select(["vec_id", "v"]), b.select(["query_id", "q"])), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

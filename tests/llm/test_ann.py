@@ -53,6 +53,20 @@ def test_ties_copies_and_bad_rows(spark, monkeypatch):
     bad = spark.createDataFrame([(20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [1.0, None]), (100, []), (120, [1.0, 2.0]), (121, [2.0, 1.0]), (None, [1.0, 1.0]), (123, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
     assert found(ann.neighbours(bad)) == {120: [(121, 4.0)]}
     assert ann.neighbours(bad.limit(0)).count() == 0
+    again = spark.createDataFrame([(20, [1.0, 1.0])] * 30 + [(k, [1.0, 1.0]) for k in range(21, 60)], "vec_id long, embedding array<float>")
+    got = ann.neighbours(again).collect()
+    assert sorted({(r.query_id, r.rank, r.vec_id) for r in got if r.query_id == 20}) == [(20, k + 1, 21 + k) for k in range(20)]
+
+
+def test_queries_in_sparse_leaves_get_all_neighbours(spark, monkeypatch):
+    """Copies make the calibrated visits few; queries far from them still get as many rows as there are candidates."""
+    monkeypatch.setattr(ann, "ASKS", 3)
+    x = np.concatenate([np.repeat(clustered(4, 3), 100, axis=0), clustered(60, 9)])
+    ids = np.arange(len(x))
+    got = found(ann.neighbours(frame(spark, ids, x), every=10))
+    want = brute(ids, x, every=10)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
 def test_all_leaves_are_exact():
