@@ -8,7 +8,7 @@ members one stays. First each bucket's members meet its smallest one; the pairs
 members of different components meet, so a large group of copies isn't squared. A large bucket is dealt in blocks of BLOCK
 members over cells of two blocks: the largest component's blocks meet the other members' blocks, and those each other.
 In a cell, 128-bit SimHash fingerprints are compared bit-sliced, and only pairs within WIDE bits go on: of a pair that is
-similar enough a bit differs with a chance under 0.16, so more than WIDE of 128 differ with one under 1e-8; sets of less than
+similar enough a bit differs with a chance under 0.16, so more than WIDE of 128 differ with one of about 1e-8; sets of less than
 FEW shingles aren't held to that. Every pair is verified by the exact sets.
 
 Cases: a text is known by a 64-bit hash, null as the empty text; texts with fewer words than a shingle are one shingle;
@@ -208,7 +208,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         across = planes(f[cols]) if len(cols) else None
         for s in range(0, len(rows) if len(cols) else 0, 256):
             r = rows[s : s + 256]
-            near = marked(within(f[r], across, WIDE), len(cols)) | (n[r] < FEW)[:, None]
+            near = marked(within(f[r], across, WIDE), len(cols)) | (n[r] < FEW)[:, None] | (n[cols] < FEW)[None, :]
             near &= (root[r][:, None] != root[cols][None, :]) & sized(n[r][:, None], n[cols][None, :])
             if kind[0] != 1:
                 near &= r[:, None] < cols[None, :]
