@@ -43,6 +43,8 @@ ROUNDS, ROUND_RATE, ROUND_STREAMS, ROUND_WINDOW, STRETCH, PIECES = 2, 0.006, 512
 WINDOW, STREAMS, EPOCHS, RATE = 32, 64, 2, 0.004
 #: Bytes of text that a task packs into streams at a time, and its streams; bytes and rows whose words are looked up at a time.
 POOL_BYTES, POOL_STREAMS, POOL_WINDOW, LOOKUP_BYTES, LOOKUP_ROWS = 12 << 20, 1024, 16, 6 << 20, 4096
+#: Copies of a piece that are averaged at a time.
+COPIES = 1024
 #: Distinct words after which a counting task hands on what it has.
 FLUSH = 300_000
 
@@ -431,6 +433,7 @@ def learn(scorer: Scorer, docs: DataFrame) -> None:
         own, pool, weight, tokens = shared.value, [], 0, 0
         network = copy.copy(own.network)
         network.p = {name: x.copy() for name, x in network.p.items()}
+
         def learn_pool() -> None:
             network.train(pool, own.start, 1, ROUND_RATE, ROUND_STREAMS, ROUND_WINDOW, stretch=STRETCH)
             pool.clear()
@@ -454,9 +457,12 @@ def learn(scorer: Scorer, docs: DataFrame) -> None:
         total, out = sum(table.column("tokens").to_pylist()), 0.0
         for n, w in zip(table.column("tokens").to_pylist(), table.column("w")):
             out = out + np.frombuffer(w.as_py(), np.float32).astype(np.float64) * (n / total)
-        return pa.table({"piece": table.column("piece").slice(0, 1), "w": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"piece": table.column("piece").slice(0, 1), "task": table.column("batch").slice(0, 1), "tokens": pa.array([total], pa.int64()), "w": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(run, "piece int, task int, tokens long, w binary").groupBy("piece").applyInArrow(average, "piece int, w binary")
+    kind = "piece int, task int, tokens long, w binary"
+    parts = docs.select("text").mapInArrow(run, kind)
+    for batch in (F.floor(F.col("task") / COPIES).cast("int"), F.lit(0)):  # so that no group grows with the number of tasks
+        parts = parts.withColumn("batch", batch).groupBy("piece", "batch").applyInArrow(average, kind)
     rows = sorted(parts.collect(), key=lambda r: r.piece)  # as large as the network
     if rows:
         flat, at = np.concatenate([np.frombuffer(bytes(r.w), np.float32) for r in rows]), 0
