@@ -137,8 +137,8 @@ def groups(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     fps = checkpointed(fingerprints(docs))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     linked = components(links(classes.select("fp"), bucket))
-    members = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    members = checkpointed(classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    lowest = checkpointed(members.groupBy("root").agg(F.min("first").alias("component_id")))
     owner = members.join(lowest, "root").select("fp", "component_id")
     return fps.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -153,7 +153,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = rows.join(resemblance.groups(docs).withColumnRenamed("node", "__key"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
     place = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key"))
     rows = checkpointed(rows.withColumn("place", place))
-    best = rows.groupBy("root").agg(F.min("place").alias("best"))
+    best = checkpointed(rows.groupBy("root").agg(F.min("place").alias("best")))  # cut off, so that Spark can split a large group's join
     placed = checkpointed(rows.join(best, "root").select("__key", "__id", "n", (F.col("place") == F.col("best")).alias("kept")))
     same = lambda few: (keyed["__key"] == few["few_key"]) & keyed["__id"].eqNullSafe(few["few_id"])
     few = placed.where("not kept").select(F.col("__key").alias("few_key"), F.col("__id").alias("few_id"))
