@@ -120,3 +120,18 @@ def test_legacy_markup(spark):
     images = spark.createDataFrame([("b", 0, "x.png", "/x"), ("b", 1, "Cover.png", "/c"), ("c", 0, "y.png", "/y"), ("c", 1, "mycover", "/m")], "book_id string, seq int, ref string, location string")
     shown = legacy.page_images(spark.createDataFrame([("b", 3, "<img src='x.png'/>"), ("c", 0, "")], "book_id string, page_no int, markup string"), images)
     assert sorted(map(tuple, legacy.first_image(shown, images).collect())) == [("b", "/x"), ("c", "/m")]
+
+
+def test_legacy_tags(spark):
+    rows = [
+        ("a", 0, "creator", {"text": "X", "role": "trl"}), ("a", 1, "creator", {"text": "Y"}), ("a", 2, "date", {"text": "1999", "event": "creation"}),
+        ("a", 3, "date", {"text": "none", "event": "publication"}), ("a", 4, "rights", {"file-as": "c 2001", "text": "x"}), ("a", 5, "subject", {"text": "g"}), ("a", 6, "subject", {"id": "s"}),
+        ("b", 0, "title", {"file-as": "T, The"}), ("c", 0, "creator", {"id": "x"}),
+    ]
+    album = legacy.album_tags(spark.createDataFrame(rows, "book_id string, seq int, element string, attrs map<string, string>"))
+    got = {r.book_id: (dict(r.tags), list(r.genres)) for r in album.collect()}
+    a = {"ARTIST": "X", "ALBUMARTIST": "X", "COMPOSER": "X", "COPYRIGHT": "c 2001", "YEAR": "2001", "GENRE": "g"}
+    assert got == {"a": (a, ["g"]), "b": ({"ALBUMSORT": "T, The", "ALBUM": "T, The"}, []), "c": ({}, [])}
+    entries = spark.createDataFrame([("b", 0, None), ("b", 1, "x/y"), ("z", 0, "t")], "book_id string, entry_no int, text string")
+    titles = {(r.book_id, r.entry_no): dict(r.tags) for r in legacy.entry_tags(entries, album).collect()}
+    assert titles["b", 0]["TITLE"] == "Entry Number 0" and titles["b", 1] == got["b"][0] | {"TITLE": "x-y"} and titles["z", 0] == {"TITLE": "t"}
