@@ -5,7 +5,8 @@ meet by prefixes instead: two such sets share a shingle among the first n - ceil
 one order of all shingles. The order puts shingles that are common in a sample of the texts last and else goes by hash;
 the sample decides the cost, never the result. Texts that share a prefix shingle form a bucket; of buckets with the same
 members one stays. First each bucket's members meet its smallest one; the pairs that hold give components. Then only
-members of different components meet, so a large group of copies isn't squared. A large bucket is dealt in blocks of BLOCK
+members of different components meet, so a large group of copies isn't squared: at first each with its PARTNERS next possible
+partners, which joins most of a dense group, then with all that are still apart. A large bucket is dealt in blocks of BLOCK
 members over cells of two blocks: the largest component's blocks meet the other members' blocks, and those each other.
 In a cell, 128-bit SimHash fingerprints are compared bit-sliced, and only pairs within WIDE bits go on: of a pair that is
 similar enough a bit differs with a chance under 0.16, so more than WIDE of 128 differ with one of about 1e-8; sets of less than
@@ -33,7 +34,9 @@ SHINGLE, MOST, OF = 5, 4, 5
 #: Texts whose shingles are counted, in how many a common one is, and how many of those are told apart (cost only).
 SAMPLE, COMMON, LISTED = 5000, 5, 200_000
 #: Pairs that a task hands on at a time; members of a block; members of a cell whose pairs are lanes of their own.
-PAIRS, BLOCK, TINY = 1 << 16, 2048, 64
+PAIRS, BLOCK, TINY = 1 << 14, 2048, 64
+#: Possible partners of a member that are tried before all others.
+PARTNERS = 8
 #: Differing bits of fingerprints that are compared on, and shingles under which they say too little.
 WIDE, FEW = 46, 10
 #: Counts of a sketch, by which most pairs that can't be similar go before their texts are read (cost only).
@@ -130,7 +133,7 @@ def buckets(told: DataFrame) -> DataFrame:
 
 
 def cells(members: DataFrame, told: DataFrame, block: int) -> DataFrame:
-    """(h, kind, x, y, top, root, key, n, f1, f2): members (h, key, root) of buckets with several roots, dealt over cells.
+    """(h, kind, x, y, top, root, key, n, f1, f2, sketch): members (h, key, root) of buckets with several roots, dealt over cells.
 
     kind 0 is a whole bucket; 1 has a block of the most frequent root (top) and one of other members; 2 two blocks of other members.
     """
@@ -144,9 +147,9 @@ def cells(members: DataFrame, told: DataFrame, block: int) -> DataFrame:
     own = F.col("own")
     others = F.concat(each("major", lambda k: cell(1, k, own)), each("rest", lambda k: cell(2, F.least(k, own), F.greatest(k, own))))
     to = F.when(F.col("total") <= block, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("top"), each("rest", lambda k: cell(1, own, k))).otherwise(others)
-    rows = rows.join(told.select("key", "n", "f1", "f2"), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", "n", "f1", "f2")
+    rows = rows.join(told.select("key", "n", "f1", "f2", "sketch"), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", "n", "f1", "f2", "sketch")
     at = ["h", "kind", "x", "y"]
-    return rows.select("h", "to.*", "top", "root", "key", "n", "f1", "f2").repartition(*at).sortWithinPartitions(*at)
+    return rows.select("h", "to.*", "top", "root", "key", "n", "f1", "f2", "sketch").repartition(*at).sortWithinPartitions(*at)
 
 
 def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -175,22 +178,47 @@ def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndar
         yield [np.concatenate(c) for c in zip(*left)]
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of a cell's members in different components whose sizes and fingerprints allow a link."""
-    held: list[list[np.ndarray]] = []  # key, fingerprint and n of both sides of pairs that wait to be lanes
-    waiting = 0
+def counted(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows; one that is empty has -1 first."""
+    blank = np.full(WIDTH, -1, np.int16)
+    return np.stack([np.frombuffer(x, np.uint8).astype(np.int16) if x else blank for x in sketches])
+
+
+def room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of sketches leave room for a similar pair: no more shingles are shared than the sum of the lesser counts."""
+    both, total = np.minimum(a, b).sum(axis=1, dtype=np.int64), a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
+    return (OF * both >= MOST * (total - both)) | (a[:, 0] < 0) | (b[:, 0] < 0)
+
+
+def leading(rows: np.ndarray, most: int | None) -> np.ndarray:
+    """The places of the first `most` of each run of equal numbers (none given: all)."""
+    if most is None or not len(rows):
+        return np.arange(len(rows))
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return np.flatnonzero(np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows)))) < most)
+
+
+def _across(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (a < b) of a cell's members in different components whose sizes, fingerprints and sketches allow a link.
+
+    most: of a member's partners further on in the cell, so many at most.
+    """
+    held: list[list[np.ndarray]] = []  # key, fingerprint, n and sketches of both sides of pairs that wait to be lanes, and the first's row
+    waiting = before = 0
 
     def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def lanes() -> pa.RecordBatch:
-        a, b, x, n = (np.concatenate(c) for c in zip(*held))
+        a, b, x, n, s, t, row = (np.concatenate(c) for c in zip(*held))
         held.clear()
-        near = (n < FEW) | marked(within(None, planes(x), WIDE)[0], len(a))
+        near = np.flatnonzero((n < FEW) | marked(within(None, planes(x), WIDE)[0], len(a)))
+        near = near[room(s[near], t[near])]
+        near = near[leading(row[near], most)]
         return pairs(a[near], b[near])
 
-    for _, kind, _, _, top, root, key, n, f1, f2 in runs(batches, 4):
-        f = np.stack([f1, f2], axis=1).view(np.uint64)
+    for _, kind, _, _, top, root, key, n, f1, f2, sketch in runs(batches, 4):
+        f, counts = np.stack([f1, f2], axis=1).view(np.uint64), counted(sketch.tolist())
         if len(key) <= TINY:
             i, j = np.triu_indices(len(key), 1)
             meet = (root[i] != root[j]) & sized(n[i], n[j])
@@ -198,8 +226,8 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 meet &= top[i] != top[j]
             i, j = i[meet], j[meet]
             if len(i):
-                held.append([key[i], key[j], f[i] ^ f[j], np.minimum(n[i], n[j])])
-            waiting += len(i)
+                held.append([key[i], key[j], f[i] ^ f[j], np.minimum(n[i], n[j]), counts[i], counts[j], before + i])
+            waiting, before = waiting + len(i), before + len(key)
             if waiting >= PAIRS:
                 yield lanes()
                 waiting = 0
@@ -213,24 +241,30 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind[0] != 1:
                 near &= r[:, None] < cols[None, :]
             i, j = np.nonzero(near)
-            if len(i):
-                yield pairs(key[r[i]], key[cols[j]])
+            i, j = r[i], cols[j]
+            good = np.concatenate([np.zeros(0, bool), *[room(counts[i[at : at + PAIRS]], counts[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]])
+            i, j = i[good], j[good]
+            first = leading(i, most)
+            if len(first):
+                yield pairs(key[i[first]], key[j[first]])
     if held:
         yield lanes()
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches leave room for a similar pair: no more shingles are shared than the sum of the lesser counts."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = (np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y))
-            both = int(np.minimum(x, y).sum()) if len(x) and len(y) else 0
-            keep.append(not (len(x) and len(y)) or OF * both >= MOST * (int(x.sum() + y.sum()) - both))
-        yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
+        if batch.num_rows:
+            good = room(counted(batch.column(2).to_pylist()), counted(batch.column(3).to_pylist()))
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good)).columns[:2], ["a", "b"])
 
 
-def verified(pairs: DataFrame, told: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def joined(pairs: DataFrame, frame: DataFrame, column: str) -> DataFrame:
+    """(a, b, x, y): pairs with a column of frame (key, ...) for both."""
+    both = pairs.join(frame.select(F.col("key").alias("b"), F.col(column).alias("y")), "b").join(frame.select(F.col("key").alias("a"), F.col(column).alias("x")), "a")
+    return both.select("a", "b", "x", "y")
+
+
+def verified(possible: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) whose texts are similar, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +277,6 @@ def verified(pairs: DataFrame, told: DataFrame, texts: DataFrame, size: int) ->
                 keep.append(alike(own, shingles(batch.column(3)[k].as_py(), size)))
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
-    def joined(pairs: DataFrame, frame: DataFrame, column: str) -> DataFrame:
-        both = pairs.join(frame.select(F.col("key").alias("b"), F.col(column).alias("y")), "b").join(frame.select(F.col("key").alias("a"), F.col(column).alias("x")), "a")
-        return both.select("a", "b", "x", "y")
-
-    possible = stored(joined(pairs, told, "sketch").mapInArrow(_possible, "a long, b long"), "possible")
     need = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = stored(texts.join(need, "key", "left_semi").dropDuplicates(["key"]), "texts")
     return stored(joined(possible, texts, "text").mapInArrow(run, "a long, b long"), "similar")
@@ -259,9 +288,16 @@ def groups(docs: DataFrame, size: int = SHINGLE, block: int | None = None) -> Da
     told = described(texts, size)
     members = buckets(told)
     stars = checkpointed(members.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
-    edges = verified(stars, told, texts, size)
+    edges = verified(stored(joined(stars, told, "sketch").mapInArrow(_possible, "a long, b long"), "possible"), texts, size)
     roots = components(edges)
-    placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("root", "key").alias("root"))
-    pairs = cells(placed, told, block or BLOCK).mapInArrow(_across, "a long, b long").distinct()
-    more = verified(pairs.join(stars, ["a", "b"], "left_anti"), told, texts, size)
-    return components(edges.union(more)) if more.limit(1).count() else roots
+    tried = stars
+    for most in (PARTNERS, None):
+        placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("root", "key").alias("root"))
+        pairs = cells(placed, told, block or BLOCK).mapInArrow(lambda batches, most=most: _across(batches, most), "a long, b long").distinct()
+        new = stored(pairs.join(tried, ["a", "b"], "left_anti"), "possible")
+        more = verified(new, texts, size)
+        tried = tried.union(new)
+        if more.limit(1).count():
+            edges = edges.union(more)
+            roots = components(edges)
+    return roots
