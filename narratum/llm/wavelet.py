@@ -22,7 +22,7 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Remembered, byte_letters
+from .bpe import byte_letters
 from .common import remembered, slices, stored
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 #: Tokens after which a shard ends (at the end of a document).
 SHARD_TOKENS = 2_000_000
-#: Distinct words, and as many pieces, that a worker remembers in each of two generations (bounds memory, not results).
-REMEMBERED = 200_000
+#: Distinct words, and as many pieces, that a worker remembers (bounds memory, not results).
+REMEMBERED = 800_000
 #: Shard descriptions (24 bytes each) that may be broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SHARDS = 200_000
 
@@ -48,13 +48,15 @@ PLAIN = re.compile(r"[\x09-\x0d\x20-\x7e\xa0-ɏ]*")
 LETTERS, DIGITS = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The format's split into pieces, for such texts.
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
+#: The same for lower-cased ASCII texts.
+ASCII_PIECE = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\sa-z0-9]+")
 
 
 class WordEncoder:
     """The library's ids of whole texts.
 
-    The format drops white space, so each distinct word is encoded once: plain words piece by piece by the library's model,
-    other words (further scripts, control characters, special tokens) by the whole library.
+    The format drops white space, so words are encoded apart: of plain texts each distinct piece once by the library's
+    model, of other texts (further scripts, control characters, special tokens) each distinct word once by the whole library.
     """
 
     def __init__(self, path: str):
@@ -64,51 +66,37 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.words, self.pieces = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.letters = {b: c for c, b in byte_letters().items()}
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.hints = {x[:2].encode() for x in self.special}
-        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-
-    def learn(self, words: Iterable[bytes]) -> None:
-        """Remembers the ids of words (as bytes, without white space)."""
-        known, pieces, packed, tokenize = self.words.young, self.pieces.young, self.packed, self.library.model.tokenize
-        cuts = {}
-        for raw in self.words.unknown(words):
-            word = raw.decode()
-            if not PLAIN.fullmatch(word) or any(x in word for x in self.special):
-                known[raw] = b"".join([packed[i] for i in self.library.encode(word, add_special_tokens=False).ids])
-            else:
-                low = word.lower()
-                cuts[raw] = [low] if low.isascii() and low.isalpha() else PIECE.findall(low)
-        for piece in self.pieces.unknown({p for cut in cuts.values() for p in cut}):
-            letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            pieces[piece] = b"".join([packed[t.id] for t in tokenize(letters)])
-        for raw, cut in cuts.items():
-            known[raw] = pieces[cut[0]] if len(cut) == 1 else b"".join([pieces[p] for p in cut])
+
+    def piece(self, text: str) -> bytes:
+        tokens = self.library.model.tokenize(text.encode().decode("latin-1").translate(self.letters))
+        self.pieces[text] = packed = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return packed
+
+    def word(self, word: bytes) -> bytes:
+        self.words[word] = packed = np.array(self.library.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return packed
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers, without the end id."""
-        self.words.age()
-        self.pieces.age()
-        known, cuts, new = self.words.young, [], set()
+        for memory in (self.words, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        out = []
         for text in texts:
-            data = text.encode()
-            # Letters of ASCII texts may be lowered at once; elsewhere, what the format lowers can depend on other marks.
-            if text.isascii() and not any(x in data for x in self.hints):
-                data = data.lower()
-            words = data.split()
-            found, holes, at = list(map(known.get, words)), [], -1
+            if PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+                cut, known, make = (ASCII_PIECE if text.isascii() else PIECE).findall(text.lower()), self.pieces, self.piece
+            else:
+                cut, known, make = text.encode().split(), self.words, self.word
+            found, at = list(map(known.get, cut)), -1
             for _ in range(found.count(None)):
                 at = found.index(None, at + 1)
-                holes.append((at, words[at]))
-            new.update([w for _, w in holes])
-            cuts.append((found, holes))
-        self.learn(new)
-        for found, holes in cuts:
-            for at, word in holes:
-                found[at] = known[word]
-        return [b"".join(found) for found, _ in cuts]
+                found[at] = known.get(cut[at]) or make(cut[at])
+            out.append(b"".join(found))
+        return out
 
 
 def encoder(name: str) -> WordEncoder:
