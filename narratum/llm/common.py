@@ -81,3 +81,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tu
     """Each Arrow batch in pieces of bounded rows and bytes, with the text column as Python strings (null: empty)."""
     for part in pieces(batches, SLICE_ROWS, SLICE_BYTES, text):
         yield part, [x or "" for x in part.column(part.schema.get_field_index(text)).to_pylist()]
+
+
+def read_cell(table: pa.Table, column: str) -> Any:
+    """The first row's value of a column."""
+    return table.column(column)[0].as_py()
