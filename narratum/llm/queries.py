@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, gru, licences, simhash, substring, toxicity, warc, wavelet
+from . import ann, bpe, codebook, countjoin, decontam, gru, licences, manifest, simhash, substring, toxicity, warc, wavelet
 from .common import read
 
 
@@ -50,5 +50,17 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op4_substring_dedup, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op9_warc_fixity, op10_gru_scores)}
-SQL: dict[str, str] = {"op4_substring_dedup": substring.SQL, "op5_licences": licences.sql(), "op7_decontamination": decontam.SQL, "op9_warc_fixity": warc.SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebook.digests(read(spark, sf_dir, "embeddings"))
+
+
+def op12_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countjoin.groups(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_wavelet_tokens, op3_simhash_groups, op4_substring_dedup, op5_licences, op6_nearest, op7_decontamination, op8_bpe_roundtrip, op9_warc_fixity, op10_gru_scores, op11_vector_codes, op12_count_rtree_join, op13_merkle_manifest)}
+SQL: dict[str, str] = {"op4_substring_dedup": substring.SQL, "op5_licences": licences.sql(), "op7_decontamination": decontam.SQL, "op9_warc_fixity": warc.SQL, "op11_vector_codes": codebook.SQL, "op12_count_rtree_join": countjoin.SQL, "op13_merkle_manifest": manifest.SQL}

@@ -18,7 +18,7 @@ texts without words have equal sets; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,8 +132,8 @@ def buckets(told: DataFrame) -> DataFrame:
     return stored(places.join(once, "h").select("h", "key", "lo"), "members")
 
 
-def cells(members: DataFrame, told: DataFrame, block: int) -> DataFrame:
-    """(h, kind, x, y, top, root, key, n, f1, f2, sketch): members (h, key, root) of buckets with several roots, dealt over cells.
+def cells(members: DataFrame, told: DataFrame, block: int, carry: tuple[str, ...] = ("n", "f1", "f2", "sketch")) -> DataFrame:
+    """(h, kind, x, y, top, root, key, carried columns of told): members (h, key, root) of buckets with several roots, dealt over cells.
 
     kind 0 is a whole bucket; 1 has a block of the most frequent root (top) and one of other members; 2 two blocks of other members.
     """
@@ -147,9 +147,9 @@ def cells(members: DataFrame, told: DataFrame, block: int) -> DataFrame:
     own = F.col("own")
     others = F.concat(each("major", lambda k: cell(1, k, own)), each("rest", lambda k: cell(2, F.least(k, own), F.greatest(k, own))))
     to = F.when(F.col("total") <= block, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("top"), each("rest", lambda k: cell(1, own, k))).otherwise(others)
-    rows = rows.join(told.select("key", "n", "f1", "f2", "sketch"), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", "n", "f1", "f2", "sketch")
+    rows = rows.join(told.select("key", *carry), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", *carry)
     at = ["h", "kind", "x", "y"]
-    return rows.select("h", "to.*", "top", "root", "key", "n", "f1", "f2", "sketch").repartition(*at).sortWithinPartitions(*at)
+    return rows.select("h", "to.*", "top", "root", "key", *carry).repartition(*at).sortWithinPartitions(*at)
 
 
 def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -264,7 +264,7 @@ def joined(pairs: DataFrame, frame: DataFrame, column: str) -> DataFrame:
     return both.select("a", "b", "x", "y")
 
 
-def verified(possible: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def verified(possible: DataFrame, texts: DataFrame, size: int, same: Callable[[set, set], bool] = alike) -> DataFrame:
     """The pairs (a, b) whose texts are similar, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,7 @@ def verified(possible: DataFrame, texts: DataFrame, size: int) -> DataFrame:
             for k in range(len(batch)):
                 if (a := batch.column(0)[k].as_py()) != last:
                     last, own = a, shingles(batch.column(2)[k].as_py(), size)
-                keep.append(alike(own, shingles(batch.column(3)[k].as_py(), size)))
+                keep.append(same(own, shingles(batch.column(3)[k].as_py(), size)))
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
     need = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
