@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import parse_time, replace_word, show_time
+from .sequence import SPAN, as_of
 
 LOUD = -60.0
 
@@ -102,37 +103,59 @@ def splices(cuts: DataFrame, track: str, order: str) -> DataFrame:
     return out.withColumn("new_end", F.col("new_start") + F.col("new_length") + F.when(F.col("end_splice").isNotNull(), F.coalesce("half", F.lit(0))).otherwise(0))
 
 
-def splice_points(frames: DataFrame, targets: DataFrame, track: str, loud: float = LOUD) -> DataFrame:
+def silence_runs(frames: DataFrame, track: str, loud: float = LOUD, span: int = SPAN) -> DataFrame:
+    """Frames (track, ms, dbfs) to runs (track, block, start, end, silent): consecutive milliseconds, all silent or all sounding.
+
+    Islands are found in blocks of `span` milliseconds, so a longer run has a row for each block. Frames without a level end
+    a run and are neither.
+    """
+    rows = frames.select(track, F.floor(F.col("ms") / span).cast("long").alias("block"), F.col("ms").cast("long").alias("ms"), (F.col("dbfs") < loud).alias("silent")).where("silent is not null and ms is not null")
+    w = Window.partitionBy(track, "block").orderBy("ms")
+    fresh = (F.lag("ms").over(w) == F.col("ms") - 1) & (F.lag("silent").over(w) == F.col("silent"))
+    rows = rows.withColumn("fresh", F.when(fresh, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(track, "block", "island").agg(F.min("ms").alias("start"), F.max("ms").alias("end"), F.first("silent").alias("silent")).drop("island")
+
+
+def sounding(runs: DataFrame, track: str) -> DataFrame:
+    """The sounding runs (track, start, end, quiet_before, quiet_after): the last silent ms before and the first one after them."""
+    up, down = (Window.partitionBy(track, "block").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in ("start", F.desc("start")))
+    quiet = lambda c: F.when(F.col("silent"), F.col(c))
+    near = runs.withColumns({"before": F.last(quiet("end"), True).over(up), "after": F.last(quiet("start"), True).over(down)}).where("not silent")
+    blocks = runs.groupBy(track, "block").agg(F.min(quiet("start")).alias("first"), F.max(quiet("end")).alias("last"))
+    up, down = (Window.partitionBy(track).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in ("block", F.desc("block")))
+    far = blocks.select(F.col(track).alias("far_track"), F.col("block").alias("far_block"), F.last("last", True).over(up).alias("far_before"), F.last("first", True).over(down).alias("far_after"))
+    near = near.join(far, F.col(track).eqNullSafe(F.col("far_track")) & (F.col("block") == F.col("far_block")))
+    return near.select(track, "start", "end", F.coalesce("before", "far_before").alias("quiet_before"), F.coalesce("after", "far_after").alias("quiet_after"))
+
+
+def splice_points(frames: DataFrame, targets: DataFrame, track: str, loud: float = LOUD, span: int = SPAN) -> DataFrame:
     """Frames (track, ms, dbfs) and targets (track, line, t, end_t) to start_splice, start_half, end_splice and end_half.
 
     Around a time the silence is widened frame by frame: to the next sounding frame after a start (else the audio's end),
-    then back over silence; for an end the other way round. The splice is the middle. One row for each frame carries the
-    nearest sounding and silent frames both ways, so a target is one equality join, whatever the silence's length.
+    then back over silence; for an end the other way round. The splice is the middle. Frames become runs, and a target needs
+    two as-of lookups on the sounding ones, which know the silence on both sides: the first that ends at or after a start, and
+    the last that begins before an end. Work is linear in the frames, in blocks of `span` milliseconds.
     """
-    past = Window.partitionBy(track).orderBy("ms").rowsBetween(Window.unboundedPreceding, -1)
-    here = Window.partitionBy(track).orderBy("ms").rowsBetween(0, Window.unboundedFollowing)
-    silent = F.col("dbfs") < loud
-    noise, quiet = F.when(~silent, F.col("ms")), F.when(silent, F.col("ms"))
-    seen = frames.withColumns({
-        "noise_next": F.min(noise).over(here), "quiet_next": F.min(quiet).over(here),
-        "noise_last": F.max(noise).over(past), "quiet_last": F.max(quiet).over(past), "length": F.max("ms").over(Window.partitionBy(track)) + 1,
-    })
-    at = lambda name: seen.select(track, F.col("ms").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("noise_next", "quiet_next", "noise_last", "quiet_last")])
-    lengths = frames.groupBy(track).agg((F.max("ms") + 1).alias("length"))
-    out = targets.join(lengths, track).join(at("t"), [track, "t"], "left")
-    after = F.when(F.col("t") >= F.col("length"), F.col("t")).otherwise(F.coalesce("t_noise_next", "length"))
-    out = out.withColumn("after", after).drop("t_noise_next", "t_quiet_next", "t_noise_last", "t_quiet_last")
-    out = out.withColumn("probe", F.least("after", F.col("length") - 1)).join(at("probe"), [track, "probe"], "left")
-    last = F.greatest(F.col("probe_quiet_last"), F.when(F.col("after") > F.col("probe"), F.when(F.col("probe_quiet_next") == F.col("probe"), F.col("probe"))))
-    out = out.withColumn("before", F.coalesce(last + 1, F.lit(0))).drop("probe_noise_next", "probe_quiet_next", "probe_noise_last", "probe_quiet_last", "probe")
-    out = out.withColumn("start_half", F.expr("(after - before) div 2")).withColumn("start_splice", F.expr("(after + before) div 2")).drop("after", "before")
-    out = out.withColumn("probe", F.least("end_t", F.col("length") - 1)).join(at("probe"), [track, "probe"], "left")
-    heard = F.greatest(F.col("probe_noise_last"), F.when(F.col("end_t") > F.col("probe"), F.when(F.col("probe_noise_next") == F.col("probe"), F.col("probe"))))
-    out = out.withColumn("end_after", F.coalesce(heard + 1, F.lit(0))).drop("probe_noise_next", "probe_quiet_next", "probe_noise_last", "probe_quiet_last", "probe")
-    out = out.withColumn("spot", F.least("end_after", F.col("length") - 1)).join(at("spot"), [track, "spot"], "left")
-    out = out.withColumn("end_before", F.when(F.col("end_after") >= F.col("length"), F.col("length")).otherwise(F.coalesce("spot_quiet_next", "length")))
+    runs = silence_runs(frames, track, loud, span)
+    quiet = F.when(F.col("silent"), F.col("start"))
+    silence = runs.groupBy(track).agg(F.min(quiet).alias("first_quiet"), F.max(F.when(F.col("silent"), F.col("end"))).alias("last_quiet"))
+    length = frames.groupBy(track).agg((F.max("ms") + 1).alias("length"))
+    heard = sounding(runs, track)
+    out = targets.select(track, "line", F.col("t").cast("long").alias("t"), F.col("end_t").cast("long").alias("end_t")).join(length, track).join(silence, track, "left")
+    out = as_of(out, "t", heard.select(track, F.col("end").alias("place"), F.struct("start", "quiet_before").alias("value")), [track], "next", True, span)
+    out = as_of(out, "end_t", heard.select(track, F.col("start").alias("place"), F.struct("end", "quiet_after").alias("value")), [track], "past", False, span)
+    there, heard_before = F.col("next").isNotNull(), F.col("past").isNotNull()
+    after = F.when(F.col("t") >= F.col("length"), F.col("t")).when(there, F.greatest("t", "next.start")).otherwise(F.col("length"))
+    before = F.coalesce(F.when(there, F.col("next.quiet_before")).otherwise(F.col("last_quiet")) + 1, F.lit(0))
+    end_after = F.when(heard_before, F.least(F.col("past.end"), F.col("end_t") - 1) + 1).otherwise(0)
+    end_before = F.coalesce(F.when(heard_before, F.col("past.quiet_after")).otherwise(F.col("first_quiet")), "length")
+    out = out.withColumns({"after": after, "before": before, "end_after": end_after, "end_before": end_before})
     known = F.col("end_t").isNotNull()
-    out = out.withColumn("end_half", F.when(known, F.expr("(end_before - end_after) div 2"))).withColumn("end_splice", F.when(known, F.expr("(end_before + end_after) div 2")))
+    out = out.withColumns({
+        "start_half": F.expr("(after - before) div 2"), "start_splice": F.expr("(after + before) div 2"),
+        "end_half": F.when(known, F.expr("(end_before - end_after) div 2")), "end_splice": F.when(known, F.expr("(end_before + end_after) div 2")),
+    })
     return out.select(track, "line", "t", "end_t", "start_splice", "start_half", "end_splice", "end_half")
 
 

@@ -5,31 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
 from ..functions.text import fits, split_to_limit
+from . import sequence
 
 #: Elements that continue a paragraph, and the limits in characters.
 INLINE = ("small", "b", "big", "i")
 PARAGRAPH_LIMIT, QUERY_LIMIT = 1900, 2850
 #: Length of the request's frame before its text is put in: <speak>{text}</speak>.
 FRAME = 21
+#: Records or portions of a track up to which it is one array in a task.
+LONG = 4096
 
 
 def _append(items: Column, item: Column) -> Column:
     return F.concat(items, F.array(item))
 
 
-def merge_inline(records: DataFrame, key: str, order: str) -> DataFrame:
+def _records(records: DataFrame, key: str, order: str) -> DataFrame:
+    parents = F.coalesce("parents", F.array().cast("array<string>"))
+    inline = F.substring_index("tag", ".", 1).isin(*INLINE)
+    return records.select(key, order, "content", inline.alias("inline"), F.col("content").isNotNull().alias("has"), F.concat(parents, F.array("tag")).alias("path"), parents.alias("parents"))
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """Records with next_path as maps of (carries on, the record before took the inline way) to the same after them."""
+    same = lambda p: F.coalesce((F.size(p) > 0) & (F.col("next_path") == F.col(p)), F.lit(False))
+    step = F.lit(0)
+    for carry in (False, True):
+        for was in (False, True):
+            other = F.col("has") & (F.col("inline") | carry)
+            on = F.when(F.col("has"), other & same("path" if was else "parents")).otherwise(carry)
+            to = on.cast("int") + 2 * other.cast("int")
+            step = step + to * (1 << 2 * (int(carry) + 2 * int(was)))
+    return rows.withColumn("step", step)
+
+
+def merge_scan(records: DataFrame, key: str, order: str) -> DataFrame:
+    """merge_inline for tracks of any length: an associative scan of the records' maps, paragraphs numbered by a running sum."""
+    rows = sequence.numbered(_records(records, key, order), [key], [order])
+    rows = _steps(sequence.following(rows, [key], "path", "next_path")).select(key, "pos", "content", "inline", "has", "step")
+    rows = stored(sequence.states(rows, [key], "step", "state"), "merged")
+    carry = F.col("state").bitwiseAND(1) == 1
+    rows = sequence.running(rows, [key], F.when(F.col("has") & ~carry, 1).otherwise(0), "opened")
+    first = rows.where("has and opened = 1").groupBy(key).agg(F.min_by("inline", "pos").cast("int").alias("extra"))
+    kept = rows.where("has").join(first, key).withColumn("par_no", (F.col("opened") - 1 + F.col("extra")).cast("int"))
+    made = kept.groupBy(key, "par_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "content"))), lambda x: x["content"]).alias("content"))
+    return made.unionByName(first.where("extra = 1").select(key, F.lit(0).alias("par_no"), F.array().cast("array<string>").alias("content")))
+
+
+def merge_inline(records: DataFrame, key: str, order: str, long: int = LONG) -> DataFrame:
     """Records (key, order, tag, parents, content) of a track to paragraphs (key, par_no, content array).
 
     tag has the form name.number. A record opens a paragraph unless the one before it, carrying on, made it a sibling's
     continuation; the carry depends on the record after it, whose path must equal the current one's parents (with the
-    current tag added once more if the record before was itself inline or carried).
+    current tag added once more if the record before was itself inline or carried). Tracks over `long` records go by merge_scan,
+    others by a fold over the track.
     """
-    inline = F.substring_index("tag", ".", 1).isin(*INLINE)
+    records, crowd = sequence.split(records.select(key, order, "tag", "parents", "content"), [key], long)
     w = Window.partitionBy(key).orderBy(order)
-    rows = records.select(key, order, "content", inline.alias("inline"), F.col("content").isNotNull().alias("has"),
-                          F.concat(F.coalesce("parents", F.array().cast("array<string>")), F.array("tag")).alias("path"), F.coalesce("parents", F.array().cast("array<string>")).alias("parents"))
-    rows = rows.withColumn("next_path", F.lead("path").over(w))
+    rows = _records(records, key, order).withColumn("next_path", F.lead("path").over(w))
     grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "content", "inline", "has", "path", "parents", "next_path"))).alias("rs"))
     text = "array<array<string>>"
     start = F.struct(F.lit(False).alias("carry"), F.lit(False).alias("was"), F.array().cast(text).alias("out"))
@@ -47,7 +82,8 @@ def merge_inline(records: DataFrame, key: str, order: str) -> DataFrame:
         return F.struct(F.when(r["has"], other & hit).otherwise(a["carry"]).alias("carry"), other.alias("was"), out.alias("out"))
 
     merged = grouped.select(key, F.aggregate("rs", start, step)["out"].alias("out"))
-    return merged.select(key, F.posexplode("out").alias("par_no", "content"))
+    merged = merged.select(key, F.posexplode("out").alias("par_no", "content"))
+    return merged if crowd is None else merged.unionByName(merge_scan(crowd, key, order))
 
 
 def split_paragraphs(paragraphs: DataFrame, order: str = "par_no", limit: int = PARAGRAPH_LIMIT, strict: bool = True) -> DataFrame:
@@ -68,8 +104,7 @@ def split_paragraphs(paragraphs: DataFrame, order: str = "par_no", limit: int =
 
 def render(pieces: DataFrame, book: str | None, order: list[str], mark: bool = True, limit: int = QUERY_LIMIT) -> DataFrame:
     """Adds mark_no (over the whole book, from 0), ssml and ssml_length. A portion that can't fit a request is an error."""
-    w = Window.partitionBy(*([book] if book else [])).orderBy(*order)
-    out = pieces.withColumn("mark_no", F.row_number().over(w) - 1)
+    out = sequence.ranked(pieces, [book] if book else [], order, "mark_no")
     sign = F.concat(F.lit('<mark name="p'), F.col("mark_no").cast("string"), F.lit('"/>')) if mark else F.lit("")
     ssml = F.concat(F.lit("<p>"), F.col("text"), F.lit("</p>"), sign)
     out = out.withColumn("ssml", ssml)
@@ -77,34 +112,63 @@ def render(pieces: DataFrame, book: str | None, order: list[str], mark: bool = T
     return out.withColumn("ssml", F.when(ok, F.col("ssml")).otherwise(F.raise_error(F.lit(f"a portion is over {limit} characters")).cast("string"))).withColumn("ssml_length", F.length("ssml"))
 
 
-def pack(portions: DataFrame, key: list[str], order: list[str], length: str = "ssml_length", limit: int = QUERY_LIMIT, frame: int = FRAME) -> DataFrame:
-    """Adds query_no: portions of a track, in order, fill a request while frame + text stays under the limit.
+def pack_jumps(portions: DataFrame, key: list[str], order: list[str], length: str = "ssml_length", limit: int = QUERY_LIMIT, frame: int = FRAME) -> DataFrame:
+    """pack for tracks of any length, by prefix sums and doubled jumps.
+
+    A request that begins with a portion ends before the first later one whose running sum is `limit - frame` beyond what stood
+    before it: a lookup of running sums. From the first request's end these jumps reach all beginnings; twice as far each round.
+    """
+    room = limit - frame
+    rows = sequence.numbered(portions, key, order, "place", "__total")
+    rows = stored(sequence.running(rows, key, F.col(length).cast("long"), "__end", "place"), "sums").withColumn("__start", F.col("__end") - F.col(length))
+    ends = rows.select(*key, F.col("__end").alias("place"), F.col("place").alias("value"))
+    points = rows.select(*key, "place", "__total", (F.col("__start") + room).alias("__want"))
+    next_one = sequence.as_of(points, "__want", ends, key, "__to", True)
+    to = F.greatest(F.col("place") + 1, F.col("__to"))
+    jumps = next_one.where("__to is not null").select(*key, F.col("place").alias("pos"), F.when(to < F.col("__total"), to).alias("to"))
+    roots = ends.where(F.col("place") >= room).groupBy(*key).agg(F.min("value").alias("pos"))
+    begins = sequence.reached(jumps, roots, key).withColumnRenamed("pos", "place").select(*key, "place", F.lit(1).alias("__begins"))
+    rows = rows.alias("r").join(begins.alias("b"), sequence.on("r", "b", key, "place", "place"), "left").select("r.*", F.coalesce("b.__begins", F.lit(0)).alias("__begins"))
+    out = sequence.running(rows, key, F.col("__begins"), "query_no", "place")
+    return out.select(*portions.columns, "place", F.col("query_no").cast("int").alias("query_no"))
+
+
+def pack(portions: DataFrame, key: list[str], order: list[str], length: str = "ssml_length", limit: int = QUERY_LIMIT, frame: int = FRAME, long: int = LONG) -> DataFrame:
+    """Adds query_no and place (from 0): portions of a track, in order, fill a request while frame + text stays under the limit.
 
     A request that would reach the limit is closed first, so a first portion that fills one alone leaves an empty request
-    0 before it. The fold sees only lengths; it is bounded by one track.
+    0 before it. Tracks over `long` portions go by pack_jumps, others by a fold that carries the portions along.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(length).alias("n"))))
+    rest = [c for c in portions.columns if c not in (*key, *order)]
+    portions, crowd = sequence.split(portions, key, long)
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*rest).alias("__rest"))))
     start = F.struct(F.lit(0).alias("size"), F.lit(0).alias("q"), F.array().cast("array<int>").alias("out"))
 
     def step(a: Column, r: Column) -> Column:
-        more = frame + a["size"] + r["n"] < limit
+        n = r["__rest"][length]
+        more = frame + a["size"] + n < limit
         q = F.when(more, a["q"]).otherwise(a["q"] + 1)
-        return F.struct(F.when(more, a["size"] + r["n"]).otherwise(r["n"]).cast("int").alias("size"), q.alias("q"), _append(a["out"], q).alias("out"))
+        return F.struct(F.when(more, a["size"] + n).otherwise(n).cast("int").alias("size"), q.alias("q"), _append(a["out"], q).alias("out"))
 
-    folded = portions.groupBy(*key).agg(rows.alias("rs")).withColumn("qs", F.aggregate("rs", start, step)["out"])
-    at = folded.select(*key, F.explode(F.arrays_zip("rs", "qs")).alias("x")).select(*key, *[F.col(f"x.rs.{c}").alias(c) for c in order], F.col("x.qs").alias("query_no"))
-    return portions.join(at, [*key, *order])
+    folded = portions.groupBy(*key).agg(rows.alias("__rs")).withColumn("__qs", F.aggregate("__rs", start, step)["out"])
+    at = folded.select(*key, F.posexplode(F.arrays_zip("__rs", "__qs")).alias("place", "__x"))
+    columns = {c: F.col(f"__x.__rs.{c}") for c in order} | {c: F.col(f"__x.__rs.__rest.{c}") for c in rest}
+    out = at.select(*[F.col(c) if c in key else columns[c].alias(c) for c in portions.columns], F.col("place").cast("long").alias("place"), F.col("__x.__qs").alias("query_no"))
+    return out if crowd is None else out.unionByName(pack_jumps(crowd, key, order, length, limit, frame))
 
 
 def requests(packed: DataFrame, key: list[str], order: list[str], text: str = "ssml", head: str = "<speak>", tail: str = "</speak>") -> DataFrame:
     """(key, query_no, query): the packed portions in their frame, the empty request 0 included where packing left one."""
     parts = F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("t"))))
-    made = packed.groupBy(*key, "query_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"))
-    empty = made.groupBy(*key).agg(F.min("query_no").alias("low")).where("low > 0").select(*key, F.lit(0).alias("query_no"), F.lit("").alias("text"))
-    return made.unionByName(empty).select(*key, "query_no", F.concat(F.lit(head), F.col("text"), F.lit(tail)).alias("query"))
+    made = packed.groupBy(*key, "query_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("text"), F.min("place").alias("first"))
+    one = lambda no, text: F.struct(no.alias("query_no"), text.alias("text"))
+    own = one(F.col("query_no"), F.col("text"))
+    rows = F.when((F.col("first") == 0) & (F.col("query_no") > 0), F.array(one(F.lit(0), F.lit("")), own)).otherwise(F.array(own))
+    return made.select(*key, F.explode(rows).alias("x")).select(*key, "x.query_no", F.concat(F.lit(head), F.col("x.text"), F.lit(tail)).alias("query"))
 
 
 def with_empty_tracks(queries: DataFrame, tracks: DataFrame, key: list[str]) -> DataFrame:
     """A track without any portion still has one empty request."""
-    missing = tracks.select(*key).distinct().join(queries.select(*key).distinct(), key, "left_anti")
-    return queries.unionByName(missing.select(*key, F.lit(0).alias("query_no"), F.lit("<speak></speak>").alias("query")))
+    all_tracks = tracks.select(*key).distinct()
+    joined = all_tracks.join(queries, key, "left")
+    return joined.select(*key, F.coalesce("query_no", F.lit(0)).alias("query_no"), F.coalesce("query", F.lit("<speak></speak>")).alias("query"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sequence import ranked
+
 #: Words in the names of short tracks that aren't read.
 UNREAD = ("contents", "copyright", "insert", "title", "cover", "newsletter", "illustrations", "j-novel")
 #: The voices by language, and US dollars for a million characters by kind of voice.
@@ -55,8 +57,7 @@ def finalize(tracks: DataFrame, album: DataFrame | None = None, book: str | None
     kept = tracks.where(~unread_name(F.col("name"), F.col("num_queries")))
     if "queries" in tracks.columns:
         kept = kept.where(~unreadable(F.col("queries")))
-    w = Window.partitionBy(*([book] if book else [])).orderBy(order)
-    out = kept.withColumn("track", F.row_number().over(w)).withColumn("title", F.col("name")).withColumn("genre", F.lit(genre))
+    out = ranked(kept, [book] if book else [], [order], "track").withColumns({"track": (F.col("track") + 1).cast("int"), "title": F.col("name"), "genre": F.lit(genre)})
     return out.join(album, book, "left") if album is not None and book else out
 
 

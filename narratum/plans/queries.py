@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scratch import stored
 from ..operators import book, legacy, lyrics, ssml, tracks, words
 from ..sources import epub
 
@@ -93,7 +94,7 @@ e as (select doc_id, 0 as q, '<speak></speak>' as t from q group by 1 having min
 select doc_id, cast(count(*) as bigint) as num_queries, cast(sum(length(t)) as bigint) as chars, round(sum(length(t)) / 1e6 * 16.0, 9) as usd, md5(string_agg(t, '' order by q)) as queries_md5 from (select * from q union all select * from e) group by 1""")
 def speech_requests(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: documents as tracks, line by line to size-bounded requests, with their number, length and price."""
-    portions = ssml.render(_pieces(spark, d, ssml.PARAGRAPH_LIMIT), "source", ["doc_id", "line_no", "piece_no"])
+    portions = ssml.render(stored(_pieces(spark, d, ssml.PARAGRAPH_LIMIT), "pieces"), "source", ["doc_id", "line_no", "piece_no"])
     packed = ssml.pack(portions.select("doc_id", "line_no", "piece_no", "ssml", "ssml_length"), ["doc_id"], ["line_no", "piece_no"])
     made = ssml.with_empty_tracks(ssml.requests(packed, ["doc_id"], ["line_no", "piece_no"]), table(spark, d, "documents"), ["doc_id"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("query_no", "query"))), lambda q: q["query"]), "")
