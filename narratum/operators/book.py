@@ -26,18 +26,27 @@ def resolve_spine(spine: DataFrame, manifest: DataFrame, members: DataFrame | No
     return found.withColumn("bytes", F.when(there, F.col("bytes")).otherwise(F.raise_error(F.concat(F.lit("no such file in the archive: "), F.col("href"))).cast("binary")))
 
 
-def flatten_contents(toc: DataFrame) -> DataFrame:
-    """Contents rows (book_id, node, parent, sibling, label, src) to pre-order rows with toc_pos, parent_labels, src_path and src_id.
+def _recursive(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
+    """A recursive query. Its rows aren't limited in number, which Spark does by default, and its levels are to DEEP."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(sql, **tables)
 
-    A join per level: deep trees are rare, and each round handles all books.
-    """
-    roots = toc.where("parent is null").select("book_id", "node", "label", "src", F.array().cast("array<string>").alias("parent_labels"), F.array("sibling").alias("path"))
-    done, level = roots, roots
-    while level.limit(1).count():
-        up = level.select("book_id", F.col("node").alias("parent"), F.col("label").alias("up_label"), F.col("parent_labels").alias("up_labels"), F.col("path").alias("up_path"))
-        level = toc.join(up, ["book_id", "parent"]).select("book_id", "node", "label", "src", F.concat("up_labels", F.array("up_label")).alias("parent_labels"), F.concat("up_path", F.array("sibling")).alias("path"))
-        done = done.unionByName(level)
-    out = done.withColumn("toc_pos", F.row_number().over(Window.partitionBy("book_id").orderBy("path")) - 1)
+
+#: Levels that contents and JSON documents may have.
+DEEP = 1000
+
+
+def flatten_contents(toc: DataFrame) -> DataFrame:
+    """Contents rows (book_id, node, parent, sibling, label, src) to pre-order rows with toc_pos, parent_labels, src_path and src_id."""
+    out = _recursive(
+        toc.sparkSession,
+        f"""WITH RECURSIVE t(book_id, node, label, src, parent_labels, path) MAX RECURSION LEVEL {DEEP} AS (
+        SELECT book_id, node, label, src, cast(array() as array<string>), array(sibling) FROM {{toc}} WHERE parent IS NULL
+        UNION ALL SELECT c.book_id, c.node, c.label, c.src, array_append(t.parent_labels, t.label), array_append(t.path, c.sibling)
+        FROM {{toc}} c JOIN t ON c.book_id = t.book_id AND c.parent = t.node) SELECT * FROM t""",
+        toc=toc,
+    )
+    out = out.withColumn("toc_pos", F.row_number().over(Window.partitionBy("book_id").orderBy("path")) - 1)
     return out.select("book_id", "toc_pos", "label", "parent_labels", "src", target_path(F.col("src")).alias("src_path"), target_id(F.col("src")).alias("src_id"))
 
 
@@ -101,9 +110,10 @@ RULES = {
 
 
 def rules_frame(spark: SparkSession, rules: dict = RULES) -> DataFrame:
-    """(tag, rule_no, tests array<struct<tag, attr, value>>, up int, field, processing) of rules as in RULES.
+    """(tag, rule_no, tests array<struct<element, attr, value>>, element, field, processing) of rules as in RULES.
 
-    Paths are element.attribute; a data path of `pop`s and a field is relative to the last test's attribute.
+    Paths are element.attribute; a data path of `pop`s and a field is relative to the last test's attribute. For paths of
+    any length see path_rules.
     """
     rows = []
     for names, own in rules.items():
@@ -149,10 +159,77 @@ def path_value(doc: Column, path: list[str | int]) -> Column:
     return F.try_variant_get(F.try_parse_json(doc), "$" + steps, "string")
 
 
-def relative_path(path: Column, data: list[str]) -> Column:
-    """An array path after one step up for each leading `pop`, then the rest."""
-    up = next((k for k, p in enumerate(data) if p != "pop"), len(data))
-    return F.concat(F.slice(path, F.lit(1), F.greatest(F.size(path) - up, F.lit(0))), F.array(*map(F.lit, data[up:])))
+def relative_path(path: Column, data: Column) -> Column:
+    """An exact path (keys and places) after one step up for each leading `pop` of data, then the rest of data.
+
+    If data has nothing but `pop`s, the last one is taken as a key too. More steps up than the path has give null.
+    """
+    other = F.transform(data, lambda p, k: F.when(p != "pop", k))
+    up = F.coalesce(F.array_min(F.filter(other, lambda k: k.isNotNull())), F.size(data))
+    rest = F.slice(data, F.least(up, F.size(data) - 1) + 1, F.size(data))
+    return F.when(up <= F.size(path), F.concat(F.slice(path, F.lit(1), F.size(path) - up), rest))
+
+
+def flatten_documents(docs: DataFrame) -> DataFrame:
+    """JSON documents (book_id, doc) to a row for each value below the root: (book_id, keys, places, path, named, value, json).
+
+    keys are the object keys on the way, places the places in lists, path both in order as text, named whether a key came last. value is a text as it is and
+    anything else as JSON, json is JSON always; JSON nulls have neither. Documents that aren't JSON give no rows.
+    """
+    return _recursive(
+        docs.sparkSession,
+        f"""WITH RECURSIVE n(book_id, keys, places, path, named, value) MAX RECURSION LEVEL {DEEP} AS (
+        SELECT book_id, cast(array() as array<string>), cast(array() as array<int>), cast(array() as array<string>), false, try_parse_json(doc) FROM {{docs}}
+        UNION ALL SELECT n.book_id, if(e.key IS NULL, n.keys, array_append(n.keys, e.key)), if(e.key IS NULL, array_append(n.places, e.pos), n.places),
+        array_append(n.path, coalesce(e.key, cast(e.pos AS string))), e.key IS NOT NULL, e.value FROM n, LATERAL variant_explode(n.value) e)
+        SELECT book_id, keys, places, path, named, if(schema_of_variant(value) = 'STRING', try_variant_get(value, '$', 'string'), if(is_variant_null(value), null, to_json(value))) AS value,
+        if(is_variant_null(value), null, to_json(value)) AS json FROM n WHERE size(path) > 0""",
+        docs=docs,
+    )
+
+
+def general_query(nodes: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """flatten_documents rows and questions (by, keys, want: JSON or null) to (book_id, by, path, value), a row for each that is met.
+
+    A list on the way, at any depth and in lists too, is met by any of its items; the first in the document's order counts. Without
+    want that is the first that isn't null. A value right behind the last key is taken whole, a list too.
+    """
+    own = nodes.where("named").select("book_id", "keys", "places", "path", "value", "json")
+    met = own.join(F.broadcast(asked), "keys").where("json IS NOT NULL AND (want IS NULL OR want = json)")
+    first = F.min(F.struct("places", "path", "value"))
+    return met.groupBy("book_id", *by).agg(first.alias("x")).select("book_id", *by, "x.path", "x.value")
+
+
+def path_rules(spark: SparkSession, rules: dict) -> DataFrame:
+    """(tag, rule_no, tests array<struct<keys, want>>, data array<string>, processing) of rules as in RULES, with paths of any length."""
+    rows = [
+        (tag, no, [(k.split("."), json.dumps(v, ensure_ascii=False, separators=(",", ":"))) for k, v in rule.get("validate", {}).items()], next(iter(rule["data"])).split("."), next(iter(rule["data"].values())))
+        for names, own in rules.items() for no, rule in enumerate(own) if "data" in rule for tag in names.split(",")
+    ]
+    return spark.createDataFrame(rows, "tag string, rule_no int, tests array<struct<keys: array<string>, want: string>>, data array<string>, processing string")
+
+
+def document_tags(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """JSON documents (book_id, doc) and path_rules to (book_id, tag, value): a row for each tag with a rule that holds.
+
+    All tests of a rule must be met; its data is at the exact path that the last test met, changed by the data path's `pop`s, or
+    at the first place where the data path leads if there is no test. The last rule that holds gives the value, null or not;
+    one whose processing is unknown gives none unless its data is null.
+    """
+    nodes = flatten_documents(docs)
+    tests = rules.select("tag", "rule_no", F.size("tests").alias("all"), F.posexplode("tests").alias("test_no", "test")).select("tag", "rule_no", "all", "test_no", "test.keys", "test.want")
+    met = general_query(nodes, tests, ["tag", "rule_no", "test_no", "all"])
+    passed = met.groupBy("book_id", "tag", "rule_no").agg(F.count("*").alias("met"), F.max("all").alias("all"), F.max_by("path", "test_no").alias("at")).where("met = all")
+    data = rules.select("tag", "rule_no", "data", "processing")
+    exact = passed.join(F.broadcast(data), ["tag", "rule_no"]).withColumn("path", relative_path(F.col("at"), F.col("data"))).select("book_id", "tag", "rule_no", "processing", "path")
+    exact = exact.join(nodes.select("book_id", "path", "value"), ["book_id", "path"], "left").select("book_id", "tag", "rule_no", "processing", "value")
+    free = rules.where("size(tests) = 0").select("tag", "rule_no", "processing", F.col("data").alias("keys"), F.lit(None).cast("string").alias("want"))
+    tried = docs.select("book_id").distinct().crossJoin(F.broadcast(free.drop("keys", "want")))  # rules are a handful, each tried once for a book
+    plain = tried.join(general_query(nodes, free, ["tag", "rule_no"]).drop("path"), ["book_id", "tag", "rule_no"], "left")
+    value = F.col("value")
+    done = F.when(F.col("processing") == "read_datetime", read_date(value)).otherwise(value)
+    last = exact.unionByName(plain).where(F.col("processing").isin("raw", "read_datetime") | value.isNull())
+    return last.groupBy("book_id", "tag").agg(F.max_by(F.struct(done.alias("value")), "rule_no").alias("x")).select("book_id", "tag", "x.value")
 
 
 def cover(manifest: DataFrame, metadata: DataFrame) -> DataFrame:

@@ -352,6 +352,39 @@ def tag_rules(spark: SparkSession, d: str) -> DataFrame:
     return book.album_tags(meta, book.rules_frame(spark))
 
 
+NESTED_RULES = {
+    "SPEAKER,FIRST": [{"validate": {"conv.turns.who.role": "assistant"}, "data": {"pop.pop.body.text": "raw"}}],
+    "OPENING": [{"data": {"conv.turns.body.text": "raw"}}, {"validate": {"conv.turns.who.role": "system"}, "data": {"pop.n": "raw"}}],
+    "BOTH": [{"validate": {"conv.turns.who.role": "user", "conv.turns.who.n": 2}, "data": {"pop.role": "raw"}}],
+    "TOP": [{"validate": {"conv.turns.who.role": "user"}, "data": {"pop.pop.pop.pop.pop.pop.kind": "raw"}}],
+    "NONE": [{"data": {"conv.turns.body.missing": "raw"}}],
+    "DAY": [{"data": {"conv.day": "read_datetime"}}],
+}
+
+
+@query("""with t as (select conv_id, turn, role, text, {'l': turn % 2, 't': turn} as o from conversations),
+a as (select conv_id, arg_min(text, o) filter (where role = 'assistant') as speaker, arg_min(text, o) filter (where text is not null) as opening, arg_min(turn, o) filter (where role = 'system') as sys, bool_or(role = 'system') as has_sys,
+  bool_or(role = 'user') as has_user, bool_or(role = 'assistant') as has_assistant, arg_min(role, o) filter (where turn = 2) as second, bool_or(turn = 2) as has_second from t group by 1)
+select conv_id, tag, case when tag in ('SPEAKER', 'FIRST', 'OPENING') then md5(value) else value end as value from (
+select conv_id, unnest(['SPEAKER', 'FIRST']) as tag, speaker as value from a where has_assistant union all
+select conv_id, 'OPENING', case when has_sys then sys::varchar else opening end from a union all
+select conv_id, 'BOTH', second from a where has_user and has_second union all
+select conv_id, 'TOP', 'talk' from a where has_user union all
+select conv_id, 'NONE', null from a union all
+select conv_id, 'DAY', '2012-01-0' || (conv_id % 8 + 1)::varchar from a)""")
+def nested_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules with paths of several levels, through lists of lists, over a JSON document for each conversation."""
+    turn = F.struct(F.struct("role", F.col("turn").alias("n")).alias("who"), F.struct("text").alias("body"))
+    own = lambda odd: F.transform(F.filter(F.col("turns"), lambda t: t["n"] % 2 == odd), lambda t: t["x"])
+    lists = F.array(own(0), own(1))
+    day = F.concat(F.lit("2012-1-"), (F.col("conv_id") % 8 + 1).cast("string"), F.lit("T01:02:03+00:00"))
+    talks = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("turn").alias("n"), turn.alias("x")))).alias("turns"))
+    doc = F.to_json(F.struct(F.struct(lists.alias("turns"), day.alias("day")).alias("conv"), F.lit("talk").alias("kind")))
+    out = book.document_tags(talks.select(F.col("conv_id").alias("book_id"), doc.alias("doc")), book.path_rules(spark, NESTED_RULES))
+    value = F.when(F.col("tag").isin("SPEAKER", "FIRST", "OPENING"), F.md5(F.col("value").cast("binary"))).otherwise(F.col("value"))
+    return out.select(F.col("book_id").alias("conv_id"), "tag", value.alias("value"))
+
+
 @query("select event_id, props->>'$.k' as k, null as missing from events")
 def json_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", book.path_value(F.col("props"), ["k"]).alias("k"), book.path_value(F.col("props"), ["dc:x", 0]).alias("missing"))
