@@ -159,14 +159,76 @@ def splice_points(frames: DataFrame, targets: DataFrame, track: str, loud: float
     return out.select(track, "line", "t", "end_t", "start_splice", "start_half", "end_splice", "end_half")
 
 
-def trimmed_readings(frames: DataFrame, halves: DataFrame, track: str = "track", loud: float = LOUD) -> DataFrame:
+def trimmed_readings(frames: DataFrame, halves: DataFrame, track: str | list[str] = "track", loud: float = LOUD) -> DataFrame:
     """Readings (track, ms, dbfs) and halves (track, start_half, end_half) to what is done to the audio: cut_start and new_length.
 
     The silence before the first sound is cut to start_half (cut_start frames go; if negative, so many silent ones are put
     before); one after the last sound is kept and end_half more, cut or padded. A null end_half leaves the end as it is.
     """
+    key = [track] if isinstance(track, str) else track
     sounding = F.when(F.col("dbfs") >= loud, F.col("ms"))
-    seen = frames.groupBy(track).agg(F.min(sounding).alias("first"), F.max(sounding).alias("last"), (F.max("ms") + 1).alias("length"))
-    out = halves.join(seen, track).withColumn("cut_start", F.coalesce("first", "length") - 1 - F.col("start_half"))
+    seen = frames.groupBy(*key).agg(F.min(sounding).alias("first"), F.max(sounding).alias("last"), (F.max("ms") + 1).alias("length"))
+    out = halves.join(seen, key).withColumn("cut_start", F.coalesce("first", "length") - 1 - F.col("start_half"))
     end = F.coalesce(F.col("last") - F.col("cut_start") + 1, F.lit(0)) + 1 + F.col("end_half")
-    return out.select(track, "cut_start", F.coalesce(end, F.col("length") - F.col("cut_start")).alias("new_length"))
+    return out.select(*key, "cut_start", F.coalesce(end, F.col("length") - F.col("cut_start")).alias("new_length"))
+
+
+def pieces(cuts: DataFrame, lengths: DataFrame, track: str, order: str) -> DataFrame:
+    """The edited audio as pieces (track, src, lo, hi, new_start): frames lo to hi of a source stand from new_start on.
+
+    cuts (track, order, start_splice, end_splice, new_length) apply in order, each to what the ones before left, as places of the
+    original moved by what those have added: the frames up to the start, the cut's reading, the frames from the end on. Cuts may
+    overlap, run backward or reach beyond the audio; places before its begin count from its end. src is the cut's order, null for
+    the original (lengths: track, length). One array of cuts for a track; the frames aren't touched.
+    """
+    piece = "struct<src: bigint, lo: bigint, hi: bigint>"
+    size = lambda p: p["hi"] - p["lo"]
+    one = lambda src, lo, hi: F.struct(src.cast("long").alias("src"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+
+    def part(ps: Column, start: Column, end: Column) -> Column:
+        def step(a: Column, p: Column) -> Column:
+            lo, hi = F.greatest(start - a["at"], F.lit(0)), F.least(end - a["at"], size(p))
+            more = F.when(hi > lo, F.array(one(p["src"], p["lo"] + lo, p["lo"] + hi))).otherwise(F.array().cast(f"array<{piece}>"))
+            return F.struct((a["at"] + size(p)).alias("at"), F.concat(a["out"], more).alias("out"))
+
+        return F.aggregate(ps, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{piece}>").alias("out")), step)["out"]
+
+    def cut(a: Column, c: Column) -> Column:
+        total = F.aggregate(a["ps"], F.lit(0).cast("long"), lambda n, p: n + size(p))
+        place = lambda x: F.when(x < 0, F.greatest(total + x, F.lit(0))).otherwise(F.least(x, total))
+        start, end = c["start_splice"] + a["delta"], c["end_splice"] + a["delta"]
+        tail = F.when(end.isNull(), F.array().cast(f"array<{piece}>")).otherwise(part(a["ps"], place(end), total))
+        ps = F.concat(part(a["ps"], F.lit(0).cast("long"), place(start)), F.array(one(c["o"], F.lit(0), c["new_length"])), tail)
+        return F.struct(ps.alias("ps"), (a["delta"] + F.coalesce(c["new_length"] - (end - start), F.lit(0))).cast("long").alias("delta"))
+
+    own = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), *[F.col(c).cast("long").alias(c) for c in ("start_splice", "end_splice", "new_length")])))
+    rows = lengths.join(cuts.groupBy(track).agg(own.alias("cuts")), track, "left")
+    start = F.struct(F.array(one(F.lit(None), F.lit(0), F.col("length"))).alias("ps"), F.lit(0).cast("long").alias("delta"))
+    ps = F.when(F.col("cuts").isNull(), start["ps"]).otherwise(F.aggregate("cuts", start, cut)["ps"])
+    placed = F.aggregate(ps, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<p: {piece}, at: bigint>>").alias("out")), lambda a, p: F.struct((a["at"] + size(p)).alias("at"), F.concat(a["out"], F.array(F.struct(p.alias("p"), a["at"].alias("at")))).alias("out")))
+    return rows.select(track, F.explode(placed["out"]).alias("x")).select(track, "x.p.src", "x.p.lo", "x.p.hi", F.col("x.at").alias("new_start"))
+
+
+def edited_frames(frames: DataFrame, cuts: DataFrame, readings: DataFrame, track: str, order: str, loud: float = LOUD, span: int = 1024) -> DataFrame:
+    """Frames (track, ms, dbfs) after the cuts (track, order, start_splice, end_splice, start_half, end_half) have put in the readings
+    (track, order, ms, dbfs): the new table (track, ms, dbfs), silence (minus infinity) where a reading is padded.
+
+    The frames meet the pieces by blocks of `span` milliseconds. A cut without a reading puts in nothing.
+    """
+    trims = trimmed_readings(readings, cuts.select(track, order, "start_half", "end_half"), [track, order], loud)
+    lengths = frames.groupBy(track).agg((F.max("ms") + 1).alias("length"))
+    full = cuts.join(trims, [track, order], "left").withColumn("new_length", F.greatest(F.coalesce("new_length", F.lit(0)), F.lit(0)))
+    made = pieces(full, lengths, track, order).where("hi > lo")
+    blocks = F.sequence(F.floor(F.col("lo") / span), F.floor((F.col("hi") - 1) / span))
+    made = made.select(F.col(track).alias("to_track"), F.col("src").alias("to_src"), "lo", "hi", "new_start", F.explode(blocks).alias("to_block"))
+    put = readings.join(trims, [track, order]).select(track, F.col(order).cast("long").alias("src"), (F.col("ms") - F.col("cut_start")).cast("long").alias("ms"), "dbfs")
+    seen = readings.groupBy(track, order).agg((F.max("ms") + 1).alias("length")).join(trims, [track, order])
+    behind = F.col("length") - F.col("cut_start")
+    runs = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    gaps = F.concat(runs(F.lit(0).cast("long"), -F.col("cut_start").cast("long")), runs(F.greatest(behind, F.lit(0)).cast("long"), F.col("new_length").cast("long")))
+    silent = seen.select(track, F.col(order).cast("long").alias("src"), F.explode(gaps).alias("ms"), F.lit(float("-inf")).alias("dbfs"))
+    source = frames.select(track, F.lit(None).cast("long").alias("src"), F.col("ms").cast("long").alias("ms"), "dbfs").unionByName(put).unionByName(silent)
+    source = source.withColumn("block", F.floor(F.col("ms") / span))
+    same = (F.col(track) == F.col("to_track")) & F.col("src").eqNullSafe(F.col("to_src")) & (F.col("block") == F.col("to_block"))
+    out = source.join(made, same & (F.col("ms") >= F.col("lo")) & (F.col("ms") < F.col("hi")))
+    return out.select(track, (F.col("new_start") + F.col("ms") - F.col("lo")).alias("ms"), "dbfs")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.scratch import stored
-from ..operators import book, legacy, lyrics, ssml, tracks, words
+from ..operators import book, legacy, lyrics, sequence, ssml, tracks, words
 from ..sources import epub
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -253,15 +253,41 @@ c as (select *, coalesce((select max(ms) from f where f.track = b.track and ms <
 g as (select *, coalesce((select min(ms) from f where f.track = c.track and ms >= c.ea and dbfs < -60), len) as eb from c)
 select track, cast(t as bigint) as t, cast((after + before) // 2 as bigint) as start_splice, cast((after - before) // 2 as bigint) as start_half, cast(case when e is not null then (ea + eb) // 2 end as bigint) as end_splice, cast(case when e is not null then (eb - ea) // 2 end as bigint) as end_half from g""")
 def silence_splice(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    events = table(spark, d, "events").withColumn("track", F.col("user_id") % 10)
-    frames = events.select("track", (F.row_number().over(Window.partitionBy("track").orderBy("event_id")) - 1).alias("ms"), (-F.col("value") / 4).alias("dbfs"))
+    frames = _frames(spark, d)
     targets = frames.where("ms % 20 = 0").select("track", F.col("ms").alias("line"), F.col("ms").alias("t"), F.when(F.col("ms") % 3 != 0, F.col("ms") + 15).alias("end_t"))
     out = lyrics.splice_points(frames, targets, "track")
     return out.select("track", *[F.col(c).cast("long").alias(c) for c in ("t", "start_splice", "start_half", "end_splice", "end_half")])
 
 
+def _frames(spark: SparkSession, d: str) -> DataFrame:
+    """Events of ten tracks as frames, a millisecond each."""
+    events = table(spark, d, "events").select((F.col("user_id") % 10).alias("track"), "event_id", (-F.col("value") / 4).alias("dbfs"))
+    return sequence.ranked(events, ["track"], ["event_id"], "ms").select("track", "ms", "dbfs")
+
+
+@query("""with f as (select user_id % 10 as track, row_number() over (partition by user_id % 10 order by event_id) - 1 as ms, -value / 4 as dbfs from events),
+n as (select track, max(ms) + 1 as len, max(ms) // 60 as last from f group by 1),
+c as (select track, k, 60 * k + 5 as s, case when k < last then 60 * k + 10 + k % 15 end as e, k % 3 as sh, case when k < last then k % 5 end as eh from (select track, last, unnest(range(0, last + 1)) as k from n)),
+r as (select c.track, c.k, f.ms - (60 * c.k + 30) as ms, f.dbfs from c join f on f.track = c.track and f.ms >= 60 * c.k + 30 and f.ms < 60 * c.k + 50),
+b as (select track, k, max(ms) + 1 as len, min(case when dbfs >= -60 then ms end) as lo, max(case when dbfs >= -60 then ms end) as hi from r group by 1, 2),
+t as (select c.*, b.len, coalesce(b.lo, b.len) - 1 - sh as cs, b.hi from c left join b using (track, k)),
+u as (select *, greatest(coalesce(coalesce(hi - cs + 1, 0) + 1 + eh, len - cs, 0), 0) as nl from t),
+v as (select *, coalesce(sum(nl - (e - s)) over (partition by track order by k rows between unbounded preceding and 1 preceding), 0) as delta, lag(e) over (partition by track order by k) as prev from u),
+o as (select f.track, f.ms + v.delta as ms, f.dbfs from f join v on v.track = f.track and f.ms >= coalesce(v.prev, 0) and f.ms < v.s),
+p as (select v.track, v.s + v.delta + i as ms, r.dbfs from (select *, unnest(range(0, nl)) as i from v) v left join r on r.track = v.track and r.k = v.k and r.ms = v.i + v.cs)
+select track, cast(ms as bigint) as ms, round(dbfs, 6) as dbfs from o union all select track, cast(ms as bigint), round(coalesce(dbfs, -999), 6) from p""")
+def splice_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """Frames with a cut each 60 ms, whose reading is a passage of the track's own; the last cut runs to the end."""
+    frames = stored(_frames(spark, d), "frames")
+    ends = frames.groupBy("track").agg(F.floor(F.max("ms") / 60).alias("last"))
+    k, more = F.col("k"), F.col("k") < F.col("last")
+    cuts = ends.select("track", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("k"))
+    cuts = cuts.select("track", "k", (60 * k + 5).alias("start_splice"), F.when(more, 60 * k + 10 + k % 15).alias("end_splice"), (k % 3).alias("start_half"), F.when(more, k % 5).alias("end_half"))
+    readings = frames.where("ms % 60 >= 30 and ms % 60 < 50").select("track", F.floor(F.col("ms") / 60).alias("k"), (F.col("ms") % 60 - 30).alias("ms"), "dbfs")
+    out = lyrics.edited_frames(frames, cuts, readings, "track", "k")
+    return out.select("track", "ms", F.round(F.when(F.col("dbfs") == float("-inf"), -999.0).otherwise(F.col("dbfs")), 6).alias("dbfs"))
+
+
 @query("""with n as (select 'r' || r_regionkey::varchar as node, null as parent, r_regionkey as sib, r_name as label, r_name || '.xhtml' as src from region union all select 'n' || n_nationkey::varchar, 'r' || n_regionkey::varchar, n_nationkey, n_name, n_name || '.xhtml#x#' || n_nationkey::varchar from nation),
 t as (select label, '' as parents, src, [sib] as path from n where parent is null union all select n.label, p.label, n.src, [p.sib, n.sib] from n join n p on n.parent = p.node)
 select row_number() over (order by path) - 1 as toc_pos, label, parents, string_split(src, '#')[1] as src_path, case when contains(src, '#') then src[strpos(src, '#') + 1:] end as src_id from t""")

@@ -1,5 +1,6 @@
 """Ordered computations against plain loops, on blocks of a few rows."""
 
+import math
 import random
 import time
 
@@ -194,3 +195,46 @@ def test_silence_in_an_hour_of_audio(spark):
     got = {r.line: r for r in lyrics.splice_points(frames, targets, "track").collect()}
     assert time.time() - began < 60 and len(got) == 2000
     assert (got[0].start_splice, got[0].start_half) == (700, 0) and (got[1].start_splice, got[1].start_half) == ((2001 + 700) // 2, (2001 - 700) // 2)
+
+
+def spliced(levels, cuts, readings):
+    """The edited frames by cutting lists, one cut after the other."""
+    out, delta = list(levels), 0
+    for k, (start, end, start_half, end_half) in enumerate(cuts):
+        reading = list(readings[k])
+        if reading:
+            first = next((i for i, x in enumerate(reading) if x >= lyrics.LOUD), len(reading)) - 1 - start_half
+            reading = [-math.inf] * -first + reading if first < 0 else reading[first:]
+            if end_half is not None:
+                last = next((i + 1 for i in range(len(reading) - 1, -1, -1) if reading[i] >= lyrics.LOUD), 0) + 1 + end_half
+                reading = (reading + [-math.inf] * last)[:last]
+        place = lambda x, n=len(out): max(n + x, 0) if x < 0 else min(x, n)
+        if end is None:
+            out = out[: place(start + delta)] + reading
+        else:
+            out = out[: place(start + delta)] + reading + out[place(end + delta) :]
+            delta += len(reading) - (end - start)
+    return out
+
+
+def test_edited_frames_of_overlapping_cuts(spark):
+    rng = random.Random(12)
+    frames, cuts, readings, want = [], [], [], []
+    for t in range(60):
+        level = lambda n: [rng.choice([-80.0, -70.0, -20.0, -5.0]) for _ in range(n)]
+        own = level(rng.randrange(1, 150))
+        marks, said = [], []
+        for k in range(rng.randrange(0, 6)):
+            start = rng.randrange(0, 170)
+            end = rng.choice([None, start, start + rng.randrange(40), max(0, start - rng.randrange(20))])
+            marks.append((start, end, rng.randrange(4), None if end is None else rng.choice([None, 0, 3, 9])))
+            said.append(level(rng.choice([0, 1, 5, 30])))
+        frames += [(t, k, x) for k, x in enumerate(own)]
+        cuts += [(t, k, *m) for k, m in enumerate(marks)]
+        readings += [(t, k, i, x) for k, xs in enumerate(said) for i, x in enumerate(xs)]
+        want += [(t, k, x) for k, x in enumerate(spliced(own, marks, said))]
+    got = lyrics.edited_frames(
+        spark.createDataFrame(frames, "track int, ms int, dbfs double").repartition(3), spark.createDataFrame(cuts, "track int, o int, start_splice int, end_splice int, start_half int, end_half int"),
+        spark.createDataFrame(readings, "track int, o int, ms int, dbfs double"), "track", "o", span=16,
+    )
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
