@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import xml.sax
 import zipfile
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -19,7 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-BATCH_ROWS = 2000
+from ..functions.scratch import stored
+
+#: Rows and bytes of a batch, and bytes of an archive's member, 256 MB.
+BATCH_ROWS, BATCH_BYTES, MEMBER_BYTES = 2000, 8 << 20, 256 << 20
+#: What archives and markup that aren't as they should be raise.
+FAULTS = (zipfile.BadZipFile, zlib.error, xml.sax.SAXException, ElementTree.ParseError, NotImplementedError, RuntimeError, LookupError, ValueError, EOFError, OSError, struct.error)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -27,53 +36,103 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("book_id"), "content")
 
 
-def flat_map(df: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str) -> DataFrame:
-    """Rows of df, each to any number of rows of the schema, in batches of bounded rows."""
+def batched(rows: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches of bounded rows and bytes (of their binary and text values)."""
+    held, weight = [], 0
+    for row in rows:
+        held.append({n: row.get(n) for n in schema.names})
+        weight += sum(len(v) for v in row.values() if isinstance(v, (bytes, str)))
+        if len(held) >= BATCH_ROWS or weight >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, weight = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def flat_map(df: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str, fault: Callable[[dict], dict] | None = None) -> DataFrame:
+    """Rows of df, each to any number of rows of the schema, in batches of bounded rows and bytes.
+
+    fault: a row that can't be read becomes the row that this makes of it, with the `error`, and no other; without it the job fails.
+    """
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for k in range(batch.num_rows):
-                for row in make(batch.slice(k, 1).to_pylist()[0]):
-                    rows.append({n: row.get(n) for n in arrow.names})
-                    if len(rows) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, arrow)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, arrow)
-
-    return df.mapInArrow(run, schema)
+                row = batch.slice(k, 1).to_pylist()[0]
+                if fault is None:
+                    yield from make(row)
+                    continue
+                try:
+                    made = list(make(row))
+                except FAULTS as error:
+                    made = [fault(row) | {"error": f"{type(error).__name__}: {error}"}]
+                yield from made
+
+    return df.mapInArrow(lambda batches: batched(rows(batches), arrow), schema)
+
+
+def _inflated(box: zipfile.ZipFile, info: zipfile.ZipInfo, most: int) -> bytes:
+    """A member's bytes, no more than `most` of them in memory."""
+    if info.flag_bits & 1:
+        raise ValueError("encrypted")
+    if info.file_size > most:
+        raise ValueError(f"{info.file_size} bytes, over the limit of {most}")
+    with box.open(info) as member:
+        data = member.read(most + 1)
+    if len(data) > most:
+        raise ValueError(f"over the limit of {most} bytes")
+    return data
+
+
+def _open(file: BinaryIO, strict: bool) -> tuple[zipfile.ZipFile | None, str | None]:
+    """The archive by its central directory, and why it isn't an EPUB."""
+    try:
+        box = zipfile.ZipFile(file)
+    except (zipfile.BadZipFile, ValueError):  # the second: a file too short for the end record, by Arrow's files
+        return None, "not a zip archive"
+    try:
+        kind = _inflated(box, box.getinfo("mimetype"), 1 << 10).decode("utf-8", "replace")
+    except KeyError:
+        return None, "no mimetype"
+    except FAULTS as error:
+        return None, f"mimetype: {error}"
+    if not (kind == "application/epub+zip" if strict else all(x in kind for x in ("application", "epub", "zip"))):
+        return None, f"mimetype is {kind}"
+    return box, None if "META-INF/container.xml" in box.NameToInfo else "no META-INF/container.xml"
 
 
 def archive_error(content: bytes, strict: bool = False) -> str | None:
     """Why an archive isn't an EPUB, None if it is. strict: the media type must be exact and the container there."""
-    try:
-        box = zipfile.ZipFile(io.BytesIO(content))
-        kind = box.read("mimetype").decode("utf-8", "replace")
-    except zipfile.BadZipFile:
-        return "not a zip archive"
-    except KeyError:
-        return "no mimetype"
-    if not (kind == "application/epub+zip" if strict else all(x in kind for x in ("application", "epub", "zip"))):
-        return f"mimetype is {kind}"
-    return None if "META-INF/container.xml" in box.namelist() else "no META-INF/container.xml"
+    return _open(io.BytesIO(content), strict)[1]
 
 
-def members(archives: DataFrame, pattern: str | None = None, strict: bool = False) -> DataFrame:
-    """(book_id, path, bytes, error): an archive's files whose path matches; an invalid archive gives one row with its error."""
+def archive_rows(book_id: str, file: BinaryIO, wanted: Callable[[str], bool] = lambda path: True, strict: bool = False, most: int = MEMBER_BYTES) -> Iterator[dict]:
+    """(book_id, path, bytes, error) of an archive's wanted members, inflated one by one.
 
-    def make(row: dict) -> Iterator[dict]:
-        error = archive_error(row["content"], strict)
-        if error:
-            yield {"book_id": row["book_id"], "error": error}
-            return
-        box = zipfile.ZipFile(io.BytesIO(row["content"]))
-        for name in box.namelist():
-            if not name.endswith("/") and (pattern is None or re.search(pattern, name)):
-                yield {"book_id": row["book_id"], "path": name, "bytes": box.read(name)}
+    An invalid archive gives one row with its error and no path; a member that can't be read (encrypted, corrupt, over `most`
+    bytes) one with its path and error.
+    """
+    box, error = _open(file, strict)
+    if error:
+        yield {"book_id": book_id, "error": error}
+        return
+    for info in box.infolist():
+        if info.is_dir() or not wanted(info.filename):
+            continue
+        try:
+            yield {"book_id": book_id, "path": info.filename, "bytes": _inflated(box, info, most)}
+        except FAULTS as fault:
+            yield {"book_id": book_id, "path": info.filename, "error": f"{type(fault).__name__}: {fault}"}
 
-    return flat_map(archives, make, "book_id string, path string, bytes binary, error string")
+
+MEMBERS = "book_id string, path string, bytes binary, error string"
+
+
+def members(archives: DataFrame, pattern: str | None = None, strict: bool = False, most: int = MEMBER_BYTES) -> DataFrame:
+    """archive_rows of the members whose path matches. spark.read.format("epub") gives the same without whole archives in memory."""
+    wanted = (lambda path: True) if pattern is None else re.compile(pattern).search
+    return flat_map(archives, lambda row: archive_rows(row["book_id"], io.BytesIO(row["content"]), wanted, strict, most), MEMBERS)
 
 
 class _Events(xml.sax.ContentHandler):
@@ -102,15 +161,26 @@ def events(data: bytes) -> list[tuple]:
     return handler.events
 
 
-def rootfiles(files: DataFrame) -> DataFrame:
-    """(book_id, seq, attrs) of the container's rootfiles."""
+def _fault(row: dict) -> dict:
+    return {"book_id": row["book_id"], "path": row.get("path") or row.get("href")}
+
+
+def _parsed(df: DataFrame, make: Callable[[dict], Iterator[dict]], schema: str, errors: bool) -> DataFrame:
+    """flat_map; with errors, the schema has `error` at its end, and `path` if it has none."""
+    if not errors:
+        return flat_map(df, make, schema)
+    return flat_map(df, make, schema + ("" if ", path string" in schema else ", path string") + ", error string", _fault)
+
+
+def rootfiles(files: DataFrame, errors: bool = False) -> DataFrame:
+    """(book_id, seq, attrs) of the container's rootfiles. With errors, here and below, what can't be parsed is a row with path and error."""
 
     def make(row: dict) -> Iterator[dict]:
         found = [a for kind, name, a in events(row["bytes"]) if kind == "start" and name == "rootfile"]
         for seq, attrs in enumerate(found):
             yield {"book_id": row["book_id"], "seq": seq, "attrs": list(attrs.items())}
 
-    return flat_map(files.where("path = 'META-INF/container.xml'"), make, "book_id string, seq int, attrs map<string, string>")
+    return _parsed(files.where("path = 'META-INF/container.xml' and bytes is not null"), make, "book_id string, seq int, attrs map<string, string>", errors)
 
 
 SECTIONS = ("metadata", "manifest", "spine", "guide")
@@ -143,18 +213,23 @@ def package_rows(data: bytes, faithful: bool = True) -> Iterator[dict]:
         yield pending
 
 
-def packages(files: DataFrame, roots: DataFrame, faithful: bool = True) -> DataFrame:
+def packages(files: DataFrame, roots: DataFrame, faithful: bool = True, errors: bool = False) -> DataFrame:
     """(book_id, root_seq, folder, section, seq, name, attrs, text) of the packages that the rootfiles name."""
     wanted = roots.select("book_id", F.col("seq").alias("root_seq"), F.element_at("attrs", F.lit("full-path")).alias("path"))
-    rows = files.join(wanted, ["book_id", "path"])
+    rows = files.join(wanted.where("root_seq is not null"), ["book_id", "path"]).where("bytes is not null")
 
     def make(row: dict) -> Iterator[dict]:
         for x in package_rows(row["bytes"], faithful):
             yield x | {"book_id": row["book_id"], "root_seq": row["root_seq"], "folder": row["path"].rpartition("/")[0]}
 
     schema = "book_id string, root_seq int, folder string, section string, seq int, name string, attrs map<string, string>, text string"
-    every = flat_map(rows, make, schema)
-    # Of several packages a later one replaces whole sections, if it has them.
+    if errors:
+        return _parsed(rows, make, schema, True)
+    return merged_packages(flat_map(rows, make, schema))
+
+
+def merged_packages(every: DataFrame) -> DataFrame:
+    """Of several packages of a book a later one replaces whole sections, if it has them."""
     last = every.groupBy("book_id", "section").agg(F.max("root_seq").alias("root_seq"))
     return every.join(last, ["book_id", "section", "root_seq"])
 
@@ -217,7 +292,7 @@ def contents_rows(data: bytes, faithful: bool = True) -> Iterator[dict]:
     yield from made
 
 
-def contents(files: DataFrame, where: DataFrame, faithful: bool = True) -> DataFrame:
+def contents(files: DataFrame, where: DataFrame, faithful: bool = True, errors: bool = False) -> DataFrame:
     """(book_id, node, parent, sibling, label, src): sources stand under the contents file's folder, if it has one."""
 
     def make(row: dict) -> Iterator[dict]:
@@ -226,7 +301,7 @@ def contents(files: DataFrame, where: DataFrame, faithful: bool = True) -> DataF
             src = x["src"]
             yield x | {"book_id": row["book_id"], "src": f"{folder}/{src}" if folder and src and not src.startswith("/") else src}
 
-    return flat_map(files.join(where, ["book_id", "path"]), make, "book_id string, node int, parent int, sibling int, label string, src string")
+    return _parsed(files.join(where, ["book_id", "path"]).where("bytes is not null"), make, "book_id string, node int, parent int, sibling int, label string, src string", errors)
 
 
 def body_records(data: bytes, faithful: bool = True) -> Iterator[dict]:
@@ -288,7 +363,7 @@ def body_records(data: bytes, faithful: bool = True) -> Iterator[dict]:
     yield from made
 
 
-def bodies(pages: DataFrame, faithful: bool = True) -> DataFrame:
+def bodies(pages: DataFrame, faithful: bool = True, errors: bool = False) -> DataFrame:
     """Spine pages (book_id, spine_pos, href, bytes) to records with rec_pos, their order in the book, and path on every row."""
 
     def make(row: dict) -> Iterator[dict]:
@@ -296,10 +371,68 @@ def bodies(pages: DataFrame, faithful: bool = True) -> DataFrame:
             yield x | {"book_id": row["book_id"], "spine_pos": row["spine_pos"], "path": row["href"]}
 
     schema = "book_id string, spine_pos int, rec_no int, path string, tag string, parents array<string>, ids array<string>, attrs map<string, string>, content string"
-    rows = flat_map(pages.select("book_id", "spine_pos", "href", "bytes"), make, schema)
+    rows = _parsed(pages.select("book_id", "spine_pos", "href", "bytes"), make, schema, errors)
     return rows.withColumn("rec_pos", F.col("spine_pos").cast("long") * F.lit(1 << 32) + F.col("rec_no"))
 
 
+@dataclass
+class Shelf:
+    """The tables of a shelf's sound books, and (book_id, stage, path, error) of what is wrong with the others."""
+
+    metadata: DataFrame
+    manifest: DataFrame
+    spine: DataFrame
+    contents: DataFrame
+    records: DataFrame
+    errors: DataFrame
+
+
+def open_shelf(files: DataFrame, faithful: bool = True) -> Shelf:
+    """Members (book_id, path, bytes, error) of any number of archives to the tables of their books.
+
+    A book with an invalid archive, a member that is needed and can't be read, markup that can't be parsed, a page that is missing or
+    no contents is in none of the tables; each reason is a row of errors. Members and the tables of each stage are stored once.
+    """
+    files = stored(files, "members")
+    bad = files.where("path is null").select("book_id", F.lit("archive").alias("stage"), "path", "error")
+    broken = files.where("path is not null and error is not null").select("book_id", "path", "error")
+    sound = files.where("bytes is not null")
+    tables, faults = {}, [bad]
+
+    def stage(name: str, rows: DataFrame) -> DataFrame:
+        rows = stored(rows, name)
+        faults.append(rows.where("error is not null").select("book_id", F.lit(name).alias("stage"), "path", "error"))
+        return rows.where("error is null").drop("error")
+
+    def needed(name: str, wanted: DataFrame) -> DataFrame:
+        """The wanted (book_id, path, ...) that are there; the others are errors."""
+        found = wanted.join(sound.select("book_id", "path", F.lit(True).alias("there")), ["book_id", "path"], "left").join(broken.withColumnRenamed("error", "why"), ["book_id", "path"], "left")
+        faults.append(found.where("there is null").select("book_id", F.lit(name).alias("stage"), "path", F.coalesce("why", F.lit("no such file in the archive")).alias("error")))
+        return found.where("there").drop("there", "why")
+
+    books = files.where("path is not null").select("book_id").distinct()
+    needed("container", books.withColumn("path", F.lit("META-INF/container.xml")))
+    roots = stage("container", rootfiles(sound, errors=True)).drop("path")
+    named = roots.select("book_id", F.element_at("attrs", F.lit("full-path")).alias("path")).where("path is not null").distinct()
+    needed("package", named)
+    package = merged_packages(stage("package", packages(sound, roots, faithful, errors=True)).drop("path"))
+    tables["metadata"], tables["manifest"], tables["spine"] = metadata(package), stored(manifest(package), "manifest"), spine(package)
+    where = stored(contents_path(package, tables["manifest"]), "toc")
+    lacking = package.select("book_id").distinct().join(where, "book_id", "left_anti")
+    faults.append(lacking.select("book_id", F.lit("contents").alias("stage"), F.lit(None).cast("string").alias("path"), F.lit("the spine names no contents").alias("error")))
+    needed("contents", where)
+    tables["contents"] = stage("contents", contents(sound, where, faithful, errors=True)).drop("path")
+    items = tables["manifest"].select("book_id", F.col("item_id").alias("idref"), F.col("href").alias("path"))
+    pages = needed("pages", tables["spine"].join(items, ["book_id", "idref"]).where("path is not null"))
+    pages = pages.join(sound.select("book_id", "path", "bytes"), ["book_id", "path"]).withColumnRenamed("path", "href")
+    tables["records"] = stage("pages", bodies(pages, faithful, errors=True))
+    errors = faults[0]
+    for more in faults[1:]:
+        errors = errors.unionByName(more)
+    errors = stored(errors.distinct(), "errors")
+    return Shelf(**{k: t.join(errors.select("book_id").distinct(), "book_id", "left_anti") for k, t in tables.items()}, errors=errors)
+
+
 def page_tokens(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """Lenient tokens of markup that no XML parser takes: (key, tok_no, tag, content), in the JVM.
 
