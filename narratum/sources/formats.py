@@ -150,8 +150,10 @@ class FilesWriter(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         system, base = opened(self.base)
-        if system.get_file_info(f"{base}/{self.staging}").type != fs.FileType.NotFound:
+        try:
             system.delete_dir(f"{base}/{self.staging}")
+        except OSError:  # there is none, or a task still writes to it
+            return
 
 
 class NamedFiles(DataSource):
