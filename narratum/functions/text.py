@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -15,24 +16,43 @@ SPLITS = ((". ", "."), ("! ", "!"), ("? ", "?"), ('." ', '."'), ('!" ', '!"'), (
 
 
 @cache
-def _accents() -> tuple[str, str]:
-    """Precomposed characters of the basic plane and their bases, from the canonical decompositions."""
-    pairs = []
-    for code in range(0xC0, 0x10000):
-        if not 0xD800 <= code < 0xE000:
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """Precomposed characters and their bases, from the canonical decompositions; apart those with several bases, Hangul left out."""
+    pairs, several = [], {}
+    for code in range(0xC0, 0x110000):
+        if not 0xD800 <= code < 0xE000 and not 0xAC00 <= code < 0xD7A4:
             base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn")
             if len(base) == 1 and base != chr(code):
                 pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+            elif len(base) > 1:
+                several[chr(code)] = base
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs), several
+
+
+@cache
+def _hangul() -> tuple[str, list[str], str]:
+    """All Hangul syllables, each one's first and second letter, and the third, for which a space stands if there is none."""
+    syllables = [chr(code) for code in range(0xAC00, 0xD7A4)]
+    parts = [unicodedata.normalize("NFD", c) for c in syllables]
+    return "".join(syllables), ["".join(p[k] for p in parts) for k in (0, 1)], "".join(p[2] if len(p) > 2 else " " for p in parts)
 
 
 def strip_accents(text: Column) -> Column:
-    """Letters without their accents: decomposable characters become their base, combining marks go.
+    """Letters without their accents: decomposable characters become their bases, combining marks go.
 
-    Texts without any such character pass by the translation.
+    Texts without any such character pass by the translation, those without Hangul by its letters.
     """
-    plain = F.regexp_replace(F.translate(text, *_accents()), r"\p{Mn}", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
+    one, base, several = _accents()
+    plain = F.translate(text, one, base)
+    odd = plain
+    for c, bases in several.items():
+        odd = F.replace(odd, F.lit(c), F.lit(bases))
+    plain = F.when(plain.rlike(f"[{''.join(several)}]"), odd).otherwise(plain)
+    whole, letters, third = _hangul()
+    syllable = lambda c: F.concat(F.translate(c, whole, letters[0]), F.translate(c, whole, letters[1]), F.rtrim(F.translate(c, whole, third)))
+    spelt = F.array_join(F.transform(F.split(plain, "", -1), lambda c: F.when(c.between("\uac00", "\ud7a3"), syllable(c)).otherwise(c)), "")
+    plain = F.when(plain.rlike("[\uac00-\ud7a3]"), spelt).otherwise(plain)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(plain, r"\p{Mn}", "")).otherwise(text)
 
 
 def escape_markup(text: Column) -> Column:
@@ -123,6 +143,41 @@ def replace_word(text: Column, word: str, by: str) -> Column:
     return F.regexp_replace(text, rf"(?iu)\Q{word}\E", literal)
 
 
+def template(by: str) -> str:
+    """A replacement template as Java's regular expressions take it: \\\\ and letter escapes are characters, \\g<0> is the match.
+
+    There are no groups to refer to, so any other reference is an error, like an unknown letter after a backslash.
+    """
+    letters, out, at = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\"}, [], 0
+    quoted = lambda x: x.replace("\\", "\\\\").replace("$", "\\$")
+    while at < len(by):
+        c = by[at : at + 2]
+        octal = re.match(r"\\(0[0-7]{0,2}|[0-3][0-7]{2})", by[at:])
+        if by[at] != "\\":
+            out.append(quoted(by[at]))
+            at += 1
+        elif by[at:].startswith("\\g<0>"):
+            out.append("$0")
+            at += 5
+        elif octal:
+            out.append(quoted(chr(int(octal[1], 8))))
+            at += len(octal[0])
+        elif c[1:] in letters:
+            out.append(quoted(letters[c[1:]]))
+            at += 2
+        elif not c[1:] or c[1:].isascii() and c[1:].isalnum():
+            raise ValueError(f"bad escape {c} in a replacement")
+        else:
+            out.append(quoted(c))
+            at += 2
+    return "".join(out)
+
+
+def replace_by_template(text: Column, word: str, by: str) -> Column:
+    """Every occurrence of the literal word, in any case, replaced by a template (see `template`)."""
+    return F.regexp_replace(text, rf"(?iu)\Q{word}\E", template(by))
+
+
 def spoken_words(markup: Column) -> Column:
     """Words of speech markup that are letters only, in lower case; words that touch other characters are lost."""
     spaced = F.replace(F.replace(markup, F.lit("<"), F.lit(" <")), F.lit(">"), F.lit("> "))

@@ -50,12 +50,30 @@ def flatten_contents(toc: DataFrame) -> DataFrame:
     return out.select("book_id", "toc_pos", "label", "parent_labels", "src", target_path(F.col("src")).alias("src_path"), target_id(F.col("src")).alias("src_id"))
 
 
+def first_records(records: DataFrame, toc: DataFrame) -> DataFrame:
+    """(book_id, path, toc_pos, rec_pos): the first record of its file that each contents row could open, if there is one."""
+    ids = records.select("book_id", "path", "rec_pos", F.explode_outer("ids").alias("id")).groupBy("book_id", "path", "id").agg(F.min("rec_pos").alias("rec_pos"))
+    any_id = F.lit(None).cast("string")
+    ids = ids.where("id is not null").unionByName(ids.groupBy("book_id", "path").agg(F.min("rec_pos").alias("rec_pos")).withColumn("id", any_id)).withColumnsRenamed({"book_id": "b", "path": "p"})
+    rows = toc.where("src_path is not null").select("book_id", F.col("src_path").alias("path"), "toc_pos", "src_id")
+    return rows.join(ids, (F.col("book_id") == F.col("b")) & (F.col("path") == F.col("p")) & F.col("src_id").eqNullSafe(F.col("id"))).select("book_id", "path", "toc_pos", "rec_pos")
+
+
 def match_contents(records: DataFrame, toc: DataFrame) -> DataFrame:
     """(book_id, rec_pos, toc_pos): which record opens which contents row.
 
     Records of one file, in order, each take the first contents row of that file not yet taken whose fragment is among the
-    record's ids (or that has none). Files don't influence each other, so the fold is over one file of one book.
+    record's ids (or that has none). Where no two rows of a file could open the same record first, each opens its own; only files
+    with such a conflict are folded, one file of one book at a time.
     """
+    firsts = first_records(records, toc)
+    conflicts = firsts.groupBy("book_id", "path", "rec_pos").agg(F.count("*").alias("n")).where("n > 1").select("book_id", "path").distinct()
+    plain = firsts.join(conflicts, ["book_id", "path"], "left_anti").select("book_id", F.col("rec_pos").cast("long").alias("rec_pos"), F.col("toc_pos").cast("int").alias("toc_pos"))
+    return plain.unionByName(fold_contents(records.join(conflicts, ["book_id", "path"], "left_semi"), toc))
+
+
+def fold_contents(records: DataFrame, toc: DataFrame) -> DataFrame:
+    """match_contents record by record, for files of any kind."""
     rs = records.groupBy("book_id", "path").agg(F.array_sort(F.collect_list(F.struct("rec_pos", "ids"))).alias("rs"))
     ts = toc.where("src_path is not null").groupBy("book_id", F.col("src_path").alias("path")).agg(F.array_sort(F.collect_list(F.struct("toc_pos", "src_id"))).alias("ts"))
     pair = "struct<rec_pos: bigint, toc_pos: int>"

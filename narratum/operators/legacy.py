@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import clean_entry, first_year
+from . import sequence
 from .ssml import pack, requests
 
 PARAGRAPH, QUERY = 2000, 2700
@@ -55,16 +60,72 @@ def in_range(entries: DataFrame, start: Column, end: Column, index: str, count:
     return entries.where((F.col(index) >= start) & (F.col(index) < F.least(count, end + 1)))
 
 
+def numbered_tracks(entries: DataFrame, ranges: DataFrame, index: str = "entry_no") -> DataFrame:
+    """The entries (book_id, index, ...) in their book's range (book_id, start, end), with track_no from 1."""
+    kept = entries.join(ranges, "book_id").where((F.col(index) >= F.col("start")) & (F.col(index) <= F.col("end"))).drop("start", "end")
+    return sequence.ranked(kept, ["book_id"], [index], "track_no").withColumn("track_no", (F.col("track_no") + 1).cast("int"))
+
+
+def item_pages(itemrefs: DataFrame, items: DataFrame) -> DataFrame:
+    """Spine rows (book_id, spine_pos, idref), each with the href of its item if that is markup, else null; none is left out."""
+    markup = items.where(F.contains("media_type", F.lit("xml"))).groupBy("book_id", F.col("item_id").alias("idref")).agg(F.max_by("href", "seq").alias("href"))
+    return itemrefs.join(markup, ["book_id", "idref"], "left")
+
+
+#: Texts of a book that one task searches at a time.
+TEXTS = 512
+
+
+def held_patterns(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, order: list[str], firsts: bool, block: int = TEXTS) -> DataFrame:
+    """Which patterns (book_id, pattern) a book's texts (book_id, order, text) hold: (book_id, pattern, order columns).
+
+    With firsts only the first text in order that holds a pattern, else all. A book's texts are dealt to blocks by hash; in a block
+    an automaton of all the book's patterns reads each text once. An empty pattern is in every text, a null one in none.
+    """
+    sizes = texts.groupBy("book_id").agg(F.ceil(F.count("*") / block).alias("__blocks"))
+    place = F.pmod(F.xxhash64(*order), F.col("__blocks"))
+    dealt = texts.join(sizes, "book_id").select("book_id", place.alias("__block"), *order, F.col(text).alias("__text")).where("__text is not null")
+    asked = patterns.where(F.col(pattern).isNotNull()).select("book_id", F.col(pattern).alias("__pattern")).distinct().join(sizes, "book_id")
+    asked = asked.select("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__block"), "__pattern")
+    kinds = {c: texts.schema[c].dataType for c in order}
+    schema = StructType([StructField("book_id", texts.schema["book_id"].dataType), StructField(pattern, StringType()), *[StructField(c, t) for c, t in kinds.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[str, int]] = []
+        if left.num_rows and right.num_rows:
+            left = left.sort_by([(c, "ascending") for c in order]) if firsts else left
+            wanted, seen = right.column("__pattern").to_pylist(), set()
+            tree = ahocorasick.Automaton()
+            for p in filter(None, wanted):
+                tree.add_word(p, p)
+            tree.make_automaton()
+            for k, own in enumerate(left.column("__text").to_pylist()):
+                here = ({p for _, p in tree.iter(own)} if len(tree) else set()) | ({""} if "" in wanted else set())
+                found += [(p, k) for p in sorted(here - seen)]
+                if firsts:
+                    seen |= here
+        rows = pa.array([k for _, k in found], pa.int64())
+        columns = {"book_id": left.column("book_id").take(rows), pattern: pa.array([p for p, _ in found], pa.string())} | {c: left.column(c).take(rows) for c in order}
+        return pa.table(columns).cast(arrow)
+
+    out = dealt.groupBy("book_id", "__block").cogroup(asked.groupBy("book_id", "__block")).applyInArrow(run, schema)
+    if not firsts:
+        return out
+    best = F.min(F.struct(*order)).alias("x")
+    return out.groupBy("book_id", pattern).agg(best).select("book_id", pattern, "x.*")
+
+
 def resolve_references(refs: DataFrame, files: DataFrame, ref: str = "ref", path: str = "path", order: str = "load_seq") -> DataFrame:
     """Each reference with the first loaded file whose path contains it, after leading dots and its fragment are cut.
 
-    Files and references of one book meet (column book_id); this is a substring match, so there is no key beyond that.
+    A book's references are one automaton, which reads each path once (column book_id).
     """
     bare = F.substring_index(F.replace(F.replace(ref, F.lit("../"), F.lit("")), F.lit("./"), F.lit("")), "#", 1)
-    rows = refs.withColumn("bare", bare)
-    held = rows.join(files.select("book_id", F.col(path).alias("file"), F.col(order).alias("file_seq")), "book_id").where(F.contains("file", F.col("bare")))
-    best = held.groupBy("book_id", ref).agg(F.min_by("file", "file_seq").alias("file"))
-    return refs.join(best, ["book_id", ref], "left")
+    rows = refs.withColumn("__bare", bare)
+    own = files.select("book_id", F.col(order).alias("__seq"), F.col(path).alias("file"))
+    found = held_patterns(own, rows, "file", "__bare", ["__seq", "file"], True).select("book_id", "__bare", "file")
+    return rows.join(found, ["book_id", "__bare"], "left").drop("__bare")
 
 
 def refine(elements: DataFrame, refinements: DataFrame) -> DataFrame:
@@ -127,18 +188,45 @@ def pack_entries(paragraphs: DataFrame, key: list[str], order: str = "par_no", l
     return made.withColumn("query", F.when(F.col("query_no") == last, F.concat("query", F.lit("\n"))).otherwise(F.col("query")))
 
 
+def swapped(seqs: Column) -> Column:
+    """The places (from 0) of creators in the order that the swaps of their display sequences leave, for an array of sequences.
+
+    The first open place's creator changes places with the one where its sequence wants it. That place is settled then; if the
+    first wants to stay, wants the first place of all, or has no sequence from 1 to n, its own place is settled. Where swaps with
+    settled places go round without an end the order stays as it was.
+    """
+    n = F.size(seqs)
+    first = F.sequence(F.lit(0), n - 1)
+    start = F.struct(first.alias("at"), first.alias("open"))
+
+    def step(a: Column, _: Column) -> Column:
+        cur = F.get(a["open"], F.lit(0))
+        own = F.get(a["at"], cur)
+        want = F.get(seqs, own)
+        to = F.when(want.between(1, n), want - 1)
+        at = F.when(to.isNull(), a["at"]).otherwise(F.transform(a["at"], lambda x, k: F.when(k == to, own).when(k == cur, F.get(a["at"], to)).otherwise(x)))
+        settled = F.when(to.isNull() | (to == 0), cur).otherwise(to)
+        return F.when(F.size(a["open"]) == 0, a).otherwise(F.struct(at.alias("at"), F.filter(a["open"], lambda x: x != settled).alias("open")))
+
+    done = F.aggregate(F.sequence(F.lit(1), n * (n + 1)), start, step)
+    return F.when(F.size(done["open"]) == 0, done["at"]).otherwise(first)
+
+
 def order_creators(creators: DataFrame, seq: str = "display_seq") -> DataFrame:
-    """Adds place: creators (book_id, pos, seq) by their display sequence where a book's sequences are exactly 1 to n, else as they stand."""
+    """Adds place: creators (book_id, pos, seq) by their display sequence where a book's sequences are exactly 1 to n, else as `swapped` leaves them."""
     book = Window.partitionBy("book_id")
     n = F.count("*").over(book)
     fit = (F.size(F.collect_set(seq).over(book)) == n) & (F.min(seq).over(book) == 1) & (F.max(seq).over(book) == n)
-    keyed = creators.withColumn("place", F.when(fit, F.col(seq)).otherwise(F.col("pos")))
-    return keyed.withColumn("place", F.row_number().over(book.orderBy("place")))
+    keyed = creators.withColumns({"__fit": fit, "__no": F.row_number().over(book.orderBy("pos")) - 1})
+    odd = keyed.where(~F.coalesce("__fit", F.lit(False))).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct(F.col("__no").alias("no"), F.col(seq).cast("int").alias("seq")))).alias("all"))
+    moved = odd.select("book_id", F.posexplode(swapped(F.transform("all", lambda x: x["seq"]))).alias("__to", "__no"))
+    return keyed.join(moved, ["book_id", "__no"], "left").withColumn("place", F.coalesce(F.col("__to") + 1, F.col(seq)).cast("int")).drop("__fit", "__no", "__to")
 
 
 def page_images(pages: DataFrame, images: DataFrame) -> DataFrame:
-    """(book_id, page_no, ref, location): the image references that a page's markup contains; a substring match within a book."""
-    return pages.join(images, "book_id").where(F.contains("markup", F.col("ref"))).select("book_id", "page_no", "ref", "location")
+    """(book_id, page_no, ref, location): the image references that a page's markup contains; one pass over each page."""
+    found = held_patterns(pages, images, "markup", "ref", ["page_no"], False)
+    return found.join(images.select("book_id", "ref", "location"), ["book_id", "ref"]).select("book_id", "page_no", "ref", "location")
 
 
 def first_image(found: DataFrame, images: DataFrame) -> DataFrame:

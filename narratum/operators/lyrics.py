@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parse_time, replace_word, show_time
+from ..functions.text import parse_time, replace_by_template, replace_word, show_time
 from .sequence import SPAN, as_of
 
 LOUD = -60.0
@@ -71,10 +71,10 @@ def line_at(lines: DataFrame, time_ms: int) -> DataFrame:
     return found.join(F.broadcast(guard), F.col("missing") == 0).drop("missing")
 
 
-def corrected(lines: DataFrame, track: str, word: str, by: str) -> DataFrame:
-    """Lines that hold the word, with `new`, the request `ssml` and end_time."""
+def corrected(lines: DataFrame, track: str, word: str, by: str, template: bool = False) -> DataFrame:
+    """Lines that hold the word, with `new`, the request `ssml` and end_time. With template, `by` may have escapes and the match as \\g<0>."""
     out = with_word(with_end(lines, track), word)
-    out = out.withColumn("new", replace_word(F.col("text"), word, by))
+    out = out.withColumn("new", (replace_by_template if template else replace_word)(F.col("text"), word, by))
     return out.withColumn("ssml", F.concat(F.lit("<speak>"), F.col("new"), F.lit("</speak>")))
 
 
