@@ -225,6 +225,7 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
 def links(told: DataFrame, texts: DataFrame, block: int | None = None) -> DataFrame:
     """(node, root) of the keys that are linked to others; told: described(texts)."""
     members = near.buckets(told)
+    texts = stored(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")  # the only shuffle of all texts
     stars = checkpointed(members.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
     check = lambda pairs: near.verified(pairs, texts, SHINGLE, similar)
     edges = check(stored(near.joined(stars, told, "counts").mapInArrow(_bounded, "a long, b long"), "possible"))
