@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -12,6 +11,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import folder
+
 #: Rows and bytes of text that the Python side handles at a time.
 SLICE_ROWS, SLICE_BYTES = 256, 2 << 20
 
@@ -20,30 +21,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one is set only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get().rstrip("/")
-    folder = tempfile.mkdtemp(prefix="narratum-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
-    scratch(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: int) -> DataFrame:
     """df written as Parquet to the shared folder and read again, so that its true size is known to the planner."""
     spark = df.sparkSession
-    path = f"{scratch(spark)}/narratum-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder(spark)}/narratum-{label}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

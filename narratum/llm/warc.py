@@ -27,12 +27,15 @@ from .common import slices, stored
 
 #: Records and bytes of text after which a shard ends.
 SHARD_RECORDS, SHARD_BYTES = 4000, 32 << 20
+#: The query's replica is damaged in records whose page id's crc32 this divides.
+DAMAGED = 97
 DATE = "2020-01-01T00:00:00Z"
 SHARD = "part int, seq int, ids array<long>, offsets array<long>, payload binary"
 
 
 def record(page_id: int | None, url: str | None, html: str, date: str = DATE) -> bytes:
-    """One resource record. Its id follows from the page's id and url."""
+    """One resource record. Its id follows from the page's id and url; a line end in the url is percent-encoded."""
+    url = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     body, name = html.encode("utf-8", "surrogatepass"), "" if page_id is None else str(page_id)
     own = uuid.UUID(hashlib.md5(f"{name} {url or ''}".encode()).hexdigest())
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Target-URI: {url or ''}", f"WARC-Date: {date}", f"WARC-Record-ID: <urn:uuid:{own}>", "Content-Type: text/html", f"Content-Length: {len(body)}"]
@@ -67,15 +70,22 @@ def tree(payload: bytes, offsets: list[int]) -> list[list[bytes]]:
 
 
 def descend(a: list[list[bytes]], b: list[list[bytes]]) -> tuple[list[int], int]:
-    """The leaves that differ, and how many nodes were compared on the way down."""
-    if len(a[0]) != len(b[0]):
-        return list(range(max(len(a[0]), len(b[0])))), 1
-    front, seen = [0], 0
-    for depth in range(len(a) - 1, -1, -1):
-        seen += len(front)
-        front = [k for k in front if a[depth][k] != b[depth][k]]
-        if depth:
-            front = [c for k in front for c in (2 * k, 2 * k + 1) if c < len(a[depth - 1])]
+    """The leaves that differ or are in one tree only, and how many nodes were compared on the way down.
+
+    A node at height d stands for 2 ** d records from a place on. Where both trees have all of these the nodes are compared, and
+    branches that are equal are left; where a tree ends in them, the way goes on to their halves.
+    """
+    n, m = len(a[0]), len(b[0])
+    both, front, seen = min(n, m), [0], 0
+    for depth in range(max(len(a), len(b)) - 1, -1, -1):
+        differ = []
+        for k in front:
+            if (k + 1) << depth <= both or n == m:
+                seen += 1
+                if a[depth][k] == b[depth][k]:
+                    continue
+            differ.append(k)
+        front = [c for k in differ for c in (2 * k, 2 * k + 1) if c << (depth - 1) < max(n, m)] if depth else differ
     return front, seen
 
 
@@ -125,13 +135,7 @@ def write(pages: DataFrame, label: str = "warc") -> DataFrame:
 
 def replicate(shards: DataFrame, label: str = "warc") -> DataFrame:
     """The shards written once more, one to a file."""
-    conf, key = shards.sparkSession.conf, "spark.sql.files.maxRecordsPerFile"
-    before = conf.get(key)
-    conf.set(key, 1)
-    try:
-        return stored(shards, label)
-    finally:
-        conf.set(key, before)
+    return stored(shards, label, maxRecordsPerFile=1)
 
 
 def files(shards: DataFrame) -> DataFrame:
@@ -187,18 +191,37 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     return differ.select("part", "seq", "leaves", "nodes", "leaves_b", "nodes_b").mapInArrow(run, "part int, seq int, place int, compared long")
 
 
+def damaged(shards: DataFrame, every: int = DAMAGED) -> DataFrame:
+    """The shards with a byte changed in the middle of each record whose page id's crc32 `every` divides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                ids, offsets, payload = row.column(2)[0].as_py(), row.column(3)[0].as_py(), bytearray(row.column(4)[0].as_py())
+                for place, page_id in enumerate(ids):
+                    if page_id is not None and zlib.crc32(str(page_id).encode()) % every == 0:
+                        payload[(offsets[place] + offsets[place + 1]) // 2] ^= 255
+                yield pa.RecordBatch.from_arrays([*row.columns[:4], pa.array([bytes(payload)], pa.binary())], row.schema.names)
+
+    return shards.mapInArrow(run, SHARD)
+
+
 def fixity(pages: DataFrame) -> DataFrame:
-    """Writes pages as WARC with a second replica, audits the replica and reads it: page_id, record_length, record_sha256, intact."""
+    """Writes pages as WARC with a second replica that has planted damage, audits that against the first, which it reads:
+    page_id, record_length, record_sha256, and intact, whether the replica has the record unharmed."""
     shards = write(pages)
-    copy = replicate(shards, "warc-replica")
+    copy = replicate(damaged(shards), "warc-replica")
     bad = audit(trees(shards), trees(copy)).select("part", "seq", "place", F.lit(True).alias("bad"))
-    rows = read_records(copy).select("part", "seq", "place", "page_id", "length", "sha256")
+    rows = read_records(shards).select("part", "seq", "place", "page_id", "length", "sha256")
     return rows.join(bad, ["part", "seq", "place"], "left").select("page_id", F.col("length").alias("record_length"), F.col("sha256").alias("record_sha256"), F.col("bad").isNull().alias("intact"))
 
 
+#: crc32 of the id's decimal text.
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(page_id::varchar, ''), lambda ch: ascii(ch)::bigint)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::bigint)"
 SQL = f"""
-with p as (select page_id, coalesce(url, '') as u, coalesce(html, '') as h, md5(coalesce(page_id::varchar, '') || ' ' || coalesce(url, '')) as m, chr(13) || chr(10) as n from pages),
+with p as (select page_id, replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') as u, coalesce(html, '') as h, md5(coalesce(page_id::varchar, '') || ' ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A')) as m, chr(13) || chr(10) as n from pages),
 r as (select page_id, 'WARC/1.1' || n || 'WARC-Type: resource' || n || 'WARC-Target-URI: ' || u || n || 'WARC-Date: {DATE}' || n || 'WARC-Record-ID: <urn:uuid:' || m[1:8] || '-' || m[9:12] || '-' || m[13:16] || '-' || m[17:20] || '-' || m[21:32] || '>' || n
   || 'Content-Type: text/html' || n || 'Content-Length: ' || strlen(h)::varchar || n || n || h || n || n as t from p)
-select page_id, cast(strlen(t) as bigint) as record_length, sha256(t) as record_sha256, true as intact from r
+select page_id, cast(strlen(t) as bigint) as record_length, sha256(t) as record_sha256, page_id is null or {CRC_SQL} % {DAMAGED} <> 0 as intact from r
 """

@@ -266,13 +266,7 @@ def write(docs: DataFrame, label: str = "wavelet", vocabulary: str = VOCABULARY,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     images = ordered.mapInArrow(run, "part int, seq int, n_docs long, n_tokens long, image binary")
-    spark = docs.sparkSession
-    before = spark.conf.get("spark.sql.files.maxRecordsPerFile")
-    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
-    try:
-        return stored(images, label)
-    finally:
-        spark.conf.set("spark.sql.files.maxRecordsPerFile", before)
+    return stored(images, label, maxRecordsPerFile=1)
 
 
 def read_documents(images: DataFrame) -> DataFrame:
