@@ -6,8 +6,8 @@ continuation counts below); lower orders are shared: both classes back off to th
 expression rare in both is smoothed alike and says nothing. A document's two log-likelihoods are divided by its length
 and compared; a logistic curve fitted on labelled rows that the models haven't seen turns the difference into a score.
 
-The fit takes at most SAMPLE labelled rows of each class (the ones with the smallest hash of their id), which bounds
-the model and what is broadcast; every document is scored over its whole text.
+The fit takes at most SAMPLE labelled rows of each class (the ones with the smallest hash of their id, one text of an id), which
+bounds the model and what is broadcast; they are counted in the executors. Every document is scored over its whole text.
 
 Cases: null and empty texts score the share of toxic labels; with no labels of one class all scores are that share (0
 without labels); rows labelled twice are toxic if one label says so; repeated rows are scored
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, slices
+from .common import fold_of, slices, stored
 
 ORDER, CLASS_ORDER, DISCOUNT = 4, 3, 0.75
 #: Labelled rows of each class that the fit takes at most.
@@ -114,18 +114,24 @@ class Counts:
         return np.where(total > 0, DISCOUNT * self.look(self.contexts, self.kinds, contexts) / np.maximum(total, 1), 1.0)
 
 
+def counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the top order and their counts."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0)
+    for at in range(0, len(texts), 200):
+        new = [grams(as_bytes(t), ORDER) for t in texts[at : at + 200]]
+        more, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *new]), return_counts=True)
+        keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, n]))
+    return keys, counts
+
+
 class Model:
     """Log-likelihood ratios (toxic over ordinary) of bytes in context, and the curve from their mean to a score."""
 
-    def __init__(self, texts: dict[int, list[str]]):
+    def __init__(self, texts: dict[int, list[str] | tuple[np.ndarray, np.ndarray]]):
+        """texts: of each class the texts, or what `counted` makes of them."""
         classes = {}
         for c, own in texts.items():
-            keys, counts = np.zeros(0, np.uint64), np.zeros(0)
-            for at in range(0, len(own), 200):
-                new = [grams(as_bytes(t), ORDER) for t in own[at : at + 200]]
-                more, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *new]), return_counts=True)
-                keys, counts = summed(np.concatenate([keys, more]), np.concatenate([counts, n]))
-            classes[c] = {ORDER: Counts(keys, counts)}
+            classes[c] = {ORDER: Counts(*(own if isinstance(own, tuple) else counted(own)))}
             for size in range(ORDER, CLASS_ORDER, -1):
                 classes[c][size - 1] = classes[c][size].lower(size)
         both = Counts(*summed(np.concatenate([classes[c][CLASS_ORDER].keys for c in (0, 1)]), np.ones(sum(len(classes[c][CLASS_ORDER].keys) for c in (0, 1)))))
@@ -183,8 +189,10 @@ class Model:
         return out
 
     def calibrate(self, texts: list[str], toxic: np.ndarray) -> None:
-        """Logistic fit by Newton's method with a little ridge."""
-        x = self.evidence(texts)
+        self.curve(self.evidence(texts), toxic)
+
+    def curve(self, x: np.ndarray, toxic: np.ndarray) -> None:
+        """Logistic fit to evidence by Newton's method with a little ridge."""
         x = np.column_stack([np.ones(len(x)), x])
         scale = np.maximum(x.std(axis=0), 1e-6) * [0, 1, 1] + [1, 0, 0]
         z, w = x / scale, np.zeros(3)
@@ -211,22 +219,55 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
         return 1.0 if 1 in rated else 0.0
     chosen = known.where("toxic > 0").orderBy("h", "doc_id").limit(sample).union(known.where("toxic <= 0").orderBy("h", "doc_id").limit(sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"), (F.col("h") % 5 == 0).alias("later"), "text").collect()
+    # One row of an id; the texts stay in the executors.
+    own = texts.join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = own.join(F.broadcast(chosen), "doc_id").select((F.col("toxic") > 0).cast("int").alias("toxic"), (F.col("h") % 5 == 0).alias("later"), "text")
+    rows = stored(rows, "labelled")
     # The sample balances the classes; the curve sees each row of a class for as many as it stands for.
     share = {c: rated[c] / max(1, min(sample, rated[c])) for c in rated}
-    first = {c: [r.text for r in rows if r.toxic == c and not r.later] for c in (0, 1)}
-    later = [r for r in rows if r.later]
-    if not all(first.values()) or len({r.toxic for r in later}) < 2:
-        first, later = {c: [r.text for r in rows if r.toxic == c] for c in (0, 1)}, rows
-        if not all(first.values()):
-            return rated[1] / (rated[0] + rated[1])
-    model = Model(first)
-    model.calibrate([r.text for r in later], np.array([float(r.toxic) for r in later]))
+    there = {(r.toxic, r.later) for r in rows.select("toxic", "later").distinct().collect()}
+    if len({c for c, _ in there}) < 2:
+        return rated[1] / (rated[0] + rated[1])
+    apart = len(there) == 4
+    model = Model(class_counts(rows.where("not later") if apart else rows))
+    seen = np.array(sorted(tuple(r) for r in evidence(rows.where("later") if apart else rows, model).collect()))  # at most two numbers for each row of the sample
+    model.curve(seen[:, 1:], seen[:, 0])
     model.shift += float(np.log(share[1] / share[0]))
     model.prior = rated[1] / (rated[0] + rated[1])
     return model
 
 
+def class_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """`counted` of each class of rows (toxic, text), counted in the executors. Only the tables come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            toxic = part.column(0).to_numpy()
+            for c in (0, 1):
+                keys, n = counted([t for t, x in zip(texts, toxic) if x == c])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["toxic", "key", "n"])
+
+    sums = rows.select("toxic", "text").mapInArrow(run, "toxic int, key long, n long").groupBy("toxic", "key").agg(F.sum("n").alias("n")).toArrow()
+    toxic, keys, n = (sums.column(k).to_numpy() for k in range(3))
+    out = {}
+    for c in (0, 1):
+        order = np.argsort(keys[toxic == c])
+        out[c] = keys[toxic == c][order].astype(np.uint64), n[toxic == c][order].astype(float)
+    return out
+
+
+def evidence(rows: DataFrame, model: Model) -> DataFrame:
+    """(toxic, ratio, length): a model's evidence for rows (toxic, text)."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # a few tables of a size that SAMPLE bounds
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            x = shared.value.evidence(texts)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.float64()), pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())], ["toxic", "ratio", "length"])
+
+    return rows.select("toxic", "text").mapInArrow(run, "toxic double, ratio double, length double")
+
+
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """docs (doc_id, text and more) with score and predicted; columns of those names are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tables of a size that SAMPLE bounds

@@ -83,3 +83,26 @@ def test_missing_classes(spark):
     assert [r.score for r in toxicity.scores(docs, labels).collect()] == [0.0, 0.0]
     assert [r.score for r in toxicity.scores(docs, labels.limit(0)).collect()] == [0.0, 0.0]
     assert toxicity.scores(docs.limit(0), labels).count() == 0
+
+
+def test_counts_in_executors_are_the_model_s(spark):
+    rows = [(y, t) for _, t, y in corpus(60)]
+    frame = spark.createDataFrame(rows, "toxic int, text string").repartition(3)
+    own, plain = toxicity.class_counts(frame), {c: [t for y, t in rows if y == c] for c in (0, 1)}
+    for c in (0, 1):
+        keys, n = toxicity.counted(plain[c])
+        assert (own[c][0] == keys).all() and (own[c][1] == n).all()
+    model, again = toxicity.Model(own), toxicity.Model(plain)
+    texts = [t for _, t in rows]
+    assert (model.evidence(texts) == again.evidence(texts)).all()
+    got = sorted(map(tuple, toxicity.evidence(frame, model).collect()))
+    assert np.allclose(got, sorted((float(y), *again.evidence([t])[0]) for y, t in rows), atol=1e-9)
+
+
+def test_an_id_with_many_texts_counts_once(spark):
+    rows = [(i, t) for i, t, _ in corpus(200)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus(200)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    again = docs.union(docs).union(docs.where("doc_id = 0"))
+    scores = lambda df: sorted({(r.doc_id, round(r.score, 9)) for r in toxicity.scores(df, labels).collect()})
+    assert scores(docs) == scores(again)
