@@ -148,7 +148,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by id and text: the one with the smallest doc_id stays, nulls last, then the smallest hash of the text.
     """
-    keyed = docs.withColumns({"__key": resemblance.key_of(F.col("text")), "__id": F.col("doc_id").cast("long")})
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), resemblance.key_of(F.col("text")).alias("__key"), F.col("doc_id").cast("long").alias("__id"))
     rows = keyed.groupBy("__key", "__id").agg(F.count("*").alias("n"))
     rows = rows.join(resemblance.groups(docs).withColumnRenamed("node", "__key"), "__key", "left").withColumn("root", F.coalesce("root", "__key"))
     place = F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__key").alias("key"))
@@ -162,4 +162,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if few.limit(1).count():
         again = out.join(few, same(few), "left_semi").dropDuplicates(["__key", "__id"])
         out = out.join(few, same(few), "left_anti").union(again)
-    return out.drop("__key", "__id")
+    return out.select("row.*")

@@ -16,7 +16,8 @@ A minimizer with more than CROWD different regions takes an exact other way: its
 smallest document by an aggregation on their hash. Memory is bounded by SHARD_WORDS and CROWD at every size.
 
 Cases: null and empty texts have no words; texts shorter than a window keep all words; rows with the same doc_id are
-one document, which is never its own earlier one, and each row is cut by its own places; rows with a null id remove and lose
+one document, which is never its own earlier one, and each row is cut by its own places (its texts are told apart by a 64-bit
+hash); equal rows are searched once; rows with a null id remove and lose
 nothing; other columns are passed through; an empty table gives no rows.
 """
 
@@ -269,9 +270,14 @@ REPORT = "anchor long, region long, off array<int>, len array<int>, least array<
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, spans) for rows of docs (doc_id long, th int, text) that lose words: spans are array<struct<s, e>> of words."""
+    """(doc_id, th, spans) for rows of docs (doc_id long, th long, text) that lose words: spans are array<struct<s, e>> of words."""
     texts = docs.where("doc_id is not null").select("doc_id", "th", "text")
-    found = stored(texts.mapInArrow(_find, "doc_id long, th int, s int, n int, anchor long, region long"), "regions")
+    # Equal rows are searched once; mostly there are none, and no text is shuffled.
+    repeated = stored(texts.groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "repeated")
+    if repeated.limit(1).count():
+        once = texts.join(repeated, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.min("text").alias("text"))
+        texts = texts.join(repeated, ["doc_id", "th"], "left_anti").unionByName(once)
+    found = stored(texts.mapInArrow(_find, "doc_id long, th long, s int, n int, anchor long, region long"), "regions")
     # Stored, so that the join below has plain exchanges on both sides, whose skewed partitions Spark can split.
     several = stored(found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b").select("anchor"), "several")
     shared = stored(found.join(several, "anchor"), "shared")
@@ -295,7 +301,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """All columns of docs in a struct `row`, with n_words, n_removed and kept (the kept words, joined by one space)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("th"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
     lost = spans(rows.select("doc_id", "th", "text")).withColumnRenamed("doc_id", "lost_id").withColumnRenamed("th", "lost_th")
     joined = rows.join(lost, (F.col("doc_id") == F.col("lost_id")) & (F.col("th") == F.col("lost_th")), "left").select("text", "spans", "row")
 

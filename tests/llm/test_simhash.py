@@ -142,3 +142,11 @@ def test_keep_one_decides_by_row(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((str(r.doc_id), r.text or "") for r in simhash.keep_one(docs).collect())
     assert got == sorted([("None", a), ("None", b), ("4", c), ("4", d), ("2", "x y"), ("9", "z"), ("5", "")])
+
+
+def test_keep_one_beside_columns_of_any_name(spark):
+    rows = [(2, "a b c d e f g", "x", 1, "r"), (1, "a b c d e f g", "y", 2, "s"), (1, "a b c d e f g", "z", 3, "t"), (None, "q w e r t y u", "v", 4, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, __id int, row string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "q w e r t y u"), (1, "a b c d e f g")]
+    assert simhash.keep_one(docs.limit(0)).count() == 0

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -77,3 +78,15 @@ def test_dedup_keeps_columns(spark):
     assert substring.dedup(docs).columns == docs.columns
     assert got[1].text == words + "  x" and got[2].text == "y" and got[2].n_chars == 1 and got[3].text == "z  z" and got[3].spans == "c"
     assert substring.digests(docs.limit(0)).count() == 0
+
+
+def test_one_row_many_times(spark):
+    """Work is by distinct rows: 20,000 equal ones, one of them of an earlier document, and texts that share an id."""
+    rng = random.Random(1)
+    text = " ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(400))
+    rows = spark.range(20_000).selectExpr("7L as doc_id", f"'{text}' as text")
+    other = spark.createDataFrame([(3, text), (7, "own " * 60 + text), (7, "own " * 60), (9, text + " more")], "doc_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.n_words, r.n_removed): r["count"] for r in substring.digests(rows.union(other)).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert time.time() - began < 60
+    assert got == {(3, 400, 0): 1, (7, 400, 400): 20_000, (7, 460, 400): 1, (7, 60, 0): 1, (9, 401, 400): 1}
