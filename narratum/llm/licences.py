@@ -4,7 +4,9 @@ The templates' words are counted over all documents. Each template is posted und
 IDF), with that word's place in the template. A document's places of such words are looked up in the index: each gives
 the place where the template would begin, the other words' postings are intersected at their relative places, and the
 template's mandatory key phrase is verified word by word. Every place of a key phrase contains its rarest word, so
-none is missed. All of this happens inside a document's row: nothing is shuffled but the counts of the template words.
+none is missed. A licence's name is a label by itself; where a template is a licence's text (BESIDE words or more beside the key
+phrase), words with the share EVIDENCE of their IDF weight must stand at their relative places too, so a licence with
+words changed or cut off is found and its key phrase alone is not. All of this happens inside a document's row: nothing is shuffled but the counts of the template words.
 
 Cases: null and empty texts have no words, labels '' and score 0; repeated rows are each scanned; overlapping places all
 count; other columns are ignored; an empty table gives no rows; null ids are kept.
@@ -13,11 +15,12 @@ count; other columns are ignored; an empty table gives no rows; null ids are kep
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .decontam import words
+from .decontam import WORD_BREAKS
 
 # Fixed values: (label, text, key phrase, base). Base templates are the contract's phrases; the others are the opening
 # or identifying words of well-known licences. The key phrase must stand in full where the text aligns.
@@ -43,9 +46,18 @@ TEMPLATES = (
     ("cc0", "cc0 1 0 universal", "cc0 1 0 universal", False),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software", False),
 )
+#: The IDF-weighted share of the words beside the key phrase that must stand at their relative places, in templates with so many.
+EVIDENCE, BESIDE = 0.15, 5
 VOCABULARY = sorted({w for _, text, _, _ in TEMPLATES for w in text.split()})
 
 
+def words(text: Column) -> Column:
+    """Words with A-Z in lower case; an empty array for null and empty texts."""
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    plain = F.trim(F.regexp_replace(lower, WORD_BREAKS, " "))
+    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " ", -1))
+
+
 def document_counts(docs: DataFrame) -> tuple[int, dict[str, int]]:
     """The number of rows, and in how many of them each template word occurs."""
     known = F.array(*map(F.lit, VOCABULARY))
@@ -68,17 +80,21 @@ def index(total: int, counts: dict[str, int]) -> list[dict]:
 
 
 def _matches(template: dict, places: Column, text: Column) -> Column:
-    """Array of struct(at, label, base, sure, part): the template aligned at each place of its rarest word."""
+    """Array of struct(at, label, base, sure, part, more): the template aligned at each place of its rarest word."""
 
     def aligned(spot: Column) -> Column:
         begin = spot["i"] - template["place"]
         same = lambda k: F.coalesce(F.get(text, begin + k) == template["words"][k], F.lit(False))
-        sure, part = F.lit(True), F.lit(0.0)
-        for k in range(template["offset"], template["offset"] + len(template["key"])):
+        sure, part, more = F.lit(True), F.lit(0.0), F.lit(0.0)
+        key = range(template["offset"], template["offset"] + len(template["key"]))
+        for k in key:
             sure = sure & same(k)
         for k, weight in enumerate(template["idf"]):
             part = part + F.when(same(k), weight).otherwise(0.0)
-        return F.struct(begin.cast("long").alias("at"), F.lit(template["label"]).alias("label"), F.lit(template["base"]).alias("base"), sure.alias("sure"), (part / sum(template["idf"])).alias("part"))
+            more = more if k in key else more + F.when(same(k), weight).otherwise(0.0)
+        beside = [weight for k, weight in enumerate(template["idf"]) if k not in key]
+        more = more / sum(beside) if len(beside) >= BESIDE else F.lit(1.0)
+        return F.struct(begin.cast("long").alias("at"), F.lit(template["label"]).alias("label"), F.lit(template["base"]).alias("base"), sure.alias("sure"), (part / sum(template["idf"])).alias("part"), more.alias("more"))
 
     return F.transform(F.filter(places, lambda s: s["w"] == template["rare"]), aligned)
 
@@ -94,7 +110,7 @@ def scan(docs: DataFrame) -> DataFrame:
     spots = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("i"), x.alias("w"))), lambda s: F.array_contains(rare, s["w"]))
     kind = "array<struct<i: int, w: string>>"
     rows = rows.select("doc_id", "w", F.when(F.arrays_overlap("w", rare), spots).otherwise(F.array().cast(kind)).alias("spots"))
-    none = "array<struct<at: bigint, label: string, base: boolean, sure: boolean, part: double>>"
+    none = "array<struct<at: bigint, label: string, base: boolean, sure: boolean, part: double, more: double>>"
     found = F.when(F.size("spots") > 0, F.concat(*[_matches(t, F.col("spots"), F.col("w")) for t in templates])).otherwise(F.array().cast(none))
     rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), found.alias("found"))
     base = F.filter("found", lambda m: m["base"] & m["sure"])
@@ -102,7 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"),
         F.array_min(F.transform(base, lambda m: m["at"])).alias("first_word"), F.array_max(F.transform(base, lambda m: m["at"])).alias("last_word"),
-        names(base).alias("base_labels"), names(F.filter("found", lambda m: m["sure"])).alias("labels"),
+        names(base).alias("base_labels"), names(F.filter("found", lambda m: m["sure"] & (F.round(m["more"], 9) >= EVIDENCE))).alias("labels"),
         F.round(F.coalesce(F.array_max(F.transform("found", lambda m: F.when(m["sure"], m["part"]).otherwise(m["part"] / 2))), F.lit(0.0)), 6).alias("score"),
     )
 
@@ -115,7 +131,7 @@ def sql() -> str:
         for k, (label, text, key, base) in enumerate(TEMPLATES)
     )
     return rf"""
-with d as (select row_number() over () as r, doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as t from documents),
+with d as (select row_number() over () as r, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as t from documents),
 dw as (select r, doc_id, case when t = '' then [] else string_split(t, ' ') end as w from d),
 t(k, label, base, ws, ph, off) as (values {values}),
 v as (select distinct unnest(ws) as word from t),
@@ -127,10 +143,11 @@ tw as (select k, unnest(ws) as word, unnest(range(0, len(ws))) as j from t),
 tz as (select k, j, word, z from tw join idf using (word)),
 rare as (select k, j, word from (select tz.k, j, word, row_number() over (partition by tz.k order by z desc, j) as o from tz join t using (k) where j >= off and j < off + len(ph)) where o = 1),
 al as (select distinct xv.r, rare.k, xv.i - rare.j as b from xv join rare using (word)),
-pt as (select al.r, al.k, al.b, sum(case when xv.word is not null then z else 0 end) / sum(z) as part, bool_and(xv.word is not null or j < off or j >= off + len(ph)) as sure
+pt as (select al.r, al.k, al.b, sum(case when xv.word is not null then z else 0 end) / sum(z) as part, bool_and(xv.word is not null or j < off or j >= off + len(ph)) as sure,
+  case when any_value(len(ws) - len(ph)) >= {BESIDE} then sum(case when xv.word is not null and (j < off or j >= off + len(ph)) then z else 0 end) / sum(case when j < off or j >= off + len(ph) then z else 0 end) else 1 end as more
   from al join tz using (k) join t using (k) left join xv on xv.r = al.r and xv.i = al.b + j and xv.word = tz.word group by 1, 2, 3),
 m as (select r, count(*) filter (base and sure) as n_base, min(b) filter (base and sure) as f, max(b) filter (base and sure) as l,
-  string_agg(distinct label, ',' order by label) filter (base and sure) as bl, string_agg(distinct label, ',' order by label) filter (sure) as ls, max(case when sure then part else part / 2 end) as s
+  string_agg(distinct label, ',' order by label) filter (base and sure) as bl, string_agg(distinct label, ',' order by label) filter (sure and round(more, 9) >= {EVIDENCE}) as ls, max(case when sure then part else part / 2 end) as s
   from pt join t using (k) group by 1)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_base, 0) as bigint) as n_base, cast(f as bigint) as first_word, cast(l as bigint) as last_word,
   coalesce(bl, '') as base_labels, coalesce(ls, '') as labels, round(coalesce(s, 0.0), 6)::double as score

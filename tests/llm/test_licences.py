@@ -31,3 +31,11 @@ def test_base_and_sql(spark, tmp_path):
     want = con.execute(f"select {', '.join(names)} from ({licences.sql()})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
     assert licences.scan(docs.limit(0)).count() == 0
+
+
+def test_a_text_needs_more_than_its_key_phrase(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    lines = [bsd, "redistribution and use in source and binary forms is hard", bsd.replace("permitted", "allowed").replace("following", "next"), "Permission is hereby granted, free of charge, said the king",
+             "free and unencumbered software", "This is free and unencumbered software, released into the PUBLIC domain", "Mozilla Public License", "MIT Kelvin"]
+    got = {r.doc_id: r.labels for r in licences.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert got == {0: "bsd", 1: "", 2: "bsd", 3: "", 4: "", 5: "unlicense", 6: "mpl", 7: ""}
