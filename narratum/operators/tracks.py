@@ -68,6 +68,15 @@ def rate(voices: DataFrame, language: str, name: str, kind: str) -> DataFrame:
     return found.agg(F.when(price.isNull(), F.raise_error(F.lit("no such voice")).cast("double")).otherwise(price).alias("usd_per_million"))
 
 
+def rated(requests: DataFrame, voices: DataFrame) -> DataFrame:
+    """Requests (language, name, voice_type, ...) with usd_per_million, the first price of their voice; an unknown voice is an error."""
+    key = ["language", "name", "voice_type"]
+    first = voices.withColumn("__no", F.monotonically_increasing_id()).groupBy(*key).agg(F.min_by("usd_per_million", "__no").alias("__usd"))
+    found = requests.join(F.broadcast(first), key, "left")  # a catalogue of some dozen voices
+    price = F.when(F.col("__usd").isNotNull(), F.col("__usd")).otherwise(F.raise_error(F.concat(F.lit("no such voice: "), F.concat_ws(" ", *key))).cast("double"))
+    return found.withColumn("usd_per_million", price).drop("__usd")
+
+
 def cost(queries: DataFrame, voices: DataFrame, key: list[str], query: str = "query") -> DataFrame:
     """(key, language, name, voice_type, chars, usd) of synthesising the requests with each voice. Markup is billed too."""
     sums = queries.groupBy(*key).agg(F.sum(F.length(query)).alias("chars"))

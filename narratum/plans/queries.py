@@ -132,10 +132,17 @@ def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("usd", F.round("usd", 9))
 
 
-@query("select 16.0::double as usd_per_million, cast(sum(length(text)) as bigint) as chars from conversations")
+@query("""select conv_id, turn, cast(length(text) as bigint) as chars, case role when 'user' then 16.0::double when 'assistant' then 30.0 else 4.0 end as usd_per_million,
+  round(length(text) / 1e6 * case role when 'user' then 16.0 when 'assistant' then 30.0 else 4.0 end, 9) as usd from conversations""")
 def voice_rate(spark: SparkSession, d: str) -> DataFrame:
-    chars = table(spark, d, "conversations").agg(F.sum(F.length("text")).alias("chars"))
-    return tracks.rate(tracks.voice_catalogue(spark), "en-US", "Joanna", "neural").crossJoin(chars)
+    """Each turn priced by the voice that reads its role."""
+    role = F.col("role")
+    turns = table(spark, d, "conversations").select(
+        "conv_id", "turn", F.length("text").cast("long").alias("chars"), F.when(role == "user", "en-US").when(role == "assistant", "en-GB").otherwise("en-AU").alias("language"),
+        F.when(role == "user", "Joanna").when(role == "assistant", "Amy").otherwise("Nicole").alias("name"), F.when(role == "user", "neural").when(role == "assistant", "generative").otherwise("standard").alias("voice_type"),
+    )
+    out = tracks.rated(turns, tracks.voice_catalogue(spark))
+    return out.select("conv_id", "turn", "chars", "usd_per_million", F.round(F.col("chars") / F.lit(1e6) * F.col("usd_per_million"), 9).alias("usd"))
 
 
 @query("select conv_id, turn, cast(length(text) as bigint) as n from conversations order by length(text) desc, conv_id, turn limit 1")

@@ -196,3 +196,11 @@ def test_marks_in_any_batches(spark, tmp_path):
         spark.conf.unset(store)
     want = lyrics.offsets(spark.createDataFrame(rows, schema), "track", ["seq"]).where("type = 'sentence'").collect()
     assert got == sorted((r.track, r.seq, r.at_ms, r.value) for r in want)
+
+
+def test_prices_by_voice(spark):
+    voices = tracks.voice_catalogue(spark)
+    rows = spark.createDataFrame([(1, "en-US", "Ruth", "long-form"), (2, "en-GB", "Amy", "standard")], "k int, language string, name string, voice_type string")
+    assert sorted((r.k, r.usd_per_million) for r in tracks.rated(rows, voices).collect()) == [(1, 100.0), (2, 4.0)]
+    with pytest.raises(PySparkException, match="no such voice: en-GB Ruth neural"):
+        tracks.rated(spark.createDataFrame([(1, "en-GB", "Ruth", "neural")], rows.schema), voices).collect()
