@@ -46,3 +46,20 @@ def test_stages_and_run(spark, tmp_path):
         assert r.round_trip and list(r.ids) == LIBRARY.encode(seen[3][i].text or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(seen[4])
     assert toxicity.THRESHOLD == 0.3
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Columns of any name, repeated rows, null ids and texts, and no rows at all."""
+    tables(spark, tmp_path)
+    own = "doc_id long, text string, row string, key long, score double, spans int, h long, th int"
+    rows = [(1, "one two three four five six", "a", 1, 0.1, 1, 1, 1), (1, "one two three four five six", "b", 2, 0.2, 2, 2, 2), (2, None, "c", 3, 0.3, 3, 3, 3), (None, "alone with no id at all", "d", 4, 0.4, 4, 4, 4), (None, "", None, None, None, None, None, None)]
+    for k, data in enumerate((rows, [])):
+        docs = spark.createDataFrame(data, own)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/odd{k}-{name}")
+            out = spark.read.parquet(f"{tmp_path}/odd{k}-{name}")
+            if name != "bpe_encoding":
+                assert out.columns == docs.columns
+                docs = out
+        assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in out.collect()) == ([(0, True), (1, True), (2, False)] if data else [])
