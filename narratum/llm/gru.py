@@ -38,6 +38,8 @@ END = b"\n"  # no word holds white space
 MODEL_WORDS, BUCKETS, CLASSES, HIDDEN = 1024, 272, 36, 16
 #: Words whose counts are broadcast; training documents of the warm start.
 HEAD, SAMPLE = 300_000, 1500
+#: Bytes of the longest document of the warm start; the rounds learn all documents, of any length.
+LONGEST = 1 << 16
 #: Rounds over all training documents, their learning rate, streams, window and longest stretch; pieces in which weights are averaged.
 ROUNDS, ROUND_RATE, ROUND_STREAMS, ROUND_WINDOW, STRETCH, PIECES = 2, 0.006, 512, 16, 512, 16
 WINDOW, STREAMS, EPOCHS, RATE = 32, 64, 2, 0.004
@@ -416,8 +418,9 @@ def fit(docs: DataFrame) -> tuple[Scorer, DataFrame]:
         n, v = totals[bucket(w)]
         totals[bucket(w)] = n - c, v - 1
     scorer = Scorer(head, totals, row.n or 0, row.v)
-    chosen = train.where("doc_id is not null").select(F.col("doc_id").alias("chosen_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "chosen_id").limit(SAMPLE)
-    texts = train.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).orderBy("h").select("text").limit(SAMPLE).toArrow()
+    short = train.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    chosen = short.where("doc_id is not null").select(F.col("doc_id").alias("chosen_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "chosen_id").limit(SAMPLE)
+    texts = short.join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen_id")).orderBy("h").select("text").limit(SAMPLE).toArrow()
     symbols, starts = scorer.texts(texts.column("text").combine_chunks(), counts=False)
     scorer.network.train(np.split(symbols, starts[1:-1]) if len(starts) > 1 else [], scorer.start, stretch=STRETCH)
     for k in range(ROUNDS):

@@ -111,3 +111,46 @@ def test_network_learns_from_documents_outside_the_warm_start(spark, monkeypatch
     symbols = [trained.symbols(gru.words_of("red green blue " * 50))[0]]
     start = int(trained.start)
     assert trained.network.score(symbols, start).sum() > 0.7 * warm.network.score(symbols, start).sum()
+
+
+def test_scores_by_a_plain_loop(spark, monkeypatch):
+    """Each document word by word: the recurrent state, the class, the member, and a bucket's share for words without a symbol."""
+    monkeypatch.setattr(gru, "HEAD", 9)
+    monkeypatch.setattr(gru, "MODEL_WORDS", 5)
+    rng = random.Random(6)
+    words = ["the", "of", "Cat", "dog", "élan", "x", "y", "rare", "odd"]
+    rows = [(k, " ".join(rng.choice(words[: 4 + k % 6]) for _ in range(rng.randrange(40)))) for k in range(70)] + [(70, None), (71, "never seen of"), (72, "the cat " * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    scorer, counts = gru.fit(docs)
+    monkeypatch.setattr(gru, "fit", lambda d: (scorer, counts))
+    table = {bytes(r.word): r.c for r in counts.collect()}
+    head = [bytes(w) for w in scorer.words.to_pylist()]
+    own = {w: k for k, w in enumerate(head[: scorer.size])}
+    room = {}
+    for w, c in table.items():
+        if w not in own:
+            n, v = room.get(gru.bucket(w), (0, 0))
+            room[gru.bucket(w)] = (n + c, v + 1)
+    p = {k: x.astype(float) for k, x in scorer.network.p.items()}
+    classes, sigmoid = scorer.network.classes, lambda x: 1 / (1 + np.exp(-x))
+    logs = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+
+    def plain(text):
+        total, h = 0.0, np.zeros(scorer.network.hidden)
+        symbol = lambda w: own.get(w, scorer.size + gru.bucket(w))
+        last = symbol(b"\n")
+        for w in [*(text or "").encode().lower().split(), b"\n"]:
+            z, r = (sigmoid(p["gate"][k, last] + h @ p["state"][k]) for k in (0, 1))
+            new = np.tanh(p["gate"][2, last] + r * (h @ p["state"][2] + p["inner"]))
+            h = new + z * (h - new)
+            last = symbol(w)
+            c, m = last % classes, last // classes
+            total += logs(h @ p["class"] + p["class_bias"])[c] + logs(h @ p["member"][c] + p["member_bias"][c])[m]
+            if w not in own:
+                n, v = room.get(gru.bucket(w), (0, 0))
+                total += math.log((table.get(w, 0) + 0.1) / (n + 0.1 * (v + 1)))
+        return total / math.log(10)
+
+    truth = dict(rows)
+    for r in gru.score(docs).collect():
+        assert r.score == pytest.approx(plain(truth[r.doc_id]), rel=1e-3, abs=1e-2)
