@@ -86,7 +86,8 @@ def held_patterns(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
     place = F.pmod(F.xxhash64(*order), F.col("__blocks"))
     dealt = texts.join(sizes, "book_id").select("book_id", place.alias("__block"), *order, F.col(text).alias("__text")).where("__text is not null")
     asked = patterns.where(F.col(pattern).isNotNull()).select("book_id", F.col(pattern).alias("__pattern")).distinct().join(sizes, "book_id")
-    asked = asked.select("book_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__block"), "__pattern")
+    # Names of their own: texts and patterns may come from one frame.
+    asked = asked.select(F.col("book_id").alias("__book"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1)).alias("__at"), "__pattern")
     kinds = {c: texts.schema[c].dataType for c in order}
     schema = StructType([StructField("book_id", texts.schema["book_id"].dataType), StructField(pattern, StringType()), *[StructField(c, t) for c, t in kinds.items()]])
     arrow = to_arrow_schema(schema)
@@ -109,7 +110,7 @@ def held_patterns(texts: DataFrame, patterns: DataFrame, text: str, pattern: str
         columns = {"book_id": left.column("book_id").take(rows), pattern: pa.array([p for p, _ in found], pa.string())} | {c: left.column(c).take(rows) for c in order}
         return pa.table(columns).cast(arrow)
 
-    out = dealt.groupBy("book_id", "__block").cogroup(asked.groupBy("book_id", "__block")).applyInArrow(run, schema)
+    out = dealt.groupBy("book_id", "__block").cogroup(asked.groupBy("__book", "__at")).applyInArrow(run, schema)
     if not firsts:
         return out
     best = F.min(F.struct(*order)).alias("x")

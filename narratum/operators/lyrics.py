@@ -174,6 +174,32 @@ def trimmed_readings(frames: DataFrame, halves: DataFrame, track: str | list[str
 
 
 def pieces(cuts: DataFrame, lengths: DataFrame, track: str, order: str) -> DataFrame:
+    """The edited audio as pieces (track, src, lo, hi, new_start), see fold_pieces.
+
+    Where a track's cuts stand one behind the other, as corrected lines do, running sums give the pieces; only tracks with cuts that
+    overlap, run backward or reach beyond the audio are folded, cut by cut.
+    """
+    rows = cuts.select(track, F.col(order).cast("long").alias("o"), *[F.col(c).cast("long").alias(c) for c in ("start_splice", "end_splice", "new_length")]).join(lengths, track)
+    w = Window.partitionBy(track).orderBy("o")
+    added = F.col("new_length") - (F.col("end_splice") - F.col("start_splice"))
+    rows = rows.withColumns({
+        "no": F.row_number().over(w), "prev": F.coalesce(F.lag("end_splice").over(w), F.lit(0).cast("long")), "open": F.lag("end_splice").over(w).isNull(),
+        "delta": F.coalesce(F.sum(added).over(_before(track, ["o"])), F.lit(0)), "last": F.lead("o").over(w).isNull(),
+    })
+    start, end, length = (F.col(c) for c in ("start_splice", "end_splice", "length"))
+    odd = (start < F.col("prev")) | (start > length) | F.coalesce((end < start) | (end > length), F.lit(False)) | ((F.col("no") > 1) & F.col("open"))
+    folded = rows.where(odd).select(track).distinct()
+    plain = rows.join(folded, track, "left_anti")
+    one = lambda src, lo, hi, at: F.struct(src.cast("long").alias("src"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), at.cast("long").alias("new_start"))
+    none, delta = F.lit(None), F.col("delta")
+    own = [one(none, F.col("prev"), start, F.col("prev") + delta), one(F.col("o"), F.lit(0), F.col("new_length"), start + delta)]
+    tail = one(none, end, length, end + delta + added)
+    made = plain.select(track, F.explode(F.when(F.col("last") & end.isNotNull(), F.array(*own, tail)).otherwise(F.array(*own))).alias("x")).select(track, "x.*")
+    uncut = lengths.join(cuts.select(track).distinct(), track, "left_anti").select(track, one(none, F.lit(0), length, F.lit(0)).alias("x")).select(track, "x.*")
+    return made.unionByName(uncut).unionByName(fold_pieces(cuts.join(folded, track, "left_semi"), lengths.join(folded, track, "left_semi"), track, order))
+
+
+def fold_pieces(cuts: DataFrame, lengths: DataFrame, track: str, order: str) -> DataFrame:
     """The edited audio as pieces (track, src, lo, hi, new_start): frames lo to hi of a source stand from new_start on.
 
     cuts (track, order, start_splice, end_splice, new_length) apply in order, each to what the ones before left, as places of the

@@ -224,9 +224,13 @@ def test_edited_frames_of_overlapping_cuts(spark):
         level = lambda n: [rng.choice([-80.0, -70.0, -20.0, -5.0]) for _ in range(n)]
         own = level(rng.randrange(1, 150))
         marks, said = [], []
+        at = 0
         for k in range(rng.randrange(0, 6)):
             start = rng.randrange(0, 170)
             end = rng.choice([None, start, start + rng.randrange(40), max(0, start - rng.randrange(20))])
+            if t % 2:  # one behind the other
+                start = min(at + rng.randrange(20), len(own))
+                end = at = min(start + rng.randrange(20), len(own))
             marks.append((start, end, rng.randrange(4), None if end is None else rng.choice([None, 0, 3, 9])))
             said.append(level(rng.choice([0, 1, 5, 30])))
         frames += [(t, k, x) for k, x in enumerate(own)]
