@@ -70,13 +70,13 @@ def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
     return words.frequencies(rows.select("line_no", "x.word", "x.count"))
 
 
-def pretty(doc: Column, indent: int = 4, sort: bool = True) -> Column:
-    """JSON text in lines, indented, keys sorted, characters as they are."""
+def pretty(doc: Column, indent: int = 4, sort: bool = True, ascii_only: bool = False) -> Column:
+    """JSON text in lines, indented, keys sorted, characters as they are unless ascii_only has them escaped."""
 
     @F.pandas_udf("string")
     def made(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in docs:
-            yield part.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=indent, sort_keys=sort, ensure_ascii=False))
+            yield part.map(lambda x: None if x is None else json.dumps(json.loads(x), indent=indent, sort_keys=sort, ensure_ascii=ascii_only))
 
     return made(doc)
 
@@ -108,6 +108,17 @@ def track_files(tracks: DataFrame, marks: DataFrame, key: list[str], order: list
     return made.select(F.explode("files").alias("x")).select("x.path", "x.content")
 
 
+def entry_files(entries: DataFrame, folder: Column) -> DataFrame:
+    """Rows (path, content) of the older module's entries (index, text, xml, images, paragraphs, ssml: arrays; metaTags: a map with
+    TRACK and TITLE): the whole entry as .fulldata.json and its paragraphs as .txt. What is null isn't in the document."""
+    tag = lambda key: F.coalesce(F.try_element_at("metaTags", F.lit(key)), F.lit(""))
+    name = lambda ending: F.concat(folder, F.lit("/"), file_name(tag("TRACK"), tag("TITLE"), ending))
+    document = F.struct("index", "text", "xml", "images", F.transform("paragraphs", lambda p: F.struct(p.alias("text"))).alias("paragraphs"), "ssml", "metaTags")
+    spoken = F.concat(F.array_join(F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: F.concat(p, F.lit("\n\n"))), ""))
+    both = F.array(F.struct(name(".fulldata.json").alias("path"), pretty(F.to_json(document), 2, ascii_only=True).alias("content")), F.struct(name(".txt").alias("path"), spoken.alias("content")))
+    return entries.select(F.explode(both).alias("x")).select("x.path", "x.content")
+
+
 def request_documents(queries: DataFrame, names: DataFrame, path: Column) -> DataFrame:
     """Rows (path, content): for each book the document of its tracks' requests. queries: (book_id, track_no, query_no, query);
     names: (book_id, track_no, name); path: the file's name by book_id."""

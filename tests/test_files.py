@@ -73,3 +73,14 @@ def test_files_in_many_splits(spark, tmp_path):
         assert {r.word: r.freq for r in files.read_frequencies(spark, str(tmp_path)).collect()} == {"the": 2999, "a,b": 2999, "zoë": 7}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_entry_files(spark, tmp_path):
+    schema = "index int, text string, xml array<string>, images array<string>, paragraphs array<string>, ssml array<string>, metaTags map<string, string>"
+    rows = [(3, "Chapter é", ["a.xhtml"], None, ["one", "two"], ["<speak/>"], {"TRACK": "1", "TITLE": "Chapter/é"}), (4, None, None, None, None, None, {"TRACK": "2"})]
+    formats.write_files(files.entry_files(spark.createDataFrame(rows, schema), F.lit("Ann/Album")), str(tmp_path))
+    at = tmp_path / "Ann" / "Album"
+    assert sorted(os.listdir(at)) == ["1 - Chapter-é.fulldata.json", "1 - Chapter-é.txt", "2 - .fulldata.json", "2 - .txt"]
+    want = {"index": 3, "text": "Chapter é", "xml": ["a.xhtml"], "paragraphs": [{"text": "one"}, {"text": "two"}], "ssml": ["<speak/>"], "metaTags": {"TRACK": "1", "TITLE": "Chapter/é"}}
+    assert (at / "1 - Chapter-é.fulldata.json").read_text() == json.dumps(want, indent=2, sort_keys=True)
+    assert (at / "1 - Chapter-é.txt").read_text() == "one\n\ntwo\n\n" and (at / "2 - .txt").read_text() == ""
