@@ -153,18 +153,21 @@ def album_tags(metadata: DataFrame, rules: DataFrame) -> DataFrame:
 
     A test holds if some occurrence of the element has that value; the data is taken from the first such occurrence of the
     last test, or from the first occurrence that has the field. The last rule that holds gives the value, null or not.
+    Only the rules, a handful, are broadcast; what they meet is grouped by book, and no two tables of the books' size are joined.
     """
-    books = metadata.select("book_id").distinct()
-    tries = books.crossJoin(F.broadcast(rules))  # rules are a handful, each tried once for a book
-    tests = tries.select("book_id", "tag", "rule_no", F.posexplode("tests").alias("test_no", "test")).select("book_id", "tag", "rule_no", "test_no", F.col("test.element").alias("element"), F.col("test.attr").alias("attr"), F.col("test.value").alias("want"))
-    meets = tests.join(metadata, ["book_id", "element"], "left").groupBy("book_id", "tag", "rule_no", "test_no").agg(
-        F.min_by(F.col("attrs"), F.when(F.element_at("attrs", F.col("attr")) == F.col("want"), F.col("seq"))).alias("at"),
-        F.coalesce(F.bool_or(F.element_at("attrs", F.col("attr")) == F.col("want")), F.lit(False)).alias("holds"),
-    )
-    passed = meets.groupBy("book_id", "tag", "rule_no").agg(F.bool_and("holds").alias("ok"), F.max_by("at", "test_no").alias("at"))
-    plain = tries.where("element is not null").join(metadata, ["book_id", "element"], "left").groupBy("book_id", "tag", "rule_no").agg(F.min_by(F.element_at("attrs", F.col("field")), F.when(F.element_at("attrs", F.col("field")).isNotNull(), F.col("seq"))).alias("general"))
-    tried = tries.join(passed, ["book_id", "tag", "rule_no"], "left").join(plain, ["book_id", "tag", "rule_no"], "left").where(F.coalesce("ok", F.lit(True)))
-    value = F.when(F.size("tests") > 0, F.element_at("at", F.col("field"))).otherwise(F.col("general"))
+    number, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    tests = rules.select("tag", "rule_no", "field", F.size("tests").alias("all"), F.posexplode("tests").alias("test_no", "test"))
+    asked = tests.select("tag", "rule_no", "test_no", F.col("test.element").alias("element"), F.col("test.attr").alias("attr"), F.col("test.value").alias("want"), F.when(F.col("test_no") == F.col("all") - 1, F.col("field")).alias("field"))
+    free = rules.where("size(tests) = 0").select("tag", "rule_no", F.lit(0).alias("test_no"), "element", text.alias("attr"), text.alias("want"), "field")
+    found = F.element_at("attrs", F.col("field"))
+    holds = F.when(F.col("attr").isNull(), found.isNotNull()).otherwise(F.element_at("attrs", F.col("attr")) == F.col("want"))
+    met = metadata.join(F.broadcast(asked.unionByName(free)), "element").where(holds).select("book_id", "tag", "rule_no", "test_no", "seq", found.alias("value"))
+    # Rules without a test hold for each book; their rows have no place, so that any found value goes before.
+    always = metadata.select("book_id").distinct().crossJoin(F.broadcast(free)).select("book_id", "tag", "rule_no", "test_no", number.alias("seq"), text.alias("value"))
+    met = met.unionByName(always).groupBy("book_id", "tag", "rule_no", "test_no").agg(F.min_by("value", "seq").alias("value"))
+    passed = met.groupBy("book_id", "tag", "rule_no").agg(F.count("*").alias("met"), F.max_by("value", "test_no").alias("value"))
+    tried = passed.join(F.broadcast(rules.select("tag", "rule_no", "processing", F.greatest(F.size("tests"), F.lit(1)).alias("all"))), ["tag", "rule_no"]).where("met = all")
+    value = F.col("value")
     done = F.when(F.col("processing") == "read_datetime", read_date(value)).when(F.col("processing") == "raw", value)
     tried = tried.where(F.col("processing").isin("raw", "read_datetime") | value.isNull())
     last = tried.groupBy("book_id", "tag").agg(F.max_by(F.struct(done.alias("value")), "rule_no").alias("x"))

@@ -70,6 +70,23 @@ def test_book_end_to_end(spark, shelf):
     assert tags == {"ALBUM": " B", "ALBUMSORT": " B", "ARTIST": "Bob", "ALBUMARTIST": "Bob", "PUBLISHER": None, "DATE": "2012-01-02"}
 
 
+def test_album_tags_join_only_rules(spark):
+    meta = [("a", "t", 0, {"text": "x"}), ("a", "c", 2, {"text": "late", "role": "aut"}), ("a", "c", 1, {"text": "first", "role": "aut", "id": "1"}), ("a", "c", 3, {"id": "2"}), ("b", "c", 0, {"id": "2", "text": "y"})]
+    meta = spark.createDataFrame(meta, "book_id string, element string, seq int, attrs map<string, string>")
+    rules = {
+        "T": [{"data": {"t.text": "raw"}}], "C": [{"validate": {"c.role": "aut"}, "data": {"pop.text": "raw"}}, {"validate": {"c.role": "aut", "c.id": "2"}, "data": {"pop.text": "raw"}}],
+        "D": [{"validate": {"c.id": "2"}, "data": {"pop.text": "raw"}}, {"data": {"c.role": "raw"}}, {"data": {"t.text": "other"}}], "N": [{"validate": {"c.role": "edt"}, "data": {"pop.text": "raw"}}],
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tags = book.album_tags(meta, book.rules_frame(spark, rules))
+        assert "SortMergeJoin" not in tags._jdf.queryExecution().sparkPlan().toString()
+        assert {(r.book_id, r.tag): r.value for r in tags.collect()} == {("a", "T"): "x", ("a", "C"): None, ("a", "D"): "aut", ("b", "T"): None, ("b", "D"): None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_missing_page_is_an_error(spark):
     spine = spark.createDataFrame([("b", 0, "x")], "book_id string, spine_pos int, idref string")
     items = spark.createDataFrame([("b", "x", 0, "gone")], "book_id string, item_id string, seq int, href string")
