@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
 from ..functions.text import parse_time, replace_by_template, replace_word, show_time
 from .sequence import SPAN, as_of
 
@@ -176,27 +177,45 @@ def trimmed_readings(frames: DataFrame, halves: DataFrame, track: str | list[str
 def pieces(cuts: DataFrame, lengths: DataFrame, track: str, order: str) -> DataFrame:
     """The edited audio as pieces (track, src, lo, hi, new_start), see fold_pieces.
 
-    Where a track's cuts stand one behind the other, as corrected lines do, running sums give the pieces; only tracks with cuts that
-    overlap, run backward or reach beyond the audio are folded, cut by cut.
+    A cut leaves what stands behind all places of the cuts so far as it was, only moved. So where no later cut reaches back before
+    those places, the audio is parted, and each part has its own cuts and a running sum as its begin. A part of one cut, as of
+    corrected lines, gives its pieces at once, the track's last one beyond the audio's end too; only parts of several cuts, that
+    overlap or run backward, are folded. Behind an open cut or one beyond the audio there is no parting, nor in a track with a place
+    before its begin.
     """
     rows = cuts.select(track, F.col(order).cast("long").alias("o"), *[F.col(c).cast("long").alias(c) for c in ("start_splice", "end_splice", "new_length")]).join(lengths, track)
-    w = Window.partitionBy(track).orderBy("o")
-    added = F.col("new_length") - (F.col("end_splice") - F.col("start_splice"))
+    start, end, length, delta = (F.col(c) for c in ("start_splice", "end_splice", "length", "delta"))
+    whole = Window.partitionBy(track)
+    w, before = whole.orderBy("o"), _before(track, ["o"])
+    wild = end.isNull() | (start > length) | (end > length)
     rows = rows.withColumns({
-        "no": F.row_number().over(w), "prev": F.coalesce(F.lag("end_splice").over(w), F.lit(0).cast("long")), "open": F.lag("end_splice").over(w).isNull(),
-        "delta": F.coalesce(F.sum(added).over(_before(track, ["o"])), F.lit(0)), "last": F.lead("o").over(w).isNull(),
+        "delta": F.coalesce(F.sum(F.col("new_length") - (end - start)).over(before), F.lit(0).cast("long")),
+        "behind": F.coalesce(F.max(F.greatest(start, end)).over(before), F.lit(0).cast("long")),
+        "lost": F.coalesce(F.bool_or(wild).over(before), F.lit(False)), "first": F.lag("o").over(w).isNull(),
     })
-    start, end, length = (F.col(c) for c in ("start_splice", "end_splice", "length"))
-    odd = (start < F.col("prev")) | (start > length) | F.coalesce((end < start) | (end > length), F.lit(False)) | ((F.col("no") > 1) & F.col("open"))
-    folded = rows.where(odd).select(track).distinct()
-    plain = rows.join(folded, track, "left_anti")
+    place = F.least(start, end) + delta
+    rows = rows.withColumns({"reach": F.min(place).over(whole.orderBy(F.desc("o")).rowsBetween(Window.unboundedPreceding, 0)), "least": F.min(place).over(whole)})
+    parted = F.col("first") | (~F.col("lost") & (F.col("least") >= 0) & (F.col("reach") >= F.col("behind") + delta))
+    rows = rows.withColumn("part", F.sum(F.when(parted, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(track, "part")
+    rows = rows.withColumns({
+        "many": F.count("*").over(own), "from": F.min("behind").over(own), "base": F.first("delta").over(own.orderBy("o")) + F.min("behind").over(own),
+        "till": F.when(F.col("part") == F.max("part").over(whole), length).otherwise(F.max(F.greatest("behind", start, end)).over(own)),
+    })
+    rows = stored(rows.select(track, "o", "start_splice", "end_splice", "new_length", "length", "delta", "least", "part", "many", "from", "base", "till"), "cuts")
+    alone = (F.col("many") == 1) & (F.col("least") >= 0)
     one = lambda src, lo, hi, at: F.struct(src.cast("long").alias("src"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), at.cast("long").alias("new_start"))
-    none, delta = F.lit(None), F.col("delta")
-    own = [one(none, F.col("prev"), start, F.col("prev") + delta), one(F.col("o"), F.lit(0), F.col("new_length"), start + delta)]
-    tail = one(none, end, length, end + delta + added)
-    made = plain.select(track, F.explode(F.when(F.col("last") & end.isNotNull(), F.array(*own, tail)).otherwise(F.array(*own))).alias("x")).select(track, "x.*")
+    none, at = F.lit(None), F.least(start, length)
+    made = [one(none, F.col("from"), at, F.col("base")), one(F.col("o"), F.lit(0), F.col("new_length"), at + delta)]
+    tail = one(none, F.least(end, length), F.col("till"), at + delta + F.col("new_length"))
+    plain = rows.where(alone).select(track, F.explode(F.when(end.isNotNull(), F.array(*made, tail)).otherwise(F.array(*made))).alias("x")).select(track, "x.*")
     uncut = lengths.join(cuts.select(track).distinct(), track, "left_anti").select(track, one(none, F.lit(0), length, F.lit(0)).alias("x")).select(track, "x.*")
-    return made.unionByName(uncut).unionByName(fold_pieces(cuts.join(folded, track, "left_semi"), lengths.join(folded, track, "left_semi"), track, order))
+    part = F.struct(F.col(track).alias("track"), "part", "from", "base")
+    shared = rows.where(~F.coalesce(alone, F.lit(False))).select(part.alias("part"), "o", *[(c - F.col("from")).alias(n) for c, n in ((start, "start_splice"), (end, "end_splice"))], "new_length", (F.col("till") - F.col("from")).alias("length"))
+    folded = fold_pieces(shared.drop("length"), shared.select("part", "length").distinct(), "part", "o")
+    moved = F.when(F.col("src").isNull(), F.col("part.from")).otherwise(0)
+    folded = folded.select(F.col("part.track").alias(track), "src", (F.col("lo") + moved).alias("lo"), (F.col("hi") + moved).alias("hi"), (F.col("new_start") + F.col("part.base")).alias("new_start"))
+    return plain.unionByName(uncut).unionByName(folded)
 
 
 def fold_pieces(cuts: DataFrame, lengths: DataFrame, track: str, order: str) -> DataFrame:
@@ -205,34 +224,33 @@ def fold_pieces(cuts: DataFrame, lengths: DataFrame, track: str, order: str) ->
     cuts (track, order, start_splice, end_splice, new_length) apply in order, each to what the ones before left, as places of the
     original moved by what those have added: the frames up to the start, the cut's reading, the frames from the end on. Cuts may
     overlap, run backward or reach beyond the audio; places before its begin count from its end. src is the cut's order, null for
-    the original (lengths: track, length). One array of cuts for a track; the frames aren't touched.
+    the original (lengths: track, length). One array of cuts for a track, and a pass over the pieces for each; the frames aren't touched.
     """
-    piece = "struct<src: bigint, lo: bigint, hi: bigint>"
+    kind = "array<struct<src: bigint, lo: bigint, hi: bigint, at: bigint>>"
+    one = lambda src, lo, hi, at: F.struct(src.cast("long").alias("src"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), at.cast("long").alias("at"))
     size = lambda p: p["hi"] - p["lo"]
-    one = lambda src, lo, hi: F.struct(src.cast("long").alias("src"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-
-    def part(ps: Column, start: Column, end: Column) -> Column:
-        def step(a: Column, p: Column) -> Column:
-            lo, hi = F.greatest(start - a["at"], F.lit(0)), F.least(end - a["at"], size(p))
-            more = F.when(hi > lo, F.array(one(p["src"], p["lo"] + lo, p["lo"] + hi))).otherwise(F.array().cast(f"array<{piece}>"))
-            return F.struct((a["at"] + size(p)).alias("at"), F.concat(a["out"], more).alias("out"))
 
-        return F.aggregate(ps, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{piece}>").alias("out")), step)["out"]
+    def part(ps: Column, start: Column, end: Column, to: Column) -> Column:
+        there = F.filter(ps, lambda p: (size(p) > 0) & (p["at"] < end) & (p["at"] + size(p) > start) & (end > start))
+        return F.transform(there, lambda p: one(p["src"], p["lo"] + F.greatest(start - p["at"], F.lit(0)), p["lo"] + F.least(end - p["at"], size(p)), F.greatest(p["at"], start) - start + to))
 
     def cut(a: Column, c: Column) -> Column:
-        total = F.aggregate(a["ps"], F.lit(0).cast("long"), lambda n, p: n + size(p))
-        place = lambda x: F.when(x < 0, F.greatest(total + x, F.lit(0))).otherwise(F.least(x, total))
-        start, end = c["start_splice"] + a["delta"], c["end_splice"] + a["delta"]
-        tail = F.when(end.isNull(), F.array().cast(f"array<{piece}>")).otherwise(part(a["ps"], place(end), total))
-        ps = F.concat(part(a["ps"], F.lit(0).cast("long"), place(start)), F.array(one(c["o"], F.lit(0), c["new_length"])), tail)
-        return F.struct(ps.alias("ps"), (a["delta"] + F.coalesce(c["new_length"] - (end - start), F.lit(0))).cast("long").alias("delta"))
+        total, nothing = a["total"], F.lit(0).cast("long")
+        place = lambda x: F.when(x < 0, F.greatest(total + x, nothing)).otherwise(F.least(x, total))
+        start, end = place(c["start_splice"] + a["delta"]), place(c["end_splice"] + a["delta"])
+        open_end = c["end_splice"].isNull()
+        tail = F.when(open_end, F.array().cast(kind)).otherwise(part(a["ps"], end, total, start + c["new_length"]))
+        ps = F.concat(part(a["ps"], nothing, start, nothing), F.array(one(c["o"], nothing, c["new_length"], start)), tail)
+        added = c["new_length"] - (c["end_splice"] - c["start_splice"])
+        rest = F.when(open_end, nothing).otherwise(total - end)
+        return F.struct(ps.cast(kind).alias("ps"), (a["delta"] + F.coalesce(added, nothing)).cast("long").alias("delta"), (start + c["new_length"] + rest).cast("long").alias("total"))
 
     own = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), *[F.col(c).cast("long").alias(c) for c in ("start_splice", "end_splice", "new_length")])))
     rows = lengths.join(cuts.groupBy(track).agg(own.alias("cuts")), track, "left")
-    start = F.struct(F.array(one(F.lit(None), F.lit(0), F.col("length"))).alias("ps"), F.lit(0).cast("long").alias("delta"))
-    ps = F.when(F.col("cuts").isNull(), start["ps"]).otherwise(F.aggregate("cuts", start, cut)["ps"])
-    placed = F.aggregate(ps, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<p: {piece}, at: bigint>>").alias("out")), lambda a, p: F.struct((a["at"] + size(p)).alias("at"), F.concat(a["out"], F.array(F.struct(p.alias("p"), a["at"].alias("at")))).alias("out")))
-    return rows.select(track, F.explode(placed["out"]).alias("x")).select(track, "x.p.src", "x.p.lo", "x.p.hi", F.col("x.at").alias("new_start"))
+    uncut = F.array(one(F.lit(None), F.lit(0), F.col("length"), F.lit(0))).cast(kind)
+    start = F.struct(uncut.alias("ps"), F.lit(0).cast("long").alias("delta"), F.col("length").cast("long").alias("total"))
+    ps = F.when(F.col("cuts").isNull(), uncut).otherwise(F.aggregate("cuts", start, cut)["ps"])
+    return rows.select(track, F.explode(ps).alias("x")).select(track, "x.src", "x.lo", "x.hi", F.col("x.at").alias("new_start"))
 
 
 def edited_frames(frames: DataFrame, cuts: DataFrame, readings: DataFrame, track: str, order: str, loud: float = LOUD, span: int = 1024) -> DataFrame:

@@ -242,3 +242,38 @@ def test_edited_frames_of_overlapping_cuts(spark):
         spark.createDataFrame(readings, "track int, o int, ms int, dbfs double"), "track", "o", span=16,
     )
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_cuts_of_a_long_track(spark):
+    """4,000 cuts, some overlapping or backward, the last ones beyond the audio's end: no fold over the whole track."""
+    rng = random.Random(5)
+    n, tracks = 40_000, (0, 1)
+    cuts, pieces = [], {}
+    for t in tracks:
+        own = []
+        for k in range(4000):
+            start = 10 * k + 2
+            end = start + rng.randrange(7)
+            if t and k % 50 == 7:
+                start, end = rng.choice([(start, start - 4), (start - 9, end), (start - 5, start - 5)])
+            own.append((start, end, rng.randrange(9)))
+        own += [(n - 3, n + 4, 2), (n + 7, None if t else n + 9, 3), (n + 1, n + 2, 1)][: 3 if t else 1]
+        cuts += [(t, k, *c) for k, c in enumerate(own)]
+        audio, delta = [(None, i) for i in range(n)], 0
+        for k, (start, end, size) in enumerate(own):
+            place = lambda x, m=len(audio): max(m + x, 0) if x < 0 else min(x, m)
+            audio[place(start + delta) :] = [(k, i) for i in range(size)] + (audio[place(end + delta) :] if end is not None else [])
+            delta += 0 if end is None else size - (end - start)
+        pieces[t] = audio
+    cuts = spark.createDataFrame(cuts, "track int, o int, start_splice int, end_splice int, new_length int")
+    began = time.time()
+    got = lyrics.pieces(cuts, spark.createDataFrame([(t, n) for t in (*tracks, 2)], "track int, length int"), "track", "o").where("hi > lo").collect()
+    assert time.time() - began < 60
+    for t in tracks:
+        audio = [None] * len(pieces[t])
+        for r in got:
+            if r.track == t:
+                assert all(x is None for x in audio[r.new_start : r.new_start + r.hi - r.lo])
+                audio[r.new_start : r.new_start + r.hi - r.lo] = [(r.src, i) for i in range(r.lo, r.hi)]
+        assert audio == pieces[t]
+    assert [tuple(r) for r in got if r.track == 2] == [(2, None, 0, n, 0)]
