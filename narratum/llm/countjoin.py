@@ -232,7 +232,7 @@ def links(told: DataFrame, texts: DataFrame, block: int | None = None) -> DataFr
     roots, tried = components(edges), stars
     for most in (near.PARTNERS, None):
         placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("root", "key").alias("root"))
-        pairs = near.cells(placed, told, block or near.BLOCK, ("n", "counts")).mapInArrow(lambda batches, most=most: _search(batches, most), "a long, b long").distinct()
+        pairs = near.cells(placed, told, block or near.BLOCK, ("n", "counts"), ()).mapInArrow(lambda batches, most=most: _search(batches, most), "a long, b long").distinct()
         new = stored(pairs.join(tried, ["a", "b"], "left_anti"), "possible")
         more = check(new)
         tried = tried.union(new)

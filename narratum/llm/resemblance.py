@@ -41,6 +41,8 @@ PARTNERS = 8
 WIDE, FEW = 46, 10
 #: Counts of a sketch, by which most pairs that can't be similar go before their texts are read (cost only).
 WIDTH = 256
+#: First shingles of a text's order that its rows carry: a pair that shares one of them goes on in that bucket, not in each later one too (cost only).
+LEAD = 8
 
 def key_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
@@ -94,9 +96,9 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
 
 
 def described(texts: DataFrame, size: int) -> DataFrame:
-    """(key, n, f1, f2, sketch, hs) for each distinct key of texts (key, text), stored.
+    """(key, n, f1, f2, sketch, lead, hs) for each distinct key of texts (key, text), stored.
 
-    n is the number of shingles, f1 and f2 the fingerprint, hs the prefix, and sketch how many shingles have each of WIDTH
+    n is the number of shingles, f1 and f2 the fingerprint, hs the prefix, lead its first LEAD hashes, and sketch how many shingles have each of WIDTH
     remainders (empty if one has over 255).
     """
     last = texts.sparkSession.sparkContext.broadcast(common(texts, size))  # bounded by LISTED
@@ -104,7 +106,7 @@ def described(texts: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = last.value
         for part, rows in slices(batches):
-            ns, prints, sketches, hs, ends = [], [], [], [], [0]
+            ns, prints, sketches, leads, hs, ends = [], [], [], [], [], [0]
             for text in rows:
                 h = hashed(text, size)
                 ns.append(len(h))
@@ -115,25 +117,29 @@ def described(texts: DataFrame, size: int) -> DataFrame:
                     there = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
                     h = np.concatenate([h[~there], h[there]])
                 hs.append(h[: len(h) - -(-MOST * len(h) // OF) + 1])
+                leads.append(hs[-1][:LEAD].astype("<u8").tobytes())
                 ends.append(ends[-1] + len(hs[-1]))
             both = np.array(prints, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hs).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sketches, pa.binary()), lists], ["key", "n", "f1", "f2", "sketch", "hs"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sketches, pa.binary()), pa.array(leads, pa.binary()), lists], ["key", "n", "f1", "f2", "sketch", "lead", "hs"])
 
-    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, f1 long, f2 long, sketch binary, hs array<long>").dropDuplicates(["key"]), "described")
+    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, f1 long, f2 long, sketch binary, lead binary, hs array<long>").dropDuplicates(["key"]), "described")
 
 
 def buckets(told: DataFrame) -> DataFrame:
-    """(h, key, lo): the members of each bucket of two or more and the smallest of them, stored; of equal buckets one."""
-    places = told.select("key", F.explode("hs").alias("h"))
+    """(h, key, lo, pos): the members of each bucket of two or more, the smallest of them and h's place in the member's order, stored.
+
+    Of equal buckets the one whose shingle comes first in the order stays, so that places are the least ones.
+    """
+    places = told.select("key", F.posexplode("hs").alias("pos", "h"))
     marks = {"x": F.bit_xor(F.xxhash64("key")), "y": F.bit_xor(F.xxhash64(F.lit(1), "key"))}
-    sets = places.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("many"), *[m.alias(k) for k, m in marks.items()]).where("lo < hi")
-    once = stored(sets.groupBy("lo", "hi", "many", "x", "y").agg(F.min("h").alias("h")).select("h", "lo"), "buckets")
-    return stored(places.join(once, "h").select("h", "key", "lo"), "members")
+    sets = places.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("many"), F.min_by("pos", "key").alias("at"), *[m.alias(k) for k, m in marks.items()]).where("lo < hi")
+    once = stored(sets.groupBy("lo", "hi", "many", "x", "y").agg(F.min_by("h", "at").alias("h")).select("h", "lo"), "buckets")
+    return stored(places.join(once, "h").select("h", "key", "lo", "pos"), "members")
 
 
-def cells(members: DataFrame, told: DataFrame, block: int, carry: tuple[str, ...] = ("n", "f1", "f2", "sketch")) -> DataFrame:
-    """(h, kind, x, y, top, root, key, carried columns of told): members (h, key, root) of buckets with several roots, dealt over cells.
+def cells(members: DataFrame, told: DataFrame, block: int, carry: tuple[str, ...] = ("n", "f1", "f2", "sketch", "lead"), own: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """(h, kind, x, y, top, root, key, own columns, carried columns of told): members (h, key, root, own columns) of buckets with several roots, dealt over cells.
 
     kind 0 is a whole bucket; 1 has a block of the most frequent root (top) and one of other members; 2 two blocks of other members.
     """
@@ -144,12 +150,12 @@ def cells(members: DataFrame, told: DataFrame, block: int, carry: tuple[str, ...
     rows = rows.withColumns({"major": major, "rest": rest, "own": F.pmod(F.xxhash64("key"), F.when(F.col("top"), major).otherwise(rest)).cast("int")})
     cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.cast("int").alias("x"), y.cast("int").alias("y"))
     each = lambda many, make: F.transform(F.sequence(F.lit(0), F.col(many) - 1), make)
-    own = F.col("own")
-    others = F.concat(each("major", lambda k: cell(1, k, own)), each("rest", lambda k: cell(2, F.least(k, own), F.greatest(k, own))))
-    to = F.when(F.col("total") <= block, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("top"), each("rest", lambda k: cell(1, own, k))).otherwise(others)
-    rows = rows.join(told.select("key", *carry), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", *carry)
+    mine = F.col("own")
+    others = F.concat(each("major", lambda k: cell(1, k, mine)), each("rest", lambda k: cell(2, F.least(k, mine), F.greatest(k, mine))))
+    to = F.when(F.col("total") <= block, F.array(cell(0, F.lit(0), F.lit(0)))).when(F.col("top"), each("rest", lambda k: cell(1, mine, k))).otherwise(others)
+    rows = rows.join(told.select("key", *carry), "key").select("h", F.explode(to).alias("to"), "top", "root", "key", *own, *carry)
     at = ["h", "kind", "x", "y"]
-    return rows.select("h", "to.*", "top", "root", "key", *carry).repartition(*at).sortWithinPartitions(*at)
+    return rows.select("h", "to.*", "top", "root", "key", *own, *carry).repartition(*at).sortWithinPartitions(*at)
 
 
 def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -157,6 +163,25 @@ def sized(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return OF * np.minimum(a, b) >= MOST * np.maximum(a, b)
 
 
+def ahead(n: np.ndarray, pos: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles can be similar enough if the first one in common has these places in their orders.
+
+    None is shared before those places. A similar pair is let through in the bucket of its first common shingle.
+    """
+    both = np.minimum(n - pos, m - at)
+    return OF * both >= MOST * (n + m - both)
+
+
+def leads(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(8 * LEAD, b"\0") for x in rows), "<u8").reshape(-1, LEAD)
+
+
+def met(a: np.ndarray, pos: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which pairs share one of their leads before these places, so that an earlier bucket has them too."""
+    k = np.arange(LEAD)
+    return ((a[:, :, None] == b[:, None, :]) & (k < pos[:, None])[:, :, None] & (k < at[:, None])[:, None, :]).any(axis=(1, 2))
+
+
 def runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
     """The columns of each run of rows that are equal in the first `width` columns."""
     left: list[list[np.ndarray]] = []
@@ -199,7 +224,9 @@ def leading(rows: np.ndarray, most: int | None) -> np.ndarray:
 
 
 def _across(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs (a < b) of a cell's members in different components whose sizes, fingerprints and sketches allow a link.
+    """Pairs (a < b) of a cell's members in different components whose sizes, places, fingerprints and sketches allow a link.
+
+    A pair is handed on in the bucket of its first common shingle, and of later ones only where its leads don't show that.
 
     most: of a member's partners further on in the cell, so many at most.
     """
@@ -217,14 +244,17 @@ def _across(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.
         near = near[leading(row[near], most)]
         return pairs(a[near], b[near])
 
-    for _, kind, _, _, top, root, key, n, f1, f2, sketch in runs(batches, 4):
+    for _, kind, _, _, top, root, key, pos, n, f1, f2, sketch, lead in runs(batches, 4):
+        first = leads(lead.tolist())
         f, counts = np.stack([f1, f2], axis=1).view(np.uint64), counted(sketch.tolist())
         if len(key) <= TINY:
             i, j = np.triu_indices(len(key), 1)
-            meet = (root[i] != root[j]) & sized(n[i], n[j])
+            meet = (root[i] != root[j]) & sized(n[i], n[j]) & ahead(n[i], pos[i], n[j], pos[j])
             if kind[0] == 1:
                 meet &= top[i] != top[j]
             i, j = i[meet], j[meet]
+            fresh = ~met(first[i], pos[i], first[j], pos[j])
+            i, j = i[fresh], j[fresh]
             if len(i):
                 held.append([key[i], key[j], f[i] ^ f[j], np.minimum(n[i], n[j]), counts[i], counts[j], before + i])
             waiting, before = waiting + len(i), before + len(key)
@@ -237,16 +267,17 @@ def _across(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.
         for s in range(0, len(rows) if len(cols) else 0, 256):
             r = rows[s : s + 256]
             near = marked(within(f[r], across, WIDE), len(cols)) | (n[r] < FEW)[:, None] | (n[cols] < FEW)[None, :]
-            near &= (root[r][:, None] != root[cols][None, :]) & sized(n[r][:, None], n[cols][None, :])
+            near &= (root[r][:, None] != root[cols][None, :]) & ahead(n[r][:, None], pos[r][:, None], n[cols][None, :], pos[cols][None, :])
             if kind[0] != 1:
                 near &= r[:, None] < cols[None, :]
             i, j = np.nonzero(near)
             i, j = r[i], cols[j]
-            good = np.concatenate([np.zeros(0, bool), *[room(counts[i[at : at + PAIRS]], counts[j[at : at + PAIRS]]) for at in range(0, len(i), PAIRS)]])
+            parts = [(i[at : at + PAIRS], j[at : at + PAIRS]) for at in range(0, len(i), PAIRS)]
+            good = np.concatenate([np.zeros(0, bool), *[~met(first[a], pos[a], first[b], pos[b]) & room(counts[a], counts[b]) for a, b in parts]])
             i, j = i[good], j[good]
-            first = leading(i, most)
-            if len(first):
-                yield pairs(key[i[first]], key[j[first]])
+            kept = leading(i, most)
+            if len(kept):
+                yield pairs(key[i[kept]], key[j[kept]])
     if held:
         yield lanes()
 
@@ -292,7 +323,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, block: int | None = None) -> Da
     roots = components(edges)
     tried = stars
     for most in (PARTNERS, None):
-        placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", F.coalesce("root", "key").alias("root"))
+        placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "pos", F.coalesce("root", "key").alias("root"))
         pairs = cells(placed, told, block or BLOCK).mapInArrow(lambda batches, most=most: _across(batches, most), "a long, b long").distinct()
         new = stored(pairs.join(tried, ["a", "b"], "left_anti"), "possible")
         more = verified(new, texts, size)

@@ -150,3 +150,26 @@ def test_keep_one_beside_columns_of_any_name(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "q w e r t y u"), (1, "a b c d e f g")]
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_possible_pairs_are_handed_on_once(spark):
+    """Texts that share most of their buckets without being similar, and similar ones, in small and large cells."""
+    rng = random.Random(21)
+    rows = []
+    for group in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        for changes in (0, 5, 6, 1):
+            at = rng.sample(range(len(words)), changes)
+            rows.append((" ".join(f"{w}x{group}{changes}" if k in at else w for k, w in enumerate(words)),))
+    texts = spark.createDataFrame(rows, "text string").select(resemblance.key_of(resemblance.F.col("text")).alias("key"), "text")
+    told = resemblance.described(texts, resemblance.SHINGLE)
+    members = resemblance.buckets(told).withColumn("root", resemblance.F.col("key"))
+    sets = {r.key: resemblance.shingles(r.text, resemblance.SHINGLE) for r in texts.collect()}
+    similar = {(a, b) for a in sets for b in sets if a < b and resemblance.alike(sets[a], sets[b])}
+    for tiny in (64, 0):
+        def across(batches, tiny=tiny):
+            resemblance.TINY = tiny
+            yield from resemblance._across(batches, None)
+
+        made = [(r.a, r.b) for r in resemblance.cells(members, told, resemblance.BLOCK).mapInArrow(across, "a long, b long").collect()]
+        assert similar <= set(made) and len(similar) >= 30 and len(made) <= 1.1 * len(set(made))
