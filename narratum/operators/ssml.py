@@ -112,6 +112,22 @@ def render(pieces: DataFrame, book: str | None, order: list[str], mark: bool = T
     return out.withColumn("ssml", F.when(ok, F.col("ssml")).otherwise(F.raise_error(F.lit(f"a portion is over {limit} characters")).cast("string"))).withColumn("ssml_length", F.length("ssml"))
 
 
+def measured(pieces: DataFrame, book: str | None, order: list[str], limit: int = QUERY_LIMIT) -> DataFrame:
+    """render without texts: pieces with char_length get mark_no and ssml_length, so that numbers and packing move no text."""
+    out = sequence.ranked(pieces, [book] if book else [], order, "mark_no")
+    n = F.col("char_length") + F.length(F.concat(F.lit('<p></p><mark name="p'), F.col("mark_no").cast("string"), F.lit('"/>')))
+    return out.withColumn("ssml_length", F.when(n + FRAME <= limit, n).otherwise(F.raise_error(F.lit(f"a portion is over {limit} characters")).cast("int")))
+
+
+def written(pieces: DataFrame, packed: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """(key, place, query_no, ssml): the texts of pieces (key, order, char_length, text) meet their numbers in packed (key, order,
+    char_length, mark_no, place, query_no), track by track; texts are shuffled once."""
+    lists = lambda df, *own: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*order, "char_length", *own))).alias(own[0] + "s"))
+    both = lists(pieces, "text").join(lists(packed, "place", "mark_no", "query_no"), key)
+    rows = both.select(*key, F.explode(F.arrays_zip("texts", "places")).alias("x")).select(*key, F.col("x.texts.text").alias("text"), "x.places.place", "x.places.mark_no", "x.places.query_no")
+    return rows.select(*key, "place", "query_no", F.concat(F.lit("<p>"), F.col("text"), F.lit('</p><mark name="p'), F.col("mark_no").cast("string"), F.lit('"/>')).alias("ssml"))
+
+
 def pack_jumps(portions: DataFrame, key: list[str], order: list[str], length: str = "ssml_length", limit: int = QUERY_LIMIT, frame: int = FRAME) -> DataFrame:
     """pack for tracks of any length, by prefix sums and doubled jumps.
 
@@ -168,7 +184,7 @@ def requests(packed: DataFrame, key: list[str], order: list[str], text: str = "s
 
 
 def with_empty_tracks(queries: DataFrame, tracks: DataFrame, key: list[str]) -> DataFrame:
-    """A track without any portion still has one empty request."""
+    """A track without any portion still has one empty request; requests of other tracks stay."""
     all_tracks = tracks.select(*key).distinct()
-    joined = all_tracks.join(queries, key, "left")
+    joined = all_tracks.join(queries, key, "full_outer")
     return joined.select(*key, F.coalesce("query_no", F.lit(0)).alias("query_no"), F.coalesce("query", F.lit("<speak></speak>")).alias("query"))

@@ -94,9 +94,11 @@ e as (select doc_id, 0 as q, '<speak></speak>' as t from q group by 1 having min
 select doc_id, cast(count(*) as bigint) as num_queries, cast(sum(length(t)) as bigint) as chars, round(sum(length(t)) / 1e6 * 16.0, 9) as usd, md5(string_agg(t, '' order by q)) as queries_md5 from (select * from q union all select * from e) group by 1""")
 def speech_requests(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: documents as tracks, line by line to size-bounded requests, with their number, length and price."""
-    portions = ssml.render(stored(_pieces(spark, d, ssml.PARAGRAPH_LIMIT), "pieces"), "source", ["doc_id", "line_no", "piece_no"])
-    packed = ssml.pack(portions.select("doc_id", "line_no", "piece_no", "ssml", "ssml_length"), ["doc_id"], ["line_no", "piece_no"])
-    made = ssml.with_empty_tracks(ssml.requests(packed, ["doc_id"], ["line_no", "piece_no"]), table(spark, d, "documents"), ["doc_id"])
+    track, order = ["doc_id"], ["line_no", "piece_no"]
+    pieces = stored(_pieces(spark, d, ssml.PARAGRAPH_LIMIT), "pieces")
+    sizes = ssml.measured(pieces.select("source", *track, *order, "char_length"), "source", [*track, *order])
+    packed = ssml.pack(sizes.select(*track, *order, "char_length", "mark_no", "ssml_length"), track, order)
+    made = ssml.with_empty_tracks(ssml.requests(ssml.written(pieces, packed, track, order), track, ["place"]), table(spark, d, "documents"), track)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("query_no", "query"))), lambda q: q["query"]), "")
     chars = F.sum(F.length("query"))
     return made.groupBy("doc_id").agg(F.count("*").alias("num_queries"), chars.alias("chars"), F.round(chars / F.lit(1e6) * 16.0, 9).alias("usd"), F.md5(text.cast("binary")).alias("queries_md5"))

@@ -69,6 +69,20 @@ def test_packing_limits(spark):
         ssml.render(spark.createDataFrame([("x" * 2840, 1)], "text string, pos int"), None, ["pos"]).collect()
 
 
+def test_texts_meet_their_numbers(spark):
+    sizes = {("b", 1): [900, 900, 1200, 1800], ("b", 2): [5], ("c", 3): [1890, 1890], ("b", 4): []}
+    rows = [(book, track, k // 2, k % 2, f"{track}{k}".ljust(n, "x"), n) for (book, track), own in sizes.items() for k, n in enumerate(own)]
+    pieces = spark.createDataFrame(rows, "book string, track int, line int, piece int, text string, char_length int")
+    key, order = ["track"], ["line", "piece"]
+    want = ssml.pack(ssml.render(pieces, "book", ["track", *order]), key, order)
+    want = {(r.track, r.query_no): r["query"] for r in ssml.requests(want, key, order).collect()}
+    packed = ssml.pack(ssml.measured(pieces.drop("text"), "book", ["track", *order]), key, order)
+    assert "text" not in packed.columns
+    assert {(r.track, r.query_no): r["query"] for r in ssml.requests(ssml.written(pieces, packed, key, order), key, ["place"]).collect()} == want and len(want) == 6
+    with pytest.raises(PySparkException):
+        ssml.measured(spark.createDataFrame([(2840, 1)], "char_length int, pos int"), None, ["pos"]).collect()
+
+
 def test_tracks(spark):
     rows = [("b", 0, "Cover", 1, ["q"]), ("b", 1, "Untitled", 2, ["q", "r"]), ("b", 2, "Copyright", 3, ["q", "r", "s"]), ("b", 3, "One", 1, [" "]), ("b", 4, "Two", 1, ["<speak></speak>"])]
     df = spark.createDataFrame(rows, "book string, track_no int, name string, num_queries int, queries array<string>")
