@@ -129,12 +129,13 @@ def described(texts: DataFrame, size: int) -> DataFrame:
 def buckets(told: DataFrame) -> DataFrame:
     """(h, key, lo, pos): the members of each bucket of two or more, the smallest of them and h's place in the member's order, stored.
 
-    Of equal buckets the one whose shingle comes first in the order stays, so that places are the least ones.
+    Of equal buckets the one whose shingle comes first in the order stays, so that places are the least ones. The places, many
+    times the texts, are shuffled once: the buckets are counted where their rows lie, and those that stay meet the same rows.
     """
-    places = told.select("key", F.posexplode("hs").alias("pos", "h"))
+    places = told.select("key", F.posexplode("hs").alias("pos", "h")).where("h is not null").repartition("h")  # said here, as the join below infers it: both sides are one exchange
     marks = {"x": F.bit_xor(F.xxhash64("key")), "y": F.bit_xor(F.xxhash64(F.lit(1), "key"))}
     sets = places.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("many"), F.min_by("pos", "key").alias("at"), *[m.alias(k) for k, m in marks.items()]).where("lo < hi")
-    once = stored(sets.groupBy("lo", "hi", "many", "x", "y").agg(F.min_by("h", "at").alias("h")).select("h", "lo"), "buckets")
+    once = sets.groupBy("lo", "hi", "many", "x", "y").agg(F.min_by("h", "at").alias("h")).select("h", "lo")
     return stored(places.join(once, "h").select("h", "key", "lo", "pos"), "members")
 
 

@@ -107,3 +107,32 @@ def test_tree_finds_what_bounds_allow():
     size = points.sum(axis=1)
     want = {(i, j) for i in range(200) for j in range(len(points)) if np.minimum(points[i], points[j]).sum() >= countjoin.needed(size[i], size[j])}
     assert found == want and len(want) < 200 * len(points) / 4
+
+
+def test_places_are_shuffled_once(spark):
+    """Rows that buckets() shuffles, no join broadcast: each place of a key once, and a little for those in several sets."""
+    rows = [(k, 0, [1000 * k + i for i in range(200)]) for k in range(200)] + [(200 + k, 0, [7, 8, 9, -5 - k]) for k in range(3)] + [(300, 0, [8, -100]), (301, 0, [])]
+    told = spark.createDataFrame(rows, "key long, n int, hs array<long>")
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        found = countjoin.near.buckets(told)
+        made = sum(n for k, n in written().items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    members = {}
+    for r in found.collect():
+        members.setdefault((r.h, r.lo), set()).add((r.key, r.pos))
+    # 7, 8 and 9 are key 0's too: of 7 and 9, with the same members, the first place stays.
+    assert members == {(7, 0): {(0, 7), (200, 0), (201, 0), (202, 0)}, (8, 0): {(0, 8), (200, 1), (201, 1), (202, 1), (300, 0)}}
+    places = sum(len(hs) for _, _, hs in rows)
+    assert places <= made <= places + 100
