@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import resemblance as near
-from .common import checkpointed, slices, stored
+from .common import bucketed, checkpointed, slices, stored
 from .components import components
 from .substring import INVERSE, MIX, ODD
 
@@ -154,7 +154,7 @@ class RTree:
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """(key, n, counts, hs) of each text (key, text) with words: the set's size, its point and its keys; one row for a key, stored."""
+    """(key, n, counts, hs) of each text (key, text; a key once) with words: the set's size, its point and its keys, stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in slices(batches):
@@ -171,7 +171,7 @@ def described(texts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *hs]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(keep, pa.int64())), pa.array(ns, pa.int32()), pa.array(points, pa.binary()), lists], ["key", "n", "counts", "hs"])
 
-    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, counts binary, hs array<long>").dropDuplicates(["key"]), "points")
+    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, counts binary, hs array<long>"), "points")
 
 
 def points_of(cells: list[bytes]) -> np.ndarray:
@@ -223,9 +223,8 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
 
 
 def links(told: DataFrame, texts: DataFrame, block: int | None = None) -> DataFrame:
-    """(node, root) of the keys that are linked to others; told: described(texts)."""
+    """(node, root) of the keys that are linked to others; texts: in buckets by key, told: described(texts)."""
     members = near.buckets(told)
-    texts = stored(texts.join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")  # the only shuffle of all texts
     stars = checkpointed(members.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
     check = lambda pairs: near.verified(pairs, texts, SHINGLE, similar)
     edges = check(stored(near.joined(stars, told, "counts").mapInArrow(_bounded, "a long, b long"), "possible"))
@@ -245,9 +244,11 @@ def links(told: DataFrame, texts: DataFrame, block: int | None = None) -> DataFr
 def groups(docs: DataFrame, block: int | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), near.key_of(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    told = described(rows)
     firsts = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = stored(told.select("key", "n").join(firsts, "key").join(links(told, rows.select("key", "text"), block).withColumnRenamed("node", "key"), "key", "left").select("key", "n", "first", F.coalesce("root", "key").alias("root")), "classes")
+    with bucketed(near.unique(rows), "texts", "key") as texts:
+        told = described(texts)
+        linked = links(told, texts, block).withColumnRenamed("node", "key")
+    classes = stored(told.select("key", "n").join(firsts, "key").join(linked, "key", "left").select("key", "n", "first", F.coalesce("root", "key").alias("root")), "classes")
     lowest = checkpointed(classes.groupBy("root").agg(F.min("first").alias("component_id")))
     owner = checkpointed(classes.join(lowest, "root").select("key", "n", "component_id"))
     out = stored(rows.select("doc_id", "key"), "rows").join(owner, "key", "left")

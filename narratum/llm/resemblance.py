@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import marked, planes, within
-from .common import checkpointed, slices, stored
+from .common import bucketed, checkpointed, slices, stored
 from .components import components
 from .substring import INVERSE, MIX, ODD, hashes_of
 
@@ -48,6 +48,11 @@ def key_of(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def unique(rows: DataFrame) -> DataFrame:
+    """(key, text) of rows, one for each key. This is the only shuffle of all texts: stored in buckets by key they stay where they lie."""
+    return rows.select("key", "text").dropDuplicates(["key"])
+
+
 def shingles(text: str, size: int) -> set[bytes]:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     return {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
@@ -96,7 +101,7 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
 
 
 def described(texts: DataFrame, size: int) -> DataFrame:
-    """(key, n, f1, f2, sketch, lead, hs) for each distinct key of texts (key, text), stored.
+    """(key, n, f1, f2, sketch, lead, hs) for each of texts (key, text; a key once), stored.
 
     n is the number of shingles, f1 and f2 the fingerprint, hs the prefix, lead its first LEAD hashes, and sketch how many shingles have each of WIDTH
     remainders (empty if one has over 255).
@@ -123,7 +128,7 @@ def described(texts: DataFrame, size: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(hs).view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ns, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(sketches, pa.binary()), pa.array(leads, pa.binary()), lists], ["key", "n", "f1", "f2", "sketch", "lead", "hs"])
 
-    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, f1 long, f2 long, sketch binary, lead binary, hs array<long>").dropDuplicates(["key"]), "described")
+    return stored(texts.select("key", "text").mapInArrow(run, "key long, n int, f1 long, f2 long, sketch binary, lead binary, hs array<long>"), "described")
 
 
 def buckets(told: DataFrame) -> DataFrame:
@@ -297,7 +302,7 @@ def joined(pairs: DataFrame, frame: DataFrame, column: str) -> DataFrame:
 
 
 def verified(possible: DataFrame, texts: DataFrame, size: int, same: Callable[[set, set], bool] = alike) -> DataFrame:
-    """The pairs (a, b) whose texts are similar, stored."""
+    """The pairs (a, b) whose texts are similar, stored. texts (key, text; a key once): in buckets by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, own = None, set()
@@ -310,13 +315,19 @@ def verified(possible: DataFrame, texts: DataFrame, size: int, same: Callable[[s
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep, pa.bool_())).columns[:2], ["a", "b"])
 
     need = possible.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = stored(texts.join(need, "key", "left_semi").dropDuplicates(["key"]), "texts")
+    texts = stored(texts.join(need.hint("shuffle_hash"), "key", "left_semi"), "texts")  # the keys go to the texts, which aren't moved or sorted, however many there are
     return stored(joined(possible, texts, "text").mapInArrow(run, "a long, b long"), "similar")
 
 
 def groups(docs: DataFrame, size: int = SHINGLE, block: int | None = None) -> DataFrame:
     """(node, root) for the keys (key_of) of texts that are linked to another by similar pairs; root is the smallest key."""
-    texts = docs.select(key_of(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(key_of(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    with bucketed(unique(keyed), "texts", "key") as texts:
+        return _linked(texts, size, block or BLOCK)
+
+
+def _linked(texts: DataFrame, size: int, block: int) -> DataFrame:
+    """The same for texts (key, text; a key once) in buckets by key."""
     told = described(texts, size)
     members = buckets(told)
     stars = checkpointed(members.where("key <> lo").select(F.col("lo").alias("a"), F.col("key").alias("b")).distinct())
@@ -325,7 +336,7 @@ def groups(docs: DataFrame, size: int = SHINGLE, block: int | None = None) -> Da
     tried = stars
     for most in (PARTNERS, None):
         placed = members.join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "pos", F.coalesce("root", "key").alias("root"))
-        pairs = cells(placed, told, block or BLOCK).mapInArrow(lambda batches, most=most: _across(batches, most), "a long, b long").distinct()
+        pairs = cells(placed, told, block).mapInArrow(lambda batches, most=most: _across(batches, most), "a long, b long").distinct()
         new = stored(pairs.join(tried, ["a", "b"], "left_anti"), "possible")
         more = verified(new, texts, size)
         tried = tried.union(new)

@@ -136,3 +136,38 @@ def test_places_are_shuffled_once(spark):
     assert members == {(7, 0): {(0, 7), (200, 0), (201, 0), (202, 0)}, (8, 0): {(0, 8), (200, 1), (201, 1), (202, 1), (300, 0)}}
     places = sum(len(hs) for _, _, hs in rows)
     assert places <= made <= places + 100
+
+
+def test_texts_are_shuffled_once(spark):
+    """What pairs of near copies shuffle where no join is broadcast: all texts once, to lie in buckets, and then those of tried pairs."""
+    rng = random.Random(5)
+    rows = []
+    for pair in range(60):
+        words = [rng.randbytes(60).hex() for _ in range(150)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    store, bus = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def written():
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, none, None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    def shuffled(run):
+        before = written()
+        found = run()
+        return found, sum(n for k, n in written().items() if k not in before)
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, once = shuffled(lambda: docs.repartition("doc_id").write.format("noop").mode("overwrite").save())
+        found, most = shuffled(lambda: {r.doc_id: r.component_id for r in countjoin.groups(docs).collect()})
+        roots, more = shuffled(lambda: {r.node: r.root for r in countjoin.near.groups(docs).collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert max(most, more) < 3.5 * once
+    assert found == {k: k // 2 * 2 for k in range(120)}
+    assert len(roots) == 120 and len(set(roots.values())) == 60
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("narratum")]
